@@ -119,7 +119,8 @@ def api_rows(responses: DataFrame) -> DataFrame:
     `responses(visual_id, body)`; an answer that is empty at any level has no rows.
     """
     body = F.from_json("body", API_BODY)
-    rows = body["results"][0]["tables"][0]["rows"]
+    table = F.get(F.get(body["results"], F.lit(0))["tables"], F.lit(0))
+    rows = table["rows"]
     parsed = responses.select("visual_id", rows.alias("__rows")).where(F.size("__rows") > 0)
     return parsed.select("visual_id", F.posexplode("__rows").alias("row_no", "__row")).select(
         "visual_id", "row_no", F.explode("__row").alias("__name", "raw")

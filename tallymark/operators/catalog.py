@@ -69,8 +69,9 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
     )
     header_in_column = open_forms.join(inside, "form").select("form", "place")
     longest = named.agg(F.coalesce(F.max(F.length("form")), F.lit(0))).scalar()
-    parts = open_forms.select("form", F.explode(_substrings(
-        F.col("form"), F.lit(1), F.least(F.length("form") - 1, longest))).alias("part"))
+    bounded = open_forms.withColumn("__longest", F.least(F.length("form") - 1, longest))
+    parts = bounded.select("form", F.explode(_substrings(
+        F.col("form"), F.lit(1), F.col("__longest"))).alias("part"))
     column_in_header = parts.join(
         named.withColumnRenamed("form", "part"), "part").select("form", "place")
     medium = header_in_column.unionByName(column_in_header).groupBy("form").agg(

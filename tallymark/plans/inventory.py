@@ -11,17 +11,21 @@ from tallymark.operators.visuals import expand_visuals, headings, with_type_inde
 METHODS = ["aria", "show_as_table", "unknown"]
 
 
-def visual_inventory(raw: DataFrame) -> DataFrame:
-    """Every visual with title, type index, category, locating strategy and heading."""
-    visuals = with_type_index(expand_visuals(raw))
-    named = headings(visuals)
+def classified(raw: DataFrame) -> DataFrame:
+    """Visuals with title, category and locating strategy; row by row, without a shuffle."""
     return (
-        visuals.join(named, ["page", "ordinal"], "left")
+        expand_visuals(raw)
         .withColumn("category", category(F.col("type"), F.col("title"), F.col("full_text")))
         .withColumn("strategy", locating_strategy(F.col("title"), F.col("noisy")))
     )
 
 
+def visual_inventory(raw: DataFrame) -> DataFrame:
+    """`classified` with the type index and, for charts titled by noise, the heading."""
+    visuals = classified(raw)
+    return with_type_index(visuals).join(headings(visuals), ["page", "ordinal"], "left")
+
+
 def page_counts(inventory: DataFrame) -> DataFrame:
     """KPIs, charts and slicers per page, with the total under a null page."""
     def of(kind: str):
