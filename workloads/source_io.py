@@ -1 +1,63 @@
+"""Sources and the result sink, written to and read from the shared folder."""
 
+from pyspark.sql import functions as F
+
+from tallymark.session import shared_path
+from tallymark.sources import readers, sinks
+from workloads.registry import query
+
+
+@query("csv_source", """
+SELECT c_custkey AS cust_key, c_name AS customer_name, c_acctbal AS balance, c_mktsegment AS segment FROM customer""")
+def csv_source(t):
+    path = shared_path(t.spark, "csv")
+    t.customer.select(
+        F.col("c_custkey").alias("Cust Key"), F.col("c_name").alias("Customer Name "),
+        F.col("c_acctbal").alias("BALANCE"), F.col("c_mktsegment").alias("Segment"),
+    ).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv(
+        t.spark, path,
+        schema="`Cust Key` bigint, `Customer Name ` string, BALANCE double, Segment string")
+
+
+@query("sheet_source", """
+SELECT o_orderkey AS order_key, o_totalprice AS total_sales, o_orderstatus AS status FROM orders""")
+def sheet_source(t):
+    root = shared_path(t.spark, "book")
+    t.orders.select(
+        F.col("o_orderkey").alias("Order Key"), F.col("o_totalprice").alias("Total Sales"),
+        F.col("o_orderstatus").alias("STATUS"),
+    ).write.parquet(f"{root}/Sales_Performance")
+    return readers.read_sheet(t.spark, root, "Sales_Performance")
+
+
+@query("sql_source", """
+SELECT o_orderpriority AS "Priority", count(*) AS "Order Count" FROM orders WHERE year(o_orderdate) = 1997 GROUP BY ALL""")
+def sql_source(t):
+    return readers.read_query(
+        t.spark, 'SELECT o_orderpriority AS "Priority", count(*) AS "Order Count" FROM recon_orders '
+                 "WHERE year(o_orderdate) = 1997 GROUP BY o_orderpriority",
+        {"recon_orders": t.orders}, quoted_names=True)
+
+
+@query("scalar_source", """
+SELECT 'orders' AS name, CAST(count(*) AS DOUBLE) AS value FROM orders
+UNION ALL SELECT 'none', NULL""")
+def scalar_source(t):
+    views = {"recon_orders": t.orders}
+    count = readers.read_scalar(t.spark, "SELECT count(*) FROM recon_orders", views)
+    none = readers.read_scalar(
+        t.spark, "SELECT o_totalprice FROM recon_orders WHERE o_totalprice < 0", views)
+    return count.select(F.lit("orders").alias("name"), "value").unionByName(
+        none.select(F.lit("none").alias("name"), "value"))
+
+
+@query("result_sink", """
+WITH e AS (SELECT event_id, event_type AS suite, date_trunc('hour', ts) AS run_ts, value > 10 AS passed FROM events)
+SELECT event_id, suite, passed FROM e WHERE run_ts = (SELECT max(run_ts) FROM e x WHERE x.suite = e.suite)""")
+def result_sink(t):
+    path = shared_path(t.spark, "results")
+    verdicts = t.events.select(
+        "event_id", "event_type", "ts", (F.col("value") > 10).alias("passed"))
+    sinks.write_results(verdicts, path, F.date_trunc("hour", F.col("ts")), F.col("event_type"))
+    return sinks.latest_results(t.spark, path).select("event_id", "suite", "passed")
