@@ -43,16 +43,29 @@ def _aggregate(agg: str, value: Column) -> Column:
     return {"min": F.min, "max": F.max}[agg](value)
 
 
-def column_aggregate(df: DataFrame, column: str, agg: str = "sum") -> Column:
-    """Aggregate of a column read as plain numbers; other content is skipped."""
-    if agg not in AGGREGATES[:-1]:
-        raise ValueError(f"Unsupported aggregate '{agg}'. Use one of {AGGREGATES[:-1]}")
-    name = column.strip().lower()
-    if name not in df.columns:
-        raise KeyError(f"Column '{column}' not found. Available: {df.columns}")
-    numeric = dict(df.dtypes)[name] != "string"
-    value = F.col(name).cast("double") if numeric else plain_number(F.col(name))
-    return _aggregate(agg, F.nanvl(value, F.lit(None).cast("double")))
+def column_aggregates(df: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """One row with `<column>_<agg>` for each column and aggregate, from one scan.
+
+    Columns are read as plain numbers and other content is skipped; a column is parsed
+    once for all of its aggregates.
+    """
+    values = []
+    types = dict(df.dtypes)
+    for column, aggs in wanted.items():
+        for agg in aggs:
+            if agg not in AGGREGATES[:-1]:
+                raise ValueError(f"Unsupported aggregate '{agg}'. Use one of {AGGREGATES[:-1]}")
+        name = column.strip().lower()
+        if name not in types:
+            raise KeyError(f"Column '{column}' not found. Available: {df.columns}")
+        number = F.col(name).cast("double") if types[name] != "string" else plain_number(
+            F.col(name))
+        values.append(number.alias(name))
+    null = F.lit(None).cast("double")
+    return df.select(*values).agg(*[
+        _aggregate(agg, F.nanvl(F.col(c.strip().lower()), null)).alias(f"{c}_{agg}")
+        for c, aggs in wanted.items() for agg in aggs
+    ])
 
 
 def batch_kpis(df: DataFrame, kpis: Sequence[Kpi]) -> DataFrame:

@@ -15,6 +15,7 @@ from tallymark.functions.numbers import display_number, plain_number
 from tallymark.operators.ranking import (
     left_join_null_safe, position_in_group, top_per_group,
 )
+from tallymark.session import cut
 
 ALIGNMENTS = ("keyed", "positional")
 DUPLICATES = ("occurrence", "flag")
@@ -37,12 +38,8 @@ def _side(df: DataFrame, keys: list[str], measures: list[str], displayed: bool,
     )
 
 
-def _combine(published: DataFrame, source: DataFrame, keys: list[str],
-             measures: list[str]) -> DataFrame:
-    """One row per key: both values of each measure and both row counts."""
-    tagged = published.withColumn("__pub", F.lit(True)).unionByName(
-        source.withColumn("__pub", F.lit(False))
-    )
+def _combine(tagged: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """One row per key of the tagged union: both values of each measure and row counts."""
     is_pub = F.col("__pub")
     pairs = []
     for m in measures:
@@ -58,27 +55,32 @@ def align_keyed(published: DataFrame, source: DataFrame, keys: list[str],
     """Rows of both sides on equal keys, compared as text.
 
     With `occurrence` the k-th smallest row of a repeated key meets the k-th
-    smallest of the other side. `flag` is for keys that are meant to be unique (a
+    smallest of the other side; the repeated keys are found first and only their rows
+    are numbered. `flag` is for keys that are meant to be unique (a
     grouped source): it costs no second pass and leaves repeated keys to be
     reported as such.
     """
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates must be one of {DUPLICATES}")
     pub, src = _side(published, keys, measures, True), _side(source, keys, measures, False)
-    combined = _combine(pub, src, keys, measures).withColumn(
-        "occurrence", F.lit(1).cast("bigint")
-    )
+    tagged = pub.withColumn("__pub", F.lit(True)).unionByName(
+        src.withColumn("__pub", F.lit(False)))
+    combined = _combine(tagged, keys, measures).withColumn(
+        "occurrence", F.lit(1).cast("bigint"))
     if duplicates == "flag":
         return combined
+    repeated = cut(combined.where((F.col("n_published") > 1) | (F.col("n_source") > 1)).select(
+        *keys, "n_published", "n_source"))
+    if repeated.isEmpty():
+        return combined
+    marker = repeated.select(*keys, F.lit(True).alias("__repeated"))
+    rows = left_join_null_safe(tagged, marker, keys).where("__repeated").drop("__repeated")
+    sizes = repeated.select(F.lit(True).alias("__pub"), *keys, F.col("n_published").alias("n")
+                            ).unionByName(repeated.select(
+        F.lit(False).alias("__pub"), *keys, F.col("n_source").alias("n")))
+    numbered = position_in_group(rows, ["__pub", *keys], measures, "occurrence", sizes=sizes)
+    again = _combine(numbered, [*keys, "occurrence"], measures)
     once = (F.col("n_published") <= 1) & (F.col("n_source") <= 1)
-    repeated = combined.where(~once).select(*keys).withColumn("__repeated", F.lit(True))
-    tagged = pub.withColumn("__pub", F.lit(True)).unionByName(src.withColumn("__pub", F.lit(False)))
-    rows = left_join_null_safe(tagged, repeated, keys).where("__repeated").drop("__repeated")
-    numbered = position_in_group(rows, ["__pub", *keys], measures, "occurrence")
-    again = _combine(
-        numbered.where("__pub").drop("__pub"), numbered.where("NOT __pub").drop("__pub"),
-        [*keys, "occurrence"], measures,
-    )
     return combined.where(once).unionByName(again)
 
 

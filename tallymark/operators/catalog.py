@@ -27,13 +27,19 @@ def catalog_of(frames: dict[str, DataFrame]) -> DataFrame:
               "nullable boolean")
 
 
-def _substrings(form: Column, shortest: Column, longest: Column) -> Column:
-    """Distinct substrings of the given lengths, the whole text included."""
-    empty = F.array().cast("array<string>")
-    lengths = F.when(longest >= shortest, F.sequence(shortest, longest)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.coalesce(F.transform(
-        F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substr(form, i, n)), empty))))
+def _substrings(form: Column, lengths: Column) -> Column:
+    """Substrings of the given lengths; lengths beyond the text give none."""
+    def of_length(n: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substr(form, i, n))
+
+    fitting = F.filter(lengths, lambda n: n <= F.length(form))
+    return F.flatten(F.transform(fitting, of_length))
+
+
+def _entries(kind: str, keys: Column) -> Column:
+    return F.transform(F.array_distinct(keys), lambda k: F.struct(
+        F.lit(kind).alias("kind"), k.alias("key")))
 
 
 def match_columns(headers: DataFrame, catalog: DataFrame,
@@ -43,9 +49,10 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
     HIGH: same letters and digits. MEDIUM: one contains the other. LOW: they share four
     characters in a row. Within a level the first table and column wins.
 
-    Nothing is compared pair by pair: for every substring the catalog keeps only its
-    first column, and headers look their substrings up by equality. The work grows with
-    distinct names, and a text shared by many columns costs one entry.
+    Nothing is compared pair by pair. The catalog becomes an index from text to its first
+    column: whole names, their substrings, and their runs of four characters. Distinct
+    headers look up their own substrings by equality, so a text that many columns share is
+    one entry, and a header that many visuals share is one lookup.
 
     `headers(header, ...)`, `catalog(table, table_no, column, column_no, type)`. Headers
     without letters or digits match nothing unless `empty_header_matches`.
@@ -55,56 +62,48 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
         catalog.withColumn("form", match_form(F.col("column")))
         .groupBy("form").agg(F.min(place).alias("place"))
     )
-    forms = headers.select(match_form(F.col("header")).alias("form")).where(
-        F.col("form") != "").distinct()
-
-    exact = forms.join(columns, "form").select("form", F.lit("HIGH").alias("confidence"), "place")
-    open_forms = forms.join(columns.select("form"), "form", "left_anti")
-
     named = columns.where(F.col("form") != "")
-    inside = (
-        named.select("place", F.explode(_substrings(
-            F.col("form"), F.lit(1), F.length("form") - 1)).alias("form"))
-        .groupBy("form").agg(F.min("place").alias("place"))
+    form = F.col("form")
+    gram = F.array(F.lit(GRAM))
+    index = (
+        named.select("place", F.inline(F.concat(
+            _entries("whole", F.array(form)),
+            _entries("inside", _substrings(form, F.sequence(F.lit(1), F.length(form)))),
+            _entries("gram", _substrings(form, gram)),
+        )))
+        .groupBy("kind", "key").agg(F.min("place").alias("place"))
     )
-    header_in_column = open_forms.join(inside, "form").select("form", "place")
-    longest = named.agg(F.coalesce(F.max(F.length("form")), F.lit(0))).scalar()
-    bounded = open_forms.withColumn("__longest", F.least(F.length("form") - 1, longest))
-    parts = bounded.select("form", F.explode(_substrings(
-        F.col("form"), F.lit(1), F.col("__longest"))).alias("part"))
-    column_in_header = parts.join(
-        named.withColumnRenamed("form", "part"), "part").select("form", "place")
-    medium = header_in_column.unionByName(column_in_header).groupBy("form").agg(
-        F.min("place").alias("place")
-    ).select("form", F.lit("MEDIUM").alias("confidence"), "place")
-
-    def grams(form: str) -> Column:
-        return F.explode(_substrings(F.col(form), F.lit(GRAM), F.when(
-            F.length(form) >= GRAM, F.lit(GRAM)).otherwise(F.lit(0))))
-
-    first_with_gram = named.select("place", grams("form").alias("gram")).groupBy("gram").agg(
-        F.min("place").alias("place"))
-    low = (
-        open_forms.select("form", grams("form").alias("gram")).join(first_with_gram, "gram")
-        .groupBy("form").agg(F.min("place").alias("place"))
-        .select("form", F.lit("LOW").alias("confidence"), "place")
+    # Lengths of catalog names: as many values as the longest name has characters.
+    lengths = named.agg(F.collect_set(F.length("form")).alias("lengths")).scalar()
+    forms = headers.select(match_form(F.col("header")).alias("form")).where(
+        form != "").distinct().withColumn("lengths", lengths)
+    lookups = forms.select("form", F.inline(F.concat(
+        _entries("whole", _substrings(form, F.col("lengths"))),
+        _entries("inside", F.array(form)),
+        _entries("gram", _substrings(form, gram)),
+    )))
+    weight = F.when((F.col("kind") == "whole") & (F.col("key") == form), 3).when(
+        F.col("kind") != "gram", 2).otherwise(1)
+    best = (
+        lookups.join(index, ["kind", "key"])
+        .groupBy("form").agg(F.min(F.struct((-weight).alias("weight"), "place")).alias("best"))
     )
-    found = exact.unionByName(medium).unionByName(low)
     if empty_header_matches:
         first = columns.agg(F.min("place").alias("place")).where(F.col("place").isNotNull())
-        found = found.unionByName(first.select(
-            F.lit("").alias("form"), F.lit("MEDIUM").alias("confidence"), "place"))
-    best = found.groupBy("form").agg(F.max_by(
-        F.struct("confidence", "place"), _weight(F.col("confidence"))).alias("best"))
+        best = best.unionByName(first.select(F.lit("").alias("form"), F.struct(
+            F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
 
     matched = left_join_null_safe(
         headers.withColumn("form", match_form(F.col("header"))), best, ["form"]).drop("form")
-    kind = F.coalesce("db_type", F.lit(""))
+    level = F.lit("NONE")
+    for name, value in LEVEL_WEIGHT.items():
+        level = F.when(F.col("best.weight") == -value, name).otherwise(level)
+    kind = F.col("db_type")
     return (
-        matched.withColumn("db_table", F.coalesce("best.place.table", F.lit("")))
+        matched.withColumn("confidence", level)
+        .withColumn("db_table", F.coalesce("best.place.table", F.lit("")))
         .withColumn("db_col", F.coalesce("best.place.column", F.lit("")))
         .withColumn("db_type", F.coalesce("best.place.type", F.lit("")))
-        .withColumn("confidence", F.coalesce("best.confidence", F.lit("NONE")))
         .withColumn("is_numeric", is_numeric_type(kind))
         .withColumn("is_date", is_date_type(kind))
         .withColumn("is_categorical", is_text_type(kind))

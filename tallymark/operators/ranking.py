@@ -70,14 +70,35 @@ def blocked_prefix_sum(
 
 def position_in_group(
     df: DataFrame, group: list[str], order: list[str], out: str = "position",
-    run_rows: int = BLOCK_ROWS,
+    group_rows: int = BLOCK_ROWS, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position of every row of a group in `order`, nulls last.
 
-    The columns of `df` must be `group + order`; equal rows are then
-    interchangeable and travel as one row with a count. The distinct rows are
-    range partitioned, so a hot group is spread over many tasks. Range bounds are
-    sampled anew by each run, hence the durable cut before they are used twice.
+    The columns of `df` must be `group + order`, so equal rows are interchangeable. Groups
+    of up to `group_rows` rows are numbered by a window. Larger ones are cut out first, by
+    their row counts (`sizes(*group, n)` when the caller has them), and spread over tasks
+    by `_position_in_hot_groups`; their number is bounded by rows / `group_rows`.
+    """
+    if sizes is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(sizes.where(F.col("n") > group_rows).select(*group))
+    window = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    if hot.isEmpty():
+        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
+    marked = left_join_null_safe(df, hot.withColumn("__hot", F.lit(True)), group)
+    usual = marked.where(F.col("__hot").isNull()).drop("__hot")
+    large = marked.where(F.col("__hot")).drop("__hot")
+    return usual.withColumn(out, F.row_number().over(window).cast("bigint")).unionByName(
+        _position_in_hot_groups(large, group, order, out, group_rows))
+
+
+def _position_in_hot_groups(
+    df: DataFrame, group: list[str], order: list[str], out: str, run_rows: int
+) -> DataFrame:
+    """Positions where equal rows travel as one row with a count.
+
+    The distinct rows are range partitioned, so a group is shared by many tasks. Range
+    bounds are sampled anew by each run, hence the durable cut before they are used twice.
     """
     runs = df.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("__n"))
     ordering = [F.col(c).asc_nulls_last() for c in [*group, *order]]

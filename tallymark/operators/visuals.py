@@ -42,11 +42,15 @@ def card_pairs(lines: Column) -> Column:
     return F.when(length >= 2, F.slice(pairs, F.lit(1), length))
 
 
-def expand_visuals(raw: DataFrame) -> DataFrame:
+def expand_visuals(raw: DataFrame, indexed: bool = False) -> DataFrame:
     """Visuals with type, title and noise flag; multi-value cards give one row per figure.
 
     `raw(page, ordinal, type, full_text, x, y, width, height)`. Rows of one card share
     its `ordinal` and are told apart by `sub_index`, which is null for plain visuals.
+
+    `indexed` adds `type_index`, the 0-based position among the visuals of one type on a
+    page. The figures of a card count one by one, so a card carries their number as its
+    weight and the running total is taken before cards are taken apart.
     """
     typed = raw.withColumn("full_text", F.trim("full_text", F.lit(" \n\t\r"))).withColumn(
         "type", effective_type(F.col("type"), F.col("full_text"))
@@ -54,33 +58,23 @@ def expand_visuals(raw: DataFrame) -> DataFrame:
     paired = typed.withColumn("__pairs", F.when(
         F.col("type").isin(vocab.MULTI_VALUE_TYPES), card_pairs(lines_of(F.col("full_text")))
     ))
+    if indexed:
+        paired = blocked_prefix_sum(
+            paired, ["page", "type"], "ordinal", "type_index",
+            F.coalesce(F.size("__pairs"), F.lit(1)))
     flat = paired.select("*", F.inline_outer("__pairs")).drop("__pairs")
+    if indexed:
+        flat = flat.withColumn(
+            "type_index", F.col("type_index") + F.coalesce("sub_index", F.lit(0)))
     title = F.coalesce("label", first_line(F.col("full_text")))
-    text = F.coalesce(F.concat_ws("\n", F.nullif("label", F.lit("")), "value"), F.lit(""))
+    text = F.when(F.col("label").isNotNull(), F.concat_ws("\n", "label", "value")).otherwise(
+        F.col("full_text"))
     return (
-        flat.withColumn("title", title)
-        .withColumn("full_text", F.when(F.col("label").isNotNull(), text)
-                    .otherwise(F.col("full_text")))
-        .withColumn("noisy", is_noisy(F.col("title")))
-        .drop("label")
+        flat.withColumn("title", title).withColumn("full_text", text)
+        .withColumn("noisy", is_noisy(F.col("title"))).drop("label")
     )
 
 
-def with_type_index(visuals: DataFrame) -> DataFrame:
-    """0-based position among the visuals of one type on a page.
-
-    The figures of a multi-value card count one by one, so blocks of cards carry
-    their number of rows.
-    """
-    sizes = visuals.groupBy("page", "type", "ordinal").agg(F.count(F.lit(1)).alias("__size"))
-    before = blocked_prefix_sum(
-        sizes, ["page", "type"], "ordinal", "__before", F.col("__size")
-    ).select("page", "ordinal", "__before")
-    return visuals.join(before, ["page", "ordinal"]).withColumn(
-        "type_index", F.col("__before") + F.coalesce("sub_index", F.lit(0))
-    ).drop("__before")
-
-
 def headings(visuals: DataFrame) -> DataFrame:
     """Heading text box of each chart whose own title is noise.
 

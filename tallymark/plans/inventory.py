@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.classify import category, extraction_method, locating_strategy
-from tallymark.operators.visuals import expand_visuals, headings, with_type_index
+from tallymark.operators.visuals import expand_visuals, headings
 
 METHODS = ["aria", "show_as_table", "unknown"]
 
 
-def classified(raw: DataFrame) -> DataFrame:
-    """Visuals with title, category and locating strategy; row by row, without a shuffle."""
+def classified(raw: DataFrame, indexed: bool = False) -> DataFrame:
+    """Visuals with title, category and locating strategy.
+
+    Row by row and without a shuffle, unless `indexed` asks for the type index.
+    """
     return (
-        expand_visuals(raw)
+        expand_visuals(raw, indexed)
         .withColumn("category", category(F.col("type"), F.col("title"), F.col("full_text")))
         .withColumn("strategy", locating_strategy(F.col("title"), F.col("noisy")))
     )
@@ -22,8 +25,8 @@ def classified(raw: DataFrame) -> DataFrame:
 
 def visual_inventory(raw: DataFrame) -> DataFrame:
     """`classified` with the type index and, for charts titled by noise, the heading."""
-    visuals = classified(raw)
-    return with_type_index(visuals).join(headings(visuals), ["page", "ordinal"], "left")
+    found = headings(expand_visuals(raw))
+    return classified(raw, indexed=True).join(found, ["page", "ordinal"], "left")
 
 
 def page_counts(inventory: DataFrame) -> DataFrame:

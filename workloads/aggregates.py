@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallymark.operators.aggregate import (
-    Kpi, Slicer, batch_kpis, column_aggregate, group_measures, slicer_predicate, top_k,
+    Kpi, Slicer, batch_kpis, column_aggregates, group_measures, slicer_predicate, top_k,
 )
 from tallymark.plans.checks import source_health
 from workloads.derive import ctes
@@ -26,13 +26,8 @@ UNION ALL SELECT 'price_max', hi FROM s UNION ALL SELECT 'words_sum', 0.0 FROM s
 UNION ALL SELECT 'words_count', 0.0 FROM s UNION ALL SELECT 'words_avg', NULL FROM s
 UNION ALL SELECT 'words_min', NULL FROM s UNION ALL SELECT 'words_max', NULL FROM s""")
 def kpi_scalar_aggs(t):
-    df = t.sql(_PRICE_TEXT)
-    names = [f"{c}_{a}" for c in ("price", "words") for a in _SCALARS]
-    wide = df.agg(*[
-        F.round(column_aggregate(df, c, a), 4).alias(f"{c}_{a}")
-        for c in ("price", "words") for a in _SCALARS
-    ])
-    return wide.unpivot([], names, "kpi", "value")
+    wide = column_aggregates(t.sql(_PRICE_TEXT), {"price": _SCALARS, "words": _SCALARS})
+    return wide.unpivot([], wide.columns, "kpi", "value").withColumn("value", F.round("value", 4))
 
 
 @query("kpi_batch", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.text import undouble
 from tallymark.operators import captures
-from workloads.derive import LINE_CELLS, LINE_ROWS, ctes
+from workloads.derive import LINE_CELLS, LINE_ROWS, ctes, line_cells
 from workloads.registry import query
 
 
@@ -12,7 +12,7 @@ from workloads.registry import query
 SELECT visual_id, row_no, qty AS "Qty", CASE WHEN visual_id % 3 <> 0 THEN price END AS "Price" FROM r""")
 def grid_rows(t):
     return captures.grid(
-        t.sql(LINE_CELLS), ["visual_id", "row_no"], ["Qty", " Price"]
+        line_cells(t), ["visual_id", "row_no"], ["Qty", " Price"]
     ).withColumnRenamed(" Price", "Price")
 
 
@@ -46,14 +46,14 @@ FROM orders LEFT JOIN n ON visual_id = o_orderkey""")
 def capture_completeness(t):
     reported = t.orders.select(F.col("o_orderkey").alias("visual_id"),
                                (F.col("o_orderkey") % 9).alias("reported_total"))
-    return captures.capture_completeness(t.sql(LINE_CELLS), reported)
+    return captures.capture_completeness(line_cells(t), reported)
 
 
 @query("header_lists", ctes(c=LINE_CELLS) + """
 SELECT visual_id, string_agg(col_name, '|' ORDER BY col_no) AS headers
 FROM (SELECT DISTINCT visual_id, col_no, col_name FROM c) d GROUP BY visual_id""")
 def header_lists(t):
-    return captures.header_lists(t.sql(LINE_CELLS)).select(
+    return captures.header_lists(line_cells(t)).select(
         "visual_id", F.array_join("headers", "|").alias("headers"))
 
 
@@ -66,7 +66,7 @@ SELECT o_orderkey AS visual_id, coalesce(rows, 0) AS rows, columns, first_row, r
 FROM orders LEFT JOIN p ON visual_id = o_orderkey""")
 def preview_snapshot(t):
     configured = t.orders.select(F.col("o_orderkey").alias("visual_id"))
-    return captures.preview_all(configured, t.sql(LINE_CELLS))
+    return captures.preview_all(configured, line_cells(t))
 
 
 _SCROLLED = """

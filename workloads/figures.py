@@ -95,7 +95,8 @@ def detail_message(t):
         "*", F.concat(F.lit("$"), F.col("n").cast("string")).alias("raw"),
         F.when(F.col("o_orderkey") % 3 < 2, (F.col("n") * (F.col("o_orderkey") % 3 + 1))
                .cast("double")).alias("source"))
-    published = numbers.display_number(F.col("raw"))
+    df = df.withColumn("published", numbers.display_number(F.col("raw")))
+    published = F.col("published")
     status = compare.value_status(published, F.col("source"), F.lit(0.01))
     return df.select("o_orderkey", numbers.comparison_detail(
         text.human_label(F.col("title"), F.col("type"), F.col("idx")), F.col("raw"), published,

@@ -139,7 +139,7 @@ FROM {customer}
 SELECT spec_id, page, strategy, ordinal, ordinal IS NOT NULL AS found,
   (SELECT count(*) FROM vi WHERE vi.page = o.page AND vi.type = o.visual_type) AS available_of_type FROM o""")
 def locate_visual(t):
-    placed = visuals.with_type_index(visuals.expand_visuals(t.sql(VISUALS)))
+    placed = visuals.expand_visuals(t.sql(VISUALS), indexed=True)
     return visuals.locate(t.sql(_LOCATE), placed)
 
 

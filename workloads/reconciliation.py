@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.numbers import comparison_detail
 from tallymark.operators import align
-from workloads.derive import LINE_CELLS, PUBLISHED_REVENUE, REVENUE, ctes
+from workloads.derive import LINE_CELLS, PUBLISHED_REVENUE, REVENUE, ctes, line_cells
 from workloads.registry import query
 
 _STATUS = """
@@ -160,4 +160,4 @@ def missing_columns(t):
     required = t.lineitem.select(F.col("l_orderkey").alias("visual_id")).distinct().select(
         "visual_id", F.explode(F.array(F.lit("Qty"), F.lit("Price"), F.lit("Tax")))
         .alias("required_col"))
-    return align.missing_columns(t.sql(LINE_CELLS), required)
+    return align.missing_columns(line_cells(t), required)
