@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from tallymark.functions import vocab
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -67,19 +73,17 @@ def undouble(text: Column) -> Column:
 
 def point_label(label: Column) -> Column:
     """`Category. Measure. Value.` as a struct; null when it is not a point."""
-    parts = F.split(F.regexp_replace(F.trim(label), r"\.$", ""), r"\. ")
-    size = F.size(parts)
-    measure = F.when(size == 3, F.trim(F.try_element_at(parts, F.lit(2)))).when(
-        size > 3, F.array_join(F.slice(parts, F.lit(2), F.greatest(size - 2, F.lit(0))), ", ")
-    )
-    return F.when(
-        (F.length(F.trim(label)) >= 3) & (size >= 2),
-        F.struct(
-            F.trim(F.try_element_at(parts, F.lit(1))).alias("category"),
+    def point(parts: Column) -> Column:
+        size = F.size(parts)
+        measure = F.when(size == 3, F.trim(F.get(parts, F.lit(1)))).when(size > 3, F.array_join(
+            F.slice(parts, F.lit(2), F.greatest(size - 2, F.lit(0))), ", "))
+        return F.when((F.length(F.trim(label)) >= 3) & (size >= 2), F.struct(
+            F.trim(F.get(parts, F.lit(0))).alias("category"),
             measure.alias("measure"),
             F.trim(F.try_element_at(parts, F.lit(-1))).alias("value"),
-        ),
-    )
+        ))
+
+    return let(F.split(F.regexp_replace(F.trim(label), r"\.$", ""), r"\. "), point)
 
 
 def api_column(name: Column) -> Column:

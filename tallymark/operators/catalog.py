@@ -118,31 +118,37 @@ def _weight(confidence: Column) -> Column:
     return weight
 
 
-def best_tables(matches: DataFrame, by: list[str], ordinal: str) -> DataFrame:
-    """Table with the largest sum of confidence weights per visual.
-
-    Ties go to names that start with `fact`, then to the table matched first.
+def header_sets(matches: DataFrame, by: list[str], ordinal: str) -> DataFrame:
+    """Per visual: the table that fits its headers best and the confidence of the set.
+
+    `matches` is the output of `match_columns`. The table has the largest sum of
+    confidence weights; ties go to names that start with `fact`, then to the table matched
+    first. The confidence is over all headers: HIGH when every match is, MEDIUM when any
+    match is HIGH or MEDIUM, and LOW for weak matches with unmatched headers beside them.
+    Gives `(*by, db_table, score, any_numeric, confidence)`; a visual without a match has
+    no table and NONE.
     """
-    scores = matches.where(F.col("db_table") != "").groupBy(*by, "db_table").agg(
-        F.sum(_weight(F.col("confidence"))).alias("score"), F.min(ordinal).alias("__first")
-    )
-    fact = F.when(F.startswith(F.lower("db_table"), F.lit("fact")), 0).otherwise(1)
-    return scores.groupBy(*by).agg(F.min_by(
-        F.struct("db_table", "score"), F.struct(-F.col("score"), fact, F.col("__first"))
-    ).alias("__best")).select(*by, "__best.db_table", "__best.score")
-
-
-def set_confidence(matches: DataFrame, by: list[str]) -> DataFrame:
-    """Confidence of a whole header set."""
     level = F.col("confidence")
-    hits = F.count_if(level != "NONE")
-    return matches.groupBy(*by).agg(
-        F.when(hits == 0, F.lit("NONE"))
-        .when(F.count_if(level == "HIGH") == hits, F.lit("HIGH"))
-        .when(F.count_if(level.isin("HIGH", "MEDIUM")) > 0, F.lit("MEDIUM"))
-        .when(F.count_if(level == "NONE") > 0, F.lit("LOW"))
-        .otherwise(F.lit("MEDIUM")).alias("confidence")
-    )
+    per_table = matches.groupBy(*by, "db_table").agg(
+        F.sum(_weight(level)).alias("score"), F.min(ordinal).alias("__first"),
+        F.bool_or("is_numeric").alias("any_numeric"),
+        F.count_if(level == "HIGH").alias("__high"), F.count_if(level == "MEDIUM").alias("__medium"),
+        F.count_if(level == "LOW").alias("__low"), F.count_if(level == "NONE").alias("__none"))
+    fact = F.when(F.startswith(F.lower("db_table"), F.lit("fact")), 0).otherwise(1)
+    found = F.col("db_table") != ""
+    # Ordered so that the smallest struct is the winner; unmatched headers have no table.
+    winner = F.min(F.when(found, F.struct(
+        (-F.col("score")).alias("lost"), fact.alias("fact"), "__first", "db_table", "any_numeric")))
+    high, medium, low, none = (F.sum(c) for c in ("__high", "__medium", "__low", "__none"))
+    return per_table.groupBy(*by).agg(
+        winner.alias("__best"),
+        F.when(high + medium + low == 0, F.lit("NONE"))
+        .when(medium + low == 0, F.lit("HIGH"))
+        .when(high + medium > 0, F.lit("MEDIUM"))
+        .when(none > 0, F.lit("LOW"))
+        .otherwise(F.lit("MEDIUM")).alias("confidence"),
+    ).select(*by, "__best.db_table", (-F.col("__best.lost")).alias("score"),
+             "__best.any_numeric", "confidence")
 
 
 def flatten_keys(constraints: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.classify import CHART_TYPES, effective_type
-from tallymark.functions.text import first_line, is_noisy, lines_of
+from tallymark.functions.text import first_line, is_noisy, let, lines_of
 from tallymark.operators.ranking import blocked_prefix_sum, first_per_group
 
 HEADING_GAP = 80
@@ -20,26 +20,27 @@ def card_pairs(lines: Column) -> Column:
     Lines are read two by two as long as the first looks like a label and the second
     is short; two such pairs make a multi-value card.
     """
-    count = F.floor(F.size(lines) / 2).cast("int")
-    pairs = F.transform(
-        F.when(count >= 2, F.sequence(F.lit(0), count - 1)).otherwise(
-            F.array().cast("array<int>")),
-        lambda k: F.struct(
-            k.alias("sub_index"),
-            F.get(lines, k * 2).alias("label"),
-            F.get(lines, k * 2 + 1).alias("value"),
-        ),
-    )
-
     def good(p: Column) -> Column:
         return (
             p["label"].rlike("[a-zA-Z_]") & (F.length(p["label"]) > 2)
             & ~is_noisy(p["label"]) & (F.length(p["value"]) <= 50)
         )
 
-    first_bad = F.array_position(F.transform(pairs, good), False).cast("int")
-    length = F.when(first_bad == 0, F.size(pairs)).otherwise(first_bad - 1)
-    return F.when(length >= 2, F.slice(pairs, F.lit(1), length))
+    def pairs_of(found: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(found) / 2).cast("int") - 1),
+            lambda k: F.struct(
+                k.alias("sub_index"),
+                F.get(found, k * 2).alias("label"),
+                F.get(found, k * 2 + 1).alias("value"),
+            ))
+
+    def leading(pairs: Column) -> Column:
+        first_bad = F.array_position(F.transform(pairs, good), False).cast("int")
+        return let(F.when(first_bad == 0, F.size(pairs)).otherwise(first_bad - 1),
+                   lambda n: F.when(n >= 2, F.slice(pairs, F.lit(1), n)))
+
+    return let(lines, lambda found: F.when(F.size(found) >= 4, let(pairs_of(found), leading)))
 
 
 def expand_visuals(raw: DataFrame, indexed: bool = False) -> DataFrame:
@@ -52,12 +53,12 @@ def expand_visuals(raw: DataFrame, indexed: bool = False) -> DataFrame:
     page. The figures of a card count one by one, so a card carries their number as its
     weight and the running total is taken before cards are taken apart.
     """
-    typed = raw.withColumn("full_text", F.trim("full_text", F.lit(" \n\t\r"))).withColumn(
-        "type", effective_type(F.col("type"), F.col("full_text"))
-    )
-    paired = typed.withColumn("__pairs", F.when(
-        F.col("type").isin(vocab.MULTI_VALUE_TYPES), card_pairs(lines_of(F.col("full_text")))
-    ))
+    # The table fallback only concerns untyped visuals, so the card test can use `type`.
+    paired = raw.withColumn("full_text", F.trim("full_text", F.lit(" \n\t\r"))).withColumns({
+        "type": effective_type(F.col("type"), F.col("full_text")),
+        "__pairs": F.when(F.col("type").isin(vocab.MULTI_VALUE_TYPES),
+                          card_pairs(lines_of(F.col("full_text")))),
+    })
     if indexed:
         paired = blocked_prefix_sum(
             paired, ["page", "type"], "ordinal", "type_index",
@@ -69,10 +70,8 @@ def expand_visuals(raw: DataFrame, indexed: bool = False) -> DataFrame:
     title = F.coalesce("label", first_line(F.col("full_text")))
     text = F.when(F.col("label").isNotNull(), F.concat_ws("\n", "label", "value")).otherwise(
         F.col("full_text"))
-    return (
-        flat.withColumn("title", title).withColumn("full_text", text)
-        .withColumn("noisy", is_noisy(F.col("title"))).drop("label")
-    )
+    return flat.withColumns({"title": title, "full_text": text}).withColumn(
+        "noisy", is_noisy(F.col("title"))).drop("label")
 
 
 def headings(visuals: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ def classified(raw: DataFrame, indexed: bool = False) -> DataFrame:
     Row by row and without a shuffle, unless `indexed` asks for the type index.
     """
     return (
-        expand_visuals(raw, indexed)
-        .withColumn("category", category(F.col("type"), F.col("title"), F.col("full_text")))
-        .withColumn("strategy", locating_strategy(F.col("title"), F.col("noisy")))
+        expand_visuals(raw, indexed).withColumns({
+            "category": category(F.col("type"), F.col("title"), F.col("full_text")),
+            "strategy": locating_strategy(F.col("title"), F.col("noisy")),
+        })
     )
 
 

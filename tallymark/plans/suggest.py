@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.text import contains_any, inferred_aggregate
-from tallymark.operators.catalog import best_tables, match_columns, set_confidence
+from tallymark.operators.catalog import header_sets, match_columns
 
 
 def suggest_kpis(cards: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -40,23 +40,16 @@ def suggest_tables(headers: DataFrame, catalog: DataFrame) -> DataFrame:
     Columns of other tables than the chosen one are left out.
     """
     matched = match_columns(headers, catalog)
-    table = best_tables(matched, ["visual_id"], "col_no").select(
-        "visual_id", F.col("db_table").alias("source_table"))
-    confidence = set_confidence(matched, ["visual_id"])
-    kept = (
-        matched.drop("confidence").join(table, "visual_id")
-        .where(F.col("db_table") == F.col("source_table"))
-    )
-    numeric = kept.groupBy("visual_id").agg(F.bool_or("is_numeric").alias("__any_numeric"))
+    chosen = header_sets(matched, ["visual_id"], "col_no").where(
+        F.col("db_table").isNotNull()).drop("score")
+    kept = matched.drop("confidence").join(chosen, ["visual_id", "db_table"])
     agg = inferred_aggregate(F.col("db_col"), F.col("db_type"))
     # Without any numeric column every column is tried as a measure.
-    measure = (F.col("is_numeric") | ~F.col("__any_numeric")) & (agg != "")
-    return (
-        kept.join(numeric, "visual_id").join(confidence, "visual_id")
-        .select("visual_id", "col_no", "header", "source_table", "db_col",
-                F.when(measure, F.lit("measure")).otherwise(F.lit("key")).alias("role"),
-                F.when(measure, agg).otherwise(F.lit("")).alias("agg"), "confidence")
-    )
+    measure = (F.col("is_numeric") | ~F.col("any_numeric")) & (F.col("guess") != "")
+    return kept.withColumn("guess", agg).select(
+        "visual_id", "col_no", "header", F.col("db_table").alias("source_table"), "db_col",
+        F.when(measure, F.lit("measure")).otherwise(F.lit("key")).alias("role"),
+        F.when(measure, F.col("guess")).otherwise(F.lit("")).alias("agg"), "confidence")
 
 
 def suggest_for_inventory(inventory: DataFrame, headers: DataFrame,
@@ -69,9 +62,9 @@ def suggest_for_inventory(inventory: DataFrame, headers: DataFrame,
         "visual_id", F.coalesce("heading", "title").alias("header"))
     kpis = suggest_kpis(cards, catalog).select("visual_id", "db_table", "confidence")
     charts = inventory.where(F.col("category") == "chart").select("visual_id")
-    tables = suggest_tables(headers.join(charts, "visual_id", "left_semi"), catalog).groupBy(
-        "visual_id").agg(F.min("source_table").alias("db_table"),
-                         F.min("confidence").alias("confidence"))
+    shown = match_columns(headers.join(charts, "visual_id", "left_semi"), catalog)
+    tables = header_sets(shown, ["visual_id"], "col_no").select(
+        "visual_id", "db_table", "confidence")
     found = kpis.unionByName(tables)
     return (
         inventory.where(F.col("category").isin("kpi", "chart")).select("visual_id", "category")

@@ -56,9 +56,8 @@ _BEST = """
 SELECT cs.visual_id, coalesce(db_table, '') AS db_table, score, confidence FROM cs LEFT JOIN bt ON bt.visual_id = cs.visual_id""")
 def best_table(t):
     matched = catalog.match_columns(t.sql(HEADERS), _catalog(t))
-    sets = catalog.set_confidence(matched, ["visual_id"])
-    best = catalog.best_tables(matched, ["visual_id"], "col_no")
-    return sets.join(best, "visual_id", "left").fillna("", ["db_table"])
+    return catalog.header_sets(matched, ["visual_id"], "col_no").drop("any_numeric").fillna(
+        "", ["db_table"])
 
 
 _COUNT_WORDS = ["count", "number of", "# of", "qty", "quantity"]
