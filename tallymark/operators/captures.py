@@ -84,23 +84,19 @@ def drop_repeats(rows: DataFrame, visual: list[str], cells: list[str], seq: str)
 
 
 def preview(cells: DataFrame, max_columns: int = 6, max_values: int = 4) -> DataFrame:
-    """Row count and first row of each visual.
+    """Row count and first row of each visual, from one pass over the cells.
 
-    Only cells of a visual's first row are gathered, so the arrays are as wide as the
-    grid and no longer.
+    A row's cells are gathered first, so no array is longer than the grid is wide.
     """
-    totals = cells.select("visual_id", "row_no").distinct().groupBy("visual_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("row_no").alias("row_no")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("col_no", "col_name", "raw")))
-    first = cells.join(totals, ["visual_id", "row_no"]).groupBy("visual_id", "rows").agg(
-        ordered.alias("__cells")
-    )
+    in_order = F.array_sort(F.collect_list(F.struct("col_no", "col_name", "raw")))
+    rows = cells.groupBy("visual_id", "row_no").agg(
+        F.slice(in_order, 1, max_columns).alias("cells"))
+    first = rows.groupBy("visual_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min_by("cells", "row_no").alias("cells"))
     return first.select(
         "visual_id", "rows",
-        F.array_join(F.transform(F.slice("__cells", 1, max_columns),
-                                 lambda x: x["col_name"]), ", ").alias("columns"),
-        F.array_join(F.transform(F.slice("__cells", 1, max_values),
+        F.array_join(F.transform("cells", lambda x: x["col_name"]), ", ").alias("columns"),
+        F.array_join(F.transform(F.slice("cells", 1, max_values),
                                  lambda x: F.coalesce(x["raw"], F.lit(""))), " | ")
         .alias("first_row"),
     )
@@ -127,14 +123,10 @@ def api_rows(responses: DataFrame) -> DataFrame:
     ).select("visual_id", "row_no", api_column(F.col("__name")).alias("col_name"), "raw")
 
 
-def _numbered(values: DataFrame, text: str, seq: str) -> DataFrame:
-    """Distinct texts of a visual, numbered from 0 in order of first sight."""
-    first = values.groupBy("visual_id", text).agg(F.min(seq).alias("__seq"))
-    return blocked_prefix_sum(first, ["visual_id"], "__seq", "__idx").drop("__seq")
-
-
-def _sizes(numbered: DataFrame, out: str) -> DataFrame:
-    return numbered.groupBy("visual_id").agg(F.count(F.lit(1)).alias(out))
+def _numbered(values: DataFrame, by: list[str], text: str, total: str | None = None) -> DataFrame:
+    """Distinct texts of a group, numbered from 0 in order of first sight (`seq`)."""
+    first = values.groupBy(*by, text).agg(F.min("seq").alias("seq"))
+    return blocked_prefix_sum(first, by, "seq", "idx", total=total).drop("seq")
 
 
 def labelled_points(labels: DataFrame) -> DataFrame:
@@ -149,67 +141,89 @@ def labelled_points(labels: DataFrame) -> DataFrame:
     ).select("visual_id", "seq", "__point.category", "__point.measure", "__point.value")
 
 
-def axis_labels(ticks: DataFrame) -> DataFrame:
-    """Ordered distinct axis labels; doubled text is halved, numbers are left out.
+def _axis_category(text: Column) -> Column:
+    """Label of an axis tick; doubled text is halved. Null for blanks and numbers."""
+    label = undouble(F.trim(text))
+    return F.when((label != "") & ~label.rlike(vocab.AXIS_NUMERIC), label)
 
-    `ticks(visual_id, seq, text)` gives `(visual_id, __idx, category)`.
-    """
-    named = ticks.select(
-        "visual_id", "seq", undouble(F.trim("text")).alias("category")
-    ).where((F.col("category") != "") & ~F.col("category").rlike(vocab.AXIS_NUMERIC))
-    return _numbered(named, "category", "seq")
+
+def _is_point_text(text: Column) -> Column:
+    return F.length(F.trim(text)) > 1
 
 
 def bars_on_axis(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """Bar i takes label i modulo the number of labels; repeated pairs are dropped.
 
-    `bars(visual_id, seq, value)` with `seq` counting from 0. Pairing is an
-    equi-join on the label number, with no label list per visual.
+    `bars(visual_id, seq, value)` with `seq` counting from 0, `ticks(visual_id, seq, text)`.
+    Labels are distinct and in order of first sight. Pairing is an equi-join on the label
+    number, with no label list per visual.
     """
-    labels = axis_labels(ticks)
-    numbered = bars.join(_sizes(labels, "__n"), "visual_id").select(
-        "visual_id", "seq", F.trim("value").alias("value"),
-        F.pmod(F.col("seq"), F.col("__n")).alias("__idx"),
-    ).where(F.coalesce("value", F.lit("")) != "")
-    paired = numbered.join(labels, ["visual_id", "__idx"])
-    return paired.groupBy("visual_id", "category", "value").agg(F.min("seq").alias("seq"))
+    named = ticks.select(
+        "visual_id", "seq", _axis_category(F.col("text")).alias("category")
+    ).where(F.col("category").isNotNull())
+    labels = _numbered(named, ["visual_id"], "category")
+    counts = named.select("visual_id", "category").distinct().groupBy("visual_id").agg(
+        F.count(F.lit(1)).alias("labels"))
+    placed = bars.withColumn("value", F.trim("value")).where(F.col("value") != "").join(
+        counts, "visual_id"
+    ).select("visual_id", "seq", "value", F.pmod("seq", "labels").alias("idx"))
+    return placed.join(labels, ["visual_id", "idx"]).groupBy(
+        "visual_id", "category", "value").agg(F.min("seq").alias("seq"))
 
 
 def text_pairs(texts: DataFrame) -> DataFrame:
     """Distinct names against distinct figures of a chart, when equally many.
 
-    `texts(visual_id, seq, text)`.
+    `texts(visual_id, seq, text)`. Names and figures are numbered apart and meet in one
+    aggregation on the number.
     """
-    usable = texts.select("visual_id", "seq", F.trim("text").alias("text")).where(
-        F.length("text") > 1
-    )
-    numeric = F.col("text").rlike(vocab.POINT_NUMERIC)
-    names = _numbered(usable.where(~numeric), "text", "seq")
-    figures = _numbered(usable.where(numeric), "text", "seq")
-    even = _sizes(names, "__names").join(_sizes(figures, "__figures"), "visual_id").where(
-        F.col("__names") == F.col("__figures")
-    ).select("visual_id")
-    return (
-        names.withColumnRenamed("text", "category")
-        .join(figures.withColumnRenamed("text", "value"), ["visual_id", "__idx"])
-        .join(even, "visual_id", "left_semi")
-        .select("visual_id", F.col("__idx").alias("seq"), "category", "value")
-    )
+    usable = texts.where(_is_point_text(F.col("text"))).select(
+        "visual_id", "seq", F.trim("text").alias("text"))
+    numeric = F.col("numeric")
+    numbered = _numbered(
+        usable.withColumn("numeric", F.col("text").rlike(vocab.POINT_NUMERIC)),
+        ["visual_id", "numeric"], "text", total="size")
+    met = numbered.groupBy("visual_id", "idx").agg(
+        F.max(F.when(~numeric, F.col("text"))).alias("category"),
+        F.max(F.when(numeric, F.col("text"))).alias("value"),
+        F.min("size").alias("smaller"), F.max("size").alias("larger"))
+    return met.where(
+        F.col("category").isNotNull() & F.col("value").isNotNull()
+        & (F.col("smaller") == F.col("larger"))
+    ).select("visual_id", F.col("idx").alias("seq"), "category", "value")
 
 
 def chart_points(labels: DataFrame, bars: DataFrame, ticks: DataFrame,
                  texts: DataFrame) -> DataFrame:
-    """Points of every chart from the first of the three ways that finds any."""
-    columns = ["visual_id", "method", "seq", "category", "measure", "value"]
-    none = F.lit(None).cast("string")
-    found = (
-        labelled_points(labels).withColumn("method", F.lit(1)).select(columns)
-        .unionByName(bars_on_axis(bars, ticks).withColumn("method", F.lit(2))
-                     .withColumn("measure", none).select(columns))
-        .unionByName(text_pairs(texts).withColumn("method", F.lit(3))
-                     .withColumn("measure", none).select(columns))
+    """Points of every chart from the first of the three ways that finds any.
+
+    Whether a way finds a point shows in its raw input, so the way is chosen per visual
+    before any pairing, and each way only works on its own visuals.
+    """
+    no = F.lit(False)
+
+    def shows(df: DataFrame, point: Column = no, tick: Column = no, bar: Column = no) -> DataFrame:
+        return df.select("visual_id", point.alias("point"), tick.alias("tick"), bar.alias("bar"))
+
+    evidence = (
+        shows(labels, point=point_label(F.col("label")).isNotNull())
+        .unionByName(shows(ticks, tick=_axis_category(F.col("text")).isNotNull()))
+        .unionByName(shows(bars, bar=F.trim("value") != ""))
+        .unionByName(shows(texts))
     )
-    best = found.groupBy("visual_id").agg(F.min("method").alias("method"))
-    return found.join(best, ["visual_id", "method"], "left_semi")
+    method = F.when(F.bool_or("point"), 1).when(F.bool_or("tick") & F.bool_or("bar"), 2).otherwise(3)
+    choice = evidence.groupBy("visual_id").agg(method.alias("method"))
+
+    def of(df: DataFrame, way: int) -> DataFrame:
+        return df.join(choice.where(F.col("method") == way), "visual_id", "left_semi")
 
+    def shaped(df: DataFrame, way: int) -> DataFrame:
+        measure = F.col("measure") if "measure" in df.columns else F.lit(None).cast("string")
+        return df.select("visual_id", F.lit(way).alias("method"), "seq", "category",
+                         measure.alias("measure"), "value")
 
+    return (
+        shaped(labelled_points(of(labels, 1)), 1)
+        .unionByName(shaped(bars_on_axis(of(bars, 2), of(ticks, 2)), 2))
+        .unionByName(shaped(text_pairs(of(texts, 3)), 3))
+    )

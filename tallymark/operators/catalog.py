@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallymark.functions.text import (
     is_date_type, is_numeric_type, is_text_type, match_form,
 )
-from tallymark.operators.ranking import left_join_null_safe
 
 GRAM = 4
 LEVEL_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "NONE": 0}
@@ -93,8 +92,8 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
         best = best.unionByName(first.select(F.lit("").alias("form"), F.struct(
             F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
 
-    matched = left_join_null_safe(
-        headers.withColumn("form", match_form(F.col("header"))), best, ["form"]).drop("form")
+    matched = headers.withColumn("form", match_form(F.col("header"))).join(
+        best, "form", "left").drop("form")
     level = F.lit("NONE")
     for name, value in LEVEL_WEIGHT.items():
         level = F.when(F.col("best.weight") == -value, name).otherwise(level)

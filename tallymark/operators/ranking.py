@@ -7,64 +7,54 @@ totals (a small table) carry the count of everything before the block.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.session import cut
 
-BLOCK_ROWS = 1 << 18
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on every key; still a hash-joinable condition."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+BLOCK_ROWS = 1 << 20
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be null; the key columns of `left` are kept."""
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    )
-    return left.join(renamed, condition, "left").drop(*[f"__r_{k}" for k in keys])
+    """Left join on keys that may be null; the key columns of `left` are kept.
+
+    The keys travel as one struct: structs with null fields are equal to each other, and
+    the join stays a plain equi-join.
+    """
+    found = right.select(
+        F.struct(*keys).alias("__key"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("__key", F.struct(*keys)).join(found, "__key", "left").drop("__key")
 
 
 def blocked_prefix_sum(
-    df: DataFrame, by: list[str], ordinal: str, out: str,
-    weight: Column | None = None, block_rows: int = BLOCK_ROWS,
+    df: DataFrame, by: list[str], ordinal: str, out: str, weight: Column | None = None,
+    total: str | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exclusive running sum of `weight` (default 1) in `ordinal` order per group.
 
     `ordinal` is a whole number, unique in its group, so a block of consecutive
-    ordinals has at most `block_rows` rows, however large the group is.
+    ordinals has at most `block_rows` rows, however large the group is. `total` names a
+    column for the sum over the whole group. Rows are shuffled once, by group and block;
+    the block totals are joined on the same partitioning.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    blocked = df.withColumn("__block", F.floor(F.col(ordinal) / block_rows)).withColumn(
-        "__weight", weight
-    )
-    keys = [*by, "__block"]
-    totals = blocked.groupBy(*keys).agg(F.sum("__weight").alias("__total"))
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = totals.select(
-        *keys, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried")
-    )
-    inside = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    local = blocked.withColumn(
-        "__local", F.coalesce(F.sum("__weight").over(inside), F.lit(0))
-    )
+    blocked = df.withColumns({
+        "__key": F.struct(*by), "__block": F.floor(F.col(ordinal) / block_rows),
+        "__weight": weight,
+    })
+    block = ["__key", "__block"]
+    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    extra = [F.sum("__total").over(Window.partitionBy("__key")).alias(total)] if total else []
+    carried = blocked.groupBy(*block).agg(F.sum("__weight").alias("__total")).select(
+        *block, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried"), *extra)
+    inside = Window.partitionBy(*block).orderBy(ordinal).rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = blocked.withColumn("__local", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     return (
-        left_join_null_safe(local, carried, keys)
+        local.join(carried, block)
         .withColumn(out, F.col("__carried") + F.col("__local"))
-        .drop("__block", "__weight", "__local", "__carried")
+        .drop("__key", "__block", "__weight", "__local", "__carried")
     )
 
 
@@ -103,23 +93,20 @@ def _position_in_hot_groups(
     runs = df.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("__n"))
     ordering = [F.col(c).asc_nulls_last() for c in [*group, *order]]
     placed = cut(
-        runs.repartitionByRange(*ordering).withColumn("__part", F.spark_partition_id())
-    )
-    keys = [*group, "__part"]
-    totals = placed.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = totals.select(
-        *keys, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried")
+        runs.repartitionByRange(*ordering)
+        .withColumns({"__part": F.spark_partition_id(), "__key": F.struct(*group)})
     )
-    inside = Window.partitionBy(*keys).orderBy(
+    part = ["__key", "__part"]
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*part).agg(F.sum("__n").alias("__total")).select(
+        *part, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried"))
+    inside = Window.partitionBy(*part).orderBy(
         *[F.col(c).asc_nulls_last() for c in order]
     ).rowsBetween(Window.unboundedPreceding, -1)
-    starts = left_join_null_safe(
-        placed.withColumn("__local", F.coalesce(F.sum("__n").over(inside), F.lit(0))),
-        carried, keys,
-    ).withColumn("__first", F.col("__carried") + F.col("__local") + 1)
+    local = placed.withColumn("__local", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    starts = local.join(carried, part).withColumn(
+        "__first", F.col("__carried") + F.col("__local") + 1)
 
     def spread(rows: DataFrame, first: Column, n: Column) -> DataFrame:
         return rows.select(

@@ -117,32 +117,36 @@ def locate(specs: DataFrame, visuals: DataFrame) -> DataFrame:
     """Visual of each spec: by title when it has one, else by type and index.
 
     `specs(spec_id, page, visual_title, visual_type, visual_index)`,
-    `visuals(page, ordinal, type, type_index, title)`. Two equi-joins, no OR.
+    `visuals(page, ordinal, type, type_index, title)`. Visuals become lookup entries, so
+    both ways are one equi-join and not an OR of two conditions.
     """
     titled = F.trim(F.coalesce("visual_title", F.lit(""))) != ""
     typed = ~titled & (F.coalesce("visual_type", F.lit("")) != "")
-    first = visuals.groupBy("page", "title").agg(F.min("ordinal").alias("ordinal"))
-    by_title = specs.where(titled | ~typed).join(
-        first.withColumnRenamed("title", "visual_title"), ["page", "visual_title"], "left"
-    ).withColumn("strategy", F.lit("title"))
-    positions = visuals.select(
-        "page", F.col("type").alias("visual_type"), F.col("type_index").alias("visual_index"),
-        "ordinal",
-    )
-    wanted = specs.where(typed).withColumn(
-        "visual_index", F.coalesce("visual_index", F.lit(0)).cast("bigint")
-    )
-    by_index = wanted.join(
-        positions, ["page", "visual_type", "visual_index"], "left"
-    ).withColumn("strategy", F.lit("type_index"))
-    columns = ["spec_id", "page", "visual_type", "strategy", "ordinal"]
-    counts = visuals.groupBy("page", F.col("type").alias("visual_type")).agg(
-        F.count(F.lit(1)).alias("available")
+    zero = F.lit(0).cast("bigint")
+
+    def entry(kind: str, name: Column, position: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), position.alias("position"))
+
+    places = (
+        visuals.select("page", "ordinal", F.inline(F.array(
+            entry("title", F.col("title"), zero),
+            entry("type_index", F.col("type"), F.col("type_index").cast("bigint")),
+            entry("type", F.col("type"), zero))))
+        .groupBy("page", "kind", "name", "position")
+        .agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("visuals"))
     )
+    wanted = specs.select(
+        "spec_id", "page", "visual_type",
+        F.when(typed, F.lit("type_index")).otherwise(F.lit("title")).alias("kind"),
+        F.when(typed, F.col("visual_type")).otherwise(F.col("visual_title")).alias("name"),
+        F.when(typed, F.coalesce("visual_index", F.lit(0)).cast("bigint")).otherwise(zero)
+        .alias("position"))
+    available = places.where(F.col("kind") == "type").select(
+        "page", F.col("name").alias("visual_type"), F.col("visuals").alias("available"))
     return (
-        by_title.select(*columns).unionByName(by_index.select(*columns))
-        .join(counts, ["page", "visual_type"], "left")
-        .select("spec_id", "page", "strategy", "ordinal",
+        wanted.join(places.drop("visuals"), ["page", "kind", "name", "position"], "left")
+        .join(available, ["page", "visual_type"], "left")
+        .select("spec_id", "page", F.col("kind").alias("strategy"), "ordinal",
                 F.col("ordinal").isNotNull().alias("found"),
                 F.coalesce("available", F.lit(0)).alias("available_of_type"))
     )

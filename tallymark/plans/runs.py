@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.classify import is_failure_line, test_group
-from tallymark.operators.ranking import BLOCK_ROWS, left_join_null_safe
+from tallymark.operators.ranking import BLOCK_ROWS
 
 
 def step_lines(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -19,32 +19,32 @@ def step_lines(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     from the block totals, so one long log is shared by many tasks. Gives `(test_id, step,
     seq, level, msg, is_start, failed)`; the start line carries the title in `msg`.
     """
-    is_start = F.col("msg").rlike(vocab.STEP_START)
-    mark = F.when(is_start, F.lit("S")).when(F.col("msg").rlike(vocab.STEP_END), F.lit("E"))
+    opens = F.when(F.col("msg").rlike(vocab.STEP_START), True).when(
+        F.col("msg").rlike(vocab.STEP_END), False)
     blocked = log.select(
-        "test_id", "seq", "level", "msg", mark.alias("__mark"),
-        F.floor(F.col("seq") / block_rows).alias("__block"))
-    keys = ["test_id", "__block"]
-    totals = blocked.where(F.col("__mark").isNotNull()).groupBy(*keys).agg(
-        F.count_if(F.col("__mark") == "S").alias("__starts"),
-        F.max_by("__mark", "seq").alias("__last"))
-    # Every block is needed here, marked or not, to receive what earlier blocks left open.
-    every = blocked.select(*keys).distinct()
-    before = Window.partitionBy("test_id").orderBy("__block").rowsBetween(
+        "test_id", "seq", "level", "msg", opens.alias("__opens"),
+        F.struct("test_id").alias("__key"), F.floor(F.col("seq") / block_rows).alias("__block"))
+    block = ["__key", "__block"]
+    starts = F.count_if(F.coalesce("__opens", F.lit(False)))
+    # The last mark of a block as one number, which a hash aggregate can keep.
+    last_mark = F.max(F.when(
+        F.col("__opens").isNotNull(), F.col("seq") * 2 + F.col("__opens").cast("bigint")))
+    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1)
-    carried = left_join_null_safe(every, totals, keys).select(
-        *keys, F.coalesce(F.sum("__starts").over(before), F.lit(0)).alias("__before"),
-        F.last("__last", True).over(before).alias("__open"))
-    inside = Window.partitionBy(*keys).orderBy("seq").rowsBetween(
+    carried = blocked.groupBy(*block).agg(
+        starts.alias("__starts"), last_mark.alias("__last"),
+    ).select(
+        *block, F.coalesce(F.sum("__starts").over(before), F.lit(0)).alias("__before"),
+        (F.pmod(F.last("__last", True).over(before), F.lit(2)) == 1).alias("__open"))
+    inside = Window.partitionBy(*block).orderBy("seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = blocked.withColumn(
-        "__count", F.count_if(F.col("__mark") == "S").over(inside)
-    ).withColumn("__state", F.last("__mark", True).over(inside))
+    local = blocked.withColumns({
+        "__count": starts.over(inside), "__state": F.last("__opens", True).over(inside)})
     return (
-        left_join_null_safe(local, carried, keys)
-        .where(F.coalesce("__state", "__open") == "S")
+        local.join(carried, block)
+        .where(F.coalesce("__state", "__open"))
         .select("test_id", (F.col("__before") + F.col("__count")).alias("step"), "seq", "level",
-                "msg", (F.coalesce("__mark", F.lit("")) == "S").alias("is_start"))
+                "msg", F.coalesce("__opens", F.lit(False)).alias("is_start"))
         .withColumn("failed", ~F.col("is_start") & is_failure_line(F.col("level"), F.col("msg")))
     )
 

@@ -72,8 +72,7 @@ def preview_snapshot(t):
 _SCROLLED = """
 SELECT l_orderkey AS visual_id, pass * 10000000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS seq,
   l_returnflag AS flag, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty
-FROM {lineitem}, (SELECT 0 AS pass UNION ALL SELECT 1 AS pass) p
-WHERE pass = 0 OR l_quantity > 20
+FROM (SELECT *, 0 AS pass FROM {lineitem} UNION ALL SELECT *, 1 AS pass FROM {lineitem} WHERE l_quantity > 20) l
 """
 
 
