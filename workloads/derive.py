@@ -146,7 +146,7 @@ SELECT (CASE WHEN p_type = 'PROMO' THEN 'fact_' ELSE '' END) || lower(p_type) AS
 FROM {part} GROUP BY p_type, p_name
 """
 HEADERS = """
-SELECT l_orderkey AS visual_id, CAST(min(l_linenumber) AS INT) AS col_no,
+SELECT l_orderkey AS visual_id, l_linenumber AS col_no,
   CASE (l_orderkey + l_partkey) % 9
     WHEN 0 THEN p_name
     WHEN 1 THEN upper(p_name)
@@ -158,7 +158,6 @@ SELECT l_orderkey AS visual_id, CAST(min(l_linenumber) AS INT) AS col_no,
     WHEN 7 THEN 'q' || CAST(l_orderkey AS STRING)
     ELSE 'Average ' || p_name || ' count' END AS header
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey
-GROUP BY l_orderkey, l_partkey, p_name
 """
 
 
