@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.compare import passes, relative_difference, value_status
 from tallymark.functions.numbers import display_number, plain_number
 from tallymark.operators.ranking import (
-    left_join_null_safe, position_in_group, top_per_group,
+    left_join_null_safe, position_in_group, semi_join_null_safe, top_per_group,
 )
 from tallymark.session import cut
 
@@ -29,13 +29,17 @@ def _number(df: DataFrame, column: str, displayed: bool) -> Column:
     return parsed if displayed else F.nanvl(parsed, F.lit(None).cast("double"))
 
 
-def _side(df: DataFrame, keys: list[str], measures: list[str], displayed: bool,
-          native_keys: list[str] = ()) -> DataFrame:
-    return df.select(
-        *[F.col(k) if k in native_keys else F.trim(F.col(k).cast("string")).alias(k)
-          for k in keys],
-        *[_number(df, m, displayed).alias(m) for m in measures],
-    )
+def _side(df: DataFrame, keys: list[Column], measures: list[str], displayed: bool) -> DataFrame:
+    return df.select(*keys, *[_number(df, m, displayed).alias(m) for m in measures])
+
+
+def _shared_keys(published: DataFrame, source: DataFrame, keys: list[str]) -> list[Column]:
+    """Keys that both sides can be compared on: native where the types agree, else as text."""
+    left, right = dict(published.dtypes), dict(source.dtypes)
+    return [
+        F.col(k) if left[k] == right[k] != "string" else F.trim(F.col(k).cast("string")).alias(k)
+        for k in keys
+    ]
 
 
 def _combine(tagged: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -52,7 +56,7 @@ def _combine(tagged: DataFrame, keys: list[str], measures: list[str]) -> DataFra
 
 def align_keyed(published: DataFrame, source: DataFrame, keys: list[str],
                 measures: list[str], duplicates: str = "occurrence") -> DataFrame:
-    """Rows of both sides on equal keys, compared as text.
+    """Rows of both sides on equal keys; keys of different types are compared as text.
 
     With `occurrence` the k-th smallest row of a repeated key meets the k-th
     smallest of the other side; the repeated keys are found first and only their rows
@@ -62,7 +66,8 @@ def align_keyed(published: DataFrame, source: DataFrame, keys: list[str],
     """
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates must be one of {DUPLICATES}")
-    pub, src = _side(published, keys, measures, True), _side(source, keys, measures, False)
+    shared = _shared_keys(published, source, keys)
+    pub, src = _side(published, shared, measures, True), _side(source, shared, measures, False)
     tagged = pub.withColumn("__pub", F.lit(True)).unionByName(
         src.withColumn("__pub", F.lit(False)))
     combined = _combine(tagged, keys, measures).withColumn(
@@ -73,8 +78,7 @@ def align_keyed(published: DataFrame, source: DataFrame, keys: list[str],
         *keys, "n_published", "n_source"))
     if repeated.isEmpty():
         return combined
-    marker = repeated.select(*keys, F.lit(True).alias("__repeated"))
-    rows = left_join_null_safe(tagged, marker, keys).where("__repeated").drop("__repeated")
+    rows = semi_join_null_safe(tagged, repeated, keys)
     sizes = repeated.select(F.lit(True).alias("__pub"), *keys, F.col("n_published").alias("n")
                             ).unionByName(repeated.select(
         F.lit(False).alias("__pub"), *keys, F.col("n_source").alias("n")))
@@ -91,8 +95,8 @@ def align_positional(published: DataFrame, source: DataFrame, visual: list[str],
     Keys keep their native type and are not compared. Rows beyond the shorter side
     come out with one side missing.
     """
-    pub = _side(published, [*visual, *keys], measures, True, keys)
-    src = _side(source, [*visual, *keys], measures, False, keys)
+    shared = [*_shared_keys(published, source, visual), *[F.col(k) for k in keys]]
+    pub, src = _side(published, shared, measures, True), _side(source, shared, measures, False)
     order = [*keys, *measures]
     left = position_in_group(pub, visual, order).select(
         *visual, "position", *[F.col(k).cast("string").alias(k) for k in keys],

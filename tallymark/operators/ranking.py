@@ -7,6 +7,8 @@ totals (a small table) carry the count of everything before the block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     return left.withColumn("__key", F.struct(*keys)).join(found, "__key", "left").drop("__key")
 
 
+def semi_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `left` whose keys, nulls included, occur in `right`."""
+    wanted = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]
+    return left.join(wanted, reduce(lambda a, b: a & b, same), "left_semi")
+
+
 def blocked_prefix_sum(
     df: DataFrame, by: list[str], ordinal: str, out: str, weight: Column | None = None,
     total: str | None = None, block_rows: int = BLOCK_ROWS,

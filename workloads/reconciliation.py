@@ -22,7 +22,7 @@ CASE WHEN NOT p THEN 'missing_in_published' WHEN NOT s THEN 'missing_in_source'
      CASE WHEN revenue = '–' THEN NULL ELSE CAST(substr(revenue, 2) AS DOUBLE) END AS published,
      floor(cents / 100) AS source
    FROM pub FULL JOIN src ON pub.priority = src.priority AND pub.yr = src.yr)
-SELECT priority, CAST(yr AS VARCHAR) AS yr, 'revenue' AS measure, published, source, {_STATUS} AS status,
+SELECT priority, yr, 'revenue' AS measure, published, source, {_STATUS} AS status,
        {_STATUS} IN ('match', 'both_null') AS passed
 FROM j""")
 def reconcile_keyed(t):
@@ -53,11 +53,11 @@ SELECT l_orderkey, l_linenumber, quantity FROM (
      b.l_orderkey IS NOT NULL AS s, CAST(a.quantity AS DOUBLE) AS published, CAST(b.quantity AS DOUBLE) AS source
    FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
      AND a.occurrence = b.occurrence)
-SELECT CAST(ok AS VARCHAR) AS l_orderkey, CAST(ln AS VARCHAR) AS l_linenumber, occurrence, published,
+SELECT ok AS l_orderkey, ln AS l_linenumber, occurrence, published,
        source, {_STATUS} AS status, {_STATUS} IN ('match', 'both_null') AS passed FROM j""")
 def reconcile_duplicates(t):
     published = t.sql(_PUBLISHED_LINES).select(
-        "l_orderkey", "l_linenumber", F.concat(F.lit("$"), F.col("quantity")).alias("quantity"))
+        "l_orderkey", "l_linenumber", F.concat(F.lit("$"), F.col("quantity").cast("string")).alias("quantity"))
     cells = align.reconcile(published, t.sql(_LINES), ["l_orderkey", "l_linenumber"], ["quantity"])
     return cells.drop("measure", "rel_diff")
 
@@ -122,7 +122,7 @@ def reconcile_summary(t):
 
 
 @query("failure_details", ctes(src=_SPEND, pub=_PUBLISHED_SPEND) + """
-SELECT src.priority, CAST(src.custkey AS VARCHAR) AS custkey,
+SELECT src.priority, src.custkey,
   '[' || src.custkey || '] Published=' || pub.cents || ' (parsed=' || format('{:,}', CAST(pub.cents AS BIGINT)) ||
   '.0000), Source=' || format('{:,}', CAST(src.cents AS BIGINT)) || '.0000, Diff=50.0000%, Tolerance=1.00% → FAIL' AS detail
 FROM src JOIN pub ON src.priority = pub.priority AND src.custkey = pub.custkey WHERE src.cents <> pub.cents""")
@@ -132,7 +132,7 @@ def failure_details(t):
                             visual=["priority"], duplicates="flag")
     failed = cells.where(F.col("status") == "mismatch")
     return failed.select("priority", "custkey", comparison_detail(
-        F.col("custkey"), F.col("published").cast("bigint").cast("string"), F.col("published"),
+        F.col("custkey").cast("string"), F.col("published").cast("bigint").cast("string"), F.col("published"),
         F.col("source"), F.col("rel_diff"), F.lit(0.01), F.col("passed")).alias("detail"))
 
 
