@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tallymark.functions import vocab
 from tallymark.functions.text import api_column, point_label, undouble
 from tallymark.operators.ranking import blocked_prefix_sum
+from tallymark.operators.skew import spread_join
 
 API_BODY = T.StructType([
     T.StructField("results", T.ArrayType(T.StructType([
@@ -215,7 +216,8 @@ def chart_points(labels: DataFrame, bars: DataFrame, ticks: DataFrame,
     choice = evidence.groupBy("visual_id").agg(method.alias("method"))
 
     def of(df: DataFrame, way: int) -> DataFrame:
-        return df.join(choice.where(F.col("method") == way), "visual_id", "left_semi")
+        return spread_join(
+            df, choice.where(F.col("method") == way), ["visual_id"], ["seq"], "left_semi")
 
     def shaped(df: DataFrame, way: int) -> DataFrame:
         measure = F.col("measure") if "measure" in df.columns else F.lit(None).cast("string")

@@ -92,6 +92,7 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
         best = best.unionByName(first.select(F.lit("").alias("form"), F.struct(
             F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
 
+    # Nothing after this join needs its partitioning, so Spark may split a hot form.
     matched = headers.withColumn("form", match_form(F.col("header"))).join(
         best, "form", "left").drop("form")
     level = F.lit("NONE")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.compare import passes, selection_matches, text_matches, value_status
 from tallymark.functions.numbers import display_number, plain_number
 from tallymark.functions.text import error_phrase
+from tallymark.operators.skew import spread_join
 from tallymark.operators.visuals import first_slicers
 from tallymark.plans.specs import drop_blank, filled
 
@@ -71,13 +72,14 @@ def validate_kpis(specs: DataFrame, captured: DataFrame, values: DataFrame) -> D
 # --- Table checks ---------------------------------------------------------------
 
 def source_health(sources: dict[str, DataFrame]) -> DataFrame:
-    """`(source, has_rows)`; each source is read until its first row and no further."""
-    probes = [
-        df.limit(1).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("source"), (F.col("n") > 0).alias("has_rows"))
-        for name, df in sources.items()
-    ]
-    return reduce(DataFrame.unionByName, probes)
+    """`(source, has_rows)`; each source is read until its first row and no further.
+
+    The probe tries one partition and widens only while it finds nothing, where a limit
+    inside a larger query would touch every partition.
+    """
+    spark = next(iter(sources.values())).sparkSession
+    found = [(name, not df.isEmpty()) for name, df in sources.items()]
+    return spark.createDataFrame(found, "source string, has_rows boolean")
 
 
 def route(tier: Column, has_api: Column, has_source: Column, dom_rows: Column,
@@ -147,8 +149,9 @@ def validate_tables(specs: DataFrame, dom: DataFrame, api: DataFrame, source: Da
         .when((shown_cells > 1) | (F.col("source_cells") > 1), F.lit("duplicate_key"))
         .otherwise(value_status(shown, F.col("source_value"), F.col("tolerance"), null_policy))
     )
+    # The cells of one visual may be most of the data, hence the spread.
     failed = (
-        aligned.join(compared, "visual_id")
+        spread_join(aligned, compared, ["visual_id"], ["row_key", "col_name"])
         .where((shown_cells > 0) | (F.col("source_cells") > 0))
         .groupBy("visual_id")
         .agg(F.count(F.lit(1)).alias("cells"),
