@@ -41,9 +41,9 @@ def _entries(kind: str, keys: Column) -> Column:
         F.lit(kind).alias("kind"), k.alias("key")))
 
 
-def match_columns(headers: DataFrame, catalog: DataFrame,
-                  empty_header_matches: bool = False) -> DataFrame:
-    """Best catalog column of each header with its confidence.
+def best_columns(headers: DataFrame, catalog: DataFrame,
+                 empty_header_matches: bool = False) -> DataFrame:
+    """Best catalog column of each distinct header form, as `(form, best)`.
 
     HIGH: same letters and digits. MEDIUM: one contains the other. LOW: they share four
     characters in a row. Within a level the first table and column wins.
@@ -87,11 +87,20 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
         lookups.join(index, ["kind", "key"])
         .groupBy("form").agg(F.min(F.struct((-weight).alias("weight"), "place")).alias("best"))
     )
-    if empty_header_matches:
-        first = columns.agg(F.min("place").alias("place")).where(F.col("place").isNotNull())
-        best = best.unionByName(first.select(F.lit("").alias("form"), F.struct(
-            F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
+    if not empty_header_matches:
+        return best
+    first = columns.agg(F.min("place").alias("place")).where(F.col("place").isNotNull())
+    return best.unionByName(first.select(F.lit("").alias("form"), F.struct(
+        F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
+
+
+def match_columns(headers: DataFrame, catalog: DataFrame,
+                  empty_header_matches: bool = False) -> DataFrame:
+    """Headers with their best catalog column, its confidence and type family."""
+    return attach_columns(headers, best_columns(headers, catalog, empty_header_matches))
+
 
+def attach_columns(headers: DataFrame, best: DataFrame) -> DataFrame:
     # Nothing after this join needs its partitioning, so Spark may split a hot form.
     matched = headers.withColumn("form", match_form(F.col("header"))).join(
         best, "form", "left").drop("form")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.text import contains_any, inferred_aggregate
-from tallymark.operators.catalog import header_sets, match_columns
+from tallymark.operators.catalog import (
+    attach_columns, best_columns, header_sets, match_columns,
+)
+from tallymark.session import cut
 
 
 def suggest_kpis(cards: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -39,7 +42,9 @@ def suggest_tables(headers: DataFrame, catalog: DataFrame) -> DataFrame:
     column, role (`key` or `measure`), aggregate and the confidence of the whole set.
     Columns of other tables than the chosen one are left out.
     """
-    matched = match_columns(headers, catalog)
+    # Needed twice, and no larger than the distinct headers: kept instead of found again.
+    best = cut(best_columns(headers, catalog))
+    matched = attach_columns(headers, best)
     chosen = header_sets(matched, ["visual_id"], "col_no").where(
         F.col("db_table").isNotNull()).drop("score")
     kept = matched.drop("confidence").join(chosen, ["visual_id", "db_table"])
