@@ -101,6 +101,7 @@ def match_columns(headers: DataFrame, catalog: DataFrame,
 
 
 def attach_columns(headers: DataFrame, best: DataFrame) -> DataFrame:
+    """Headers with the columns found by `best_columns`; NONE where there is none."""
     # Nothing after this join needs its partitioning, so Spark may split a hot form.
     matched = headers.withColumn("form", match_form(F.col("header"))).join(
         best, "form", "left").drop("form")
