@@ -105,6 +105,14 @@ def _long(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.unpivot([], [F.col(f"`{n}`") for n in names], "kpi", "value")
 
 
+def _in_year(column: str, type_name: str, year: int) -> Column:
+    """A range and not `year(column)`, so that files and row groups can be skipped."""
+    since = F.col(column) >= F.lit(f"{year:04d}-01-01").cast(type_name)
+    if year == 9999:
+        return since
+    return since & (F.col(column) < F.lit(f"{year + 1:04d}-01-01").cast(type_name))
+
+
 def slicer_predicate(df: DataFrame, slicers: Sequence[Slicer],
                      first_year_only: bool = False) -> Column:
     """Row filter for the selected slicer values, all of them combined.
@@ -126,8 +134,9 @@ def slicer_predicate(df: DataFrame, slicers: Sequence[Slicer],
             continue
         dated = types[column].startswith(("date", "timestamp"))
         if dated and all(v.isdigit() and len(v) == 4 for v in values):
-            years = [int(v) for v in values]
-            tests.append(F.year(column).isin(years[:1] if first_year_only else years))
+            years = sorted({int(v) for v in (values[:1] if first_year_only else values)})
+            in_years = [_in_year(column, types[column], y) for y in years]
+            tests.append(reduce(lambda a, b: a | b, in_years))
         elif len(values) == 1:
             tests.append(F.col(column) == values[0])
         else:
