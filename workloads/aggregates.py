@@ -97,7 +97,7 @@ def topk_products(t):
 
 
 @query("slicer_filter", """
-SELECT o_orderpriority AS priority, year(o_orderdate) AS yr, count(*) AS order_count FROM orders
+SELECT o_orderpriority AS priority, CAST(year(o_orderdate) AS INT) AS yr, count(*) AS order_count FROM orders
 WHERE year(o_orderdate) IN (1996, 1998) AND o_orderstatus = 'F'
   AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL""")
 def slicer_filter(t):

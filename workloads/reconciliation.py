@@ -22,7 +22,7 @@ CASE WHEN NOT p THEN 'missing_in_published' WHEN NOT s THEN 'missing_in_source'
      CASE WHEN revenue = '–' THEN NULL ELSE CAST(substr(revenue, 2) AS DOUBLE) END AS published,
      floor(cents / 100) AS source
    FROM pub FULL JOIN src ON pub.priority = src.priority AND pub.yr = src.yr)
-SELECT priority, yr, 'revenue' AS measure, published, source, {_STATUS} AS status,
+SELECT priority, CAST(yr AS INT) AS yr, 'revenue' AS measure, published, source, {_STATUS} AS status,
        {_STATUS} IN ('match', 'both_null') AS passed
 FROM j""")
 def reconcile_keyed(t):
