@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymark.llm import sharding, urls
+from tallymark.llm import (
+    licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
+)
 from tallymark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +26,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out_column(F.col("doc_id")).alias("held_out"),
+                         "score", "predicted")
+
+
 @query("op3_url_filters")
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit(urls.labelled_urls(spark))
@@ -31,6 +43,31 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query("op4_secret_scan")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    network = secret_scan.fit(secret_scan.labelled_findings())
+    return secret_scan.find_secrets(load(spark, sf_dir, "documents"), network, ["doc_id"])
+
+
+@query("op7_mixing", mixing.SQL)
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    return quality.judge_quality(docs, model, ["doc_id"])
+
+
+@query("op9_license_scan")
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs, licenses.build_index(docs)).drop("matches")
+
+
 @query("op10_sharding")
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
