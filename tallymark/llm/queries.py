@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
+    decontamination, jaccard, licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
 )
 from tallymark.session import load
 
@@ -49,6 +49,18 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(load(spark, sf_dir, "documents"), network, ["doc_id"])
 
 
+@query("op5_decontamination", decontamination.SQL)
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontamination.digest_columns(found)
+
+
+@query("op6_jaccard_join", jaccard.SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.SQL)
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).select(
