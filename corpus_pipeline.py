@@ -1,8 +1,82 @@
-"""Corpus pipeline: registered as query `pipeline` together with the queries of the llm package."""
+"""Corpus pipeline: quality, near duplicates, benchmark passages, mixing, shards.
 
-from tallymark.llm.queries import ORACLES, QUERIES
+`STAGES` are functions of (spark, docs, sf_dir); each reads all rows that its predecessor kept. `run`
+writes every stage as Parquet to the shared folder and reads it again for the next one.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymark.llm import decontamination, jaccard, mixing, quality, sharding
+from tallymark.llm.queries import ORACLES as LLM_ORACLES
+from tallymark.llm.queries import QUERIES as LLM_QUERIES
+from tallymark.session import load, shared_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the boosted trees."""
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    judged = quality.judge_quality(docs, model, list(COLUMNS))
+    return judged.where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts: the one with the least id.
+
+    Documents without an id are told apart by their texts. Of rows with one id, one stays.
+    """
+    stand_in = -1 - F.shiftrightunsigned(F.xxhash64("text"), 1)
+    told = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("__id"))
+    groups = jaccard.jaccard_components(told, doc_id="__id")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return told.join(first, "__id", "left_semi").dropDuplicates(["__id"]).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    found = decontamination.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+    hit = found.where(F.size("spans") > 0).select(
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    same = (F.xxhash64("text") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.select(*COLUMNS).join(hit, same, "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; ids are unique here, or texts where they lack."""
+    told = docs.select(*COLUMNS, F.xxhash64("text").alias("digest"))
+    taken = mixing.mix_sources(told, carry=("digest",)).where("copies > 0").select(
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "copies")
+    same = (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return told.join(taken, same).select(
+        *COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
+    ).select(*COLUMNS)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row of the mix."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_rules), ("near_duplicates", near_duplicates),
+    ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded),
+]
+#: The quality model is fitted, which SQL does not express; tests compare with brute force.
 ORACLE_SQL = None
 
-__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES"]
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+QUERIES = {**LLM_QUERIES, "pipeline": run}
+ORACLES = {**LLM_ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}

@@ -93,20 +93,21 @@ def split_draws(draws: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFr
 
 
 def mix_sources(docs: DataFrame, levels: int = LEVELS, seed: int = 0, doc_id: str = "doc_id",
-                text: str = "text", source: str = "source") -> DataFrame:
+                text: str = "text", source: str = "source",
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, shards, local_key), a row per row.
 
     `copies` is how often the mix takes the document, `taken` the words of these copies, `shards` the
     output shard of each copy. A null text is empty; a null source is a source, the last one.
     Documents without words count as taken where the draw passes them, and add nothing. Repeated
     rows and ids are rows like any other. An empty table gives no rows. Runs agree: every draw is a
-    hash of ids and `seed`.
+    hash of ids and `seed`. Columns named in `carry` are kept under their names.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     sized = cut(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         word_count(F.col(text)).alias("size"),
-        F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").alias("key")))
+        F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").alias("key"), *carry))
     targets = cut(source_targets(sized).withColumn(
         "source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     dealt = left_join_null_safe(
@@ -146,7 +147,7 @@ def mix_sources(docs: DataFrame, levels: int = LEVELS, seed: int = 0, doc_id: st
             (F.col("copies") * F.col("size")).alias("taken"),
             F.coalesce(F.slice("block_shards", F.lit(1), F.col("copies").cast("int")),
                        F.array().cast("array<int>")).alias("shards"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("local_key"))
+            F.xxhash64(F.lit(seed), "doc_id").alias("local_key"), *carry)
     )
 
 

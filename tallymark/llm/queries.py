@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    decontamination, jaccard, licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
+    chat, decontamination, jaccard, licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
 )
 from tallymark.session import load
 
@@ -26,6 +26,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_chat_format")
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(chat.with_tool_use(load(spark, sf_dir, "conversations")))
+
+
 @query("op2_toxicity")
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
