@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymark.functions.numbers import display_number
+from tallymark.functions.numbers import display_number, strip
 
 NULL_POLICIES = ("match", "strict")
 
@@ -47,7 +47,7 @@ def passes(status: Column, null_policy: str = "match") -> Column:
 def text_matches(raw: Column, expected: Column) -> Column:
     """Case-blind: the trimmed expected text occurs in the captured text."""
     return F.coalesce(
-        F.contains(F.lower(F.trim(raw)), F.lower(F.trim(expected))), F.lit(False)
+        F.contains(F.lower(strip(raw)), F.lower(strip(expected))), F.lit(False)
     )
 
 
@@ -58,7 +58,7 @@ def extracted(raw: Column) -> Column:
 
 def selection_matches(values: Column, expected: Column) -> Column:
     """Slicer state against the expected value."""
-    want = F.trim(F.coalesce(expected, F.lit("")))
+    want = strip(F.coalesce(expected, F.lit("")))
     return F.coalesce(
         F.array_contains(values, want)
         | ((F.lower(want) == "all") & (values == F.array(F.lit("All"))))

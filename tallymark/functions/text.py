@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
+from tallymark.functions.numbers import strip
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -25,18 +26,18 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def normalise_header(name: Column, space_to_underscore: bool = False) -> Column:
-    out = F.lower(F.trim(name))
+    out = F.lower(strip(name))
     return F.replace(out, F.lit(" "), F.lit("_")) if space_to_underscore else out
 
 
 def lines_of(text: Column) -> Column:
     """Trimmed, non-blank lines."""
-    trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
-    return F.filter(trimmed, lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
 def first_line(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(lines_of(text), F.lit(1)), F.lit(""))
+    """First line with text, trimmed; the rest of a long text is not read."""
+    return F.coalesce(strip(F.regexp_extract(text, r"(?U)^\s*([^\n]*)", 1)), F.lit(""))
 
 
 def is_noisy(title: Column) -> Column:
@@ -75,15 +76,15 @@ def point_label(label: Column) -> Column:
     """`Category. Measure. Value.` as a struct; null when it is not a point."""
     def point(parts: Column) -> Column:
         size = F.size(parts)
-        measure = F.when(size == 3, F.trim(F.get(parts, F.lit(1)))).when(size > 3, F.array_join(
+        measure = F.when(size == 3, strip(F.get(parts, F.lit(1)))).when(size > 3, F.array_join(
             F.slice(parts, F.lit(2), F.greatest(size - 2, F.lit(0))), ", "))
-        return F.when((F.length(F.trim(label)) >= 3) & (size >= 2), F.struct(
-            F.trim(F.get(parts, F.lit(0))).alias("category"),
+        return F.when((F.length(strip(label)) >= 3) & (size >= 2), F.struct(
+            strip(F.get(parts, F.lit(0))).alias("category"),
             measure.alias("measure"),
-            F.trim(F.try_element_at(parts, F.lit(-1))).alias("value"),
+            strip(F.try_element_at(parts, F.lit(-1))).alias("value"),
         ))
 
-    return let(F.split(F.regexp_replace(F.trim(label), r"\.$", ""), r"\. "), point)
+    return let(F.split(F.regexp_replace(strip(label), r"\.$", ""), r"\. "), point)
 
 
 def api_column(name: Column) -> Column:

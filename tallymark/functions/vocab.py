@@ -103,4 +103,3 @@ GROUP_KPI = "GROUP 2 — KPI VALIDATION"
 GROUP_TABLE = "GROUP 3 — TABLE VALIDATION"
 GROUP_OTHER = "GROUP 4 — OTHER DASHBOARD TESTS"
 
-CONFIDENCE_LEVELS = ["HIGH", "MEDIUM", "LOW", "NONE"]

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.compare import passes, relative_difference, value_status
-from tallymark.functions.numbers import display_number, plain_number
+from tallymark.functions.numbers import display_number, plain_number, strip
+from tallymark.functions.text import normalise_header
 from tallymark.operators.ranking import (
-    left_join_null_safe, position_in_group, semi_join_null_safe, top_per_group,
+    position_in_group, semi_join_null_safe,
 )
 from tallymark.session import cut
 
@@ -37,15 +38,16 @@ def _shared_keys(published: DataFrame, source: DataFrame, keys: list[str]) -> li
     """Keys that both sides can be compared on: native where the types agree, else as text."""
     left, right = dict(published.dtypes), dict(source.dtypes)
     return [
-        F.col(k) if left[k] == right[k] != "string" else F.trim(F.col(k).cast("string")).alias(k)
+        F.col(k) if left[k] == right[k] != "string" else strip(F.col(k).cast("string")).alias(k)
         for k in keys
     ]
 
 
-def _combine(tagged: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+def _combine(tagged: DataFrame, keys: list[str], measures: list[str],
+             more: list[Column] = ()) -> DataFrame:
     """One row per key of the tagged union: both values of each measure and row counts."""
     is_pub = F.col("__pub")
-    pairs = []
+    pairs = list(more)
     for m in measures:
         pairs.append(F.max(F.when(is_pub, F.col(m))).alias(f"published_{m}"))
         pairs.append(F.max(F.when(~is_pub, F.col(m))).alias(f"source_{m}"))
@@ -98,18 +100,11 @@ def align_positional(published: DataFrame, source: DataFrame, visual: list[str],
     shared = [*_shared_keys(published, source, visual), *[F.col(k) for k in keys]]
     pub, src = _side(published, shared, measures, True), _side(source, shared, measures, False)
     order = [*keys, *measures]
-    left = position_in_group(pub, visual, order).select(
-        *visual, "position", *[F.col(k).cast("string").alias(k) for k in keys],
-        *[F.col(m).alias(f"published_{m}") for m in measures],
-        F.lit(1).cast("bigint").alias("n_published"),
-    )
-    right = position_in_group(src, visual, order).select(
-        *visual, "position", *[F.col(m).alias(f"source_{m}") for m in measures],
-        F.lit(1).cast("bigint").alias("n_source"),
-    )
-    return left.join(right, [*visual, "position"], "full_outer").fillna(
-        0, ["n_published", "n_source"]
-    )
+    # The null keys of a visual meet in an aggregation, as in the keyed form; a join would part them.
+    placed = position_in_group(pub, visual, order).withColumn("__pub", F.lit(True)).unionByName(
+        position_in_group(src, visual, order).withColumn("__pub", F.lit(False)))
+    shown_keys = [F.max(F.when(F.col("__pub"), F.col(k).cast("string"))).alias(k) for k in keys]
+    return _combine(placed, [*visual, "position"], measures, shown_keys)
 
 
 def compare_cells(aligned: DataFrame, measures: list[str], tolerance: Column,
@@ -181,10 +176,10 @@ def missing_columns(cells: DataFrame, required: DataFrame) -> DataFrame:
     `cells(visual_id, col_name)`, `required(visual_id, required_col)`.
     """
     present = cells.select(
-        "visual_id", F.lower(F.trim("col_name")).alias("required_col")
+        "visual_id", normalise_header(F.col("col_name")).alias("required_col")
     ).distinct()
     lacking = required.select(
-        "visual_id", F.lower("required_col").alias("required_col")
+        "visual_id", normalise_header(F.col("required_col")).alias("required_col")
     ).join(present, ["visual_id", "required_col"], "left_anti")
     available = present.groupBy("visual_id").agg(
         F.array_join(F.array_sort(F.collect_set("required_col")), ", ").alias("available")
@@ -204,20 +199,14 @@ def row_counts(published: DataFrame, source: DataFrame, by: list[str]) -> DataFr
     return counts.withColumn("passed", F.col("published_rows") == F.col("source_rows"))
 
 
-def summarise_cells(cells: DataFrame, by: list[str], detail: Column, details: int = 5) -> DataFrame:
-    """Verdict per visual with up to `details` failure lines.
-
-    The lines are a preview; every failure stays in the cell frame.
-    """
-    totals = cells.groupBy(*by).agg(
+def summarise_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells, failed cells and verdict per visual; `failure_lines` has what failed."""
+    return cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(~F.col("passed")).alias("failed_cells"),
     ).withColumn("passed", F.col("failed_cells") == 0)
-    failures = cells.where(~F.col("passed")).select(*by, detail.alias("__line"))
-    kept = top_per_group(failures, by, [F.col("__line").asc()], details)
-    lines = kept.groupBy(*by).agg(
-        F.array_join(F.array_sort(F.collect_list("__line")), "\n").alias("detail")
-    )
-    return left_join_null_safe(totals, lines, by).withColumn(
-        "detail", F.coalesce("detail", F.lit(""))
-    )
+
+
+def failure_lines(cells: DataFrame, by: list[str], detail: Column) -> DataFrame:
+    """`(*by, detail)`: one row for every failed cell, however many a visual has."""
+    return cells.where(~F.col("passed")).select(*by, detail.alias("detail"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import vocab
+from tallymark.functions.numbers import strip
 from tallymark.functions.text import api_column, point_label, undouble
 from tallymark.operators.ranking import blocked_prefix_sum
 from tallymark.operators.skew import spread_join
@@ -39,7 +40,7 @@ def named_cells(headers: Column, cells: Column, strict: bool = False) -> Column:
 def drop_empty_rows(cells: DataFrame, row_keys: list[str]) -> DataFrame:
     """Cells of rows in which at least one cell has text."""
     filled = cells.groupBy(*row_keys).agg(
-        F.bool_or(F.coalesce(F.trim("raw"), F.lit("")) != "").alias("__filled")
+        F.bool_or(F.coalesce(strip(F.col("raw")), F.lit("")) != "").alias("__filled")
     ).where("__filled").drop("__filled")
     return cells.join(filled, row_keys, "left_semi")
 
@@ -48,7 +49,7 @@ def grid(cells: DataFrame, row_keys: list[str], headers: list[str]) -> DataFrame
     """Wide rows of a captured grid; rows without any text are dropped."""
     wide = cells.groupBy(*row_keys).pivot("col_name", headers).agg(F.first("raw", True))
     return wide.where(F.exists(
-        F.array(*[F.col(f"`{h}`") for h in headers]), lambda x: F.coalesce(x, F.lit("")) != ""
+        F.array(*[F.col(f"`{h}`") for h in headers]), lambda x: F.coalesce(strip(x), F.lit("")) != ""
     ))
 
 
@@ -155,8 +156,8 @@ def _is_point_text(text: Column) -> Column:
 def bars_on_axis(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """Bar i takes label i modulo the number of labels; repeated pairs are dropped.
 
-    `bars(visual_id, seq, value)` with `seq` counting from 0, `ticks(visual_id, seq, text)`.
-    Labels are distinct and in order of first sight. Pairing is an equi-join on the label
+    `bars(visual_id, seq, value)`, `ticks(visual_id, seq, text)`. Bars are numbered from 0 in the
+    order of `seq`, which may have gaps; blank bars count but give no point. Labels are distinct and in order of first sight. Pairing is an equi-join on the label
     number, with no label list per visual.
     """
     named = ticks.select(
@@ -165,9 +166,10 @@ def bars_on_axis(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     labels = _numbered(named, ["visual_id"], "category")
     counts = named.select("visual_id", "category").distinct().groupBy("visual_id").agg(
         F.count(F.lit(1)).alias("labels"))
-    placed = bars.withColumn("value", F.trim("value")).where(F.col("value") != "").join(
+    numbered = blocked_prefix_sum(bars.select("visual_id", "seq", "value"), ["visual_id"], "seq", "bar")
+    placed = numbered.withColumn("value", F.trim("value")).where(F.col("value") != "").join(
         counts, "visual_id"
-    ).select("visual_id", "seq", "value", F.pmod("seq", "labels").alias("idx"))
+    ).select("visual_id", "seq", "value", F.pmod("bar", "labels").alias("idx"))
     return placed.join(labels, ["visual_id", "idx"]).groupBy(
         "visual_id", "category", "value").agg(F.min("seq").alias("seq"))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.classify import CHART_TYPES, effective_type
+from tallymark.functions.numbers import strip
 from tallymark.functions.text import first_line, is_noisy, let, lines_of
-from tallymark.operators.ranking import blocked_prefix_sum, first_per_group
+from tallymark.operators.ranking import blocked_prefix_sum
 
 HEADING_GAP = 80
 HEADING_OVERLAP = 0.30
@@ -173,11 +174,14 @@ def card_values(specs: DataFrame, visuals: DataFrame) -> DataFrame:
         return F.struct(F.lit(rank).alias("rank"), position.cast("int").alias("line_no"),
                         title.alias("visual_title"), value.alias("raw"))
 
+    def parts_of(line: Column) -> Column:
+        return F.filter(F.transform(F.split(line, "\t"), strip), lambda p: p != "")
+
     own = F.array(candidate(1, F.lit(0), F.get("lines", F.lit(0)), own_value))
     after = F.transform("lines", lambda x, i: candidate(2, i, x, F.get("lines", i + 1)))
     tabbed = F.transform("lines", lambda x, i: candidate(
-        3, i, F.trim(F.get(F.split(x, "\t"), F.lit(0))),
-        F.when(F.size(F.split(x, "\t")) == 2, F.trim(F.get(F.split(x, "\t"), F.lit(1))))))
+        3, i, F.get(parts_of(x), F.lit(0)),
+        F.when(F.size(parts_of(x)) == 2, F.get(parts_of(x), F.lit(1)))))
     usable = F.filter(F.concat(own, after, tabbed), lambda c:
                       c["visual_title"].isNotNull() & F.coalesce(c["raw"] != "", F.lit(False))
                       & ((c["rank"] == 1) | (c["visual_title"] != F.get("lines", F.lit(0)))))
@@ -209,11 +213,6 @@ def page_slicers(visuals: DataFrame) -> DataFrame:
     )
 
 
-def first_slicers(slicers: DataFrame) -> DataFrame:
-    """The slicer a title refers to: the first one with it on the page."""
-    return first_per_group(slicers, ["page", "slicer_title"], [F.col("ordinal")])
-
-
 def page_titles(visuals: DataFrame) -> DataFrame:
     """`(page, ordinal, title)` of named pages and titled visuals, one row per title."""
     return visuals.select(

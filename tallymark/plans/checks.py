@@ -7,16 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.compare import passes, selection_matches, text_matches, value_status
-from tallymark.functions.numbers import display_number, plain_number
-from tallymark.functions.text import error_phrase
+from tallymark.functions.compare import (
+    passes, relative_difference, selection_matches, text_matches, value_status,
+)
+from tallymark.functions.numbers import comparison_detail, display_number, plain_number
+from tallymark.functions.text import error_phrase, human_label
+from tallymark.operators.ranking import first_per_group
 from tallymark.operators.skew import spread_join
-from tallymark.operators.visuals import first_slicers
 from tallymark.plans.specs import drop_blank, filled
 
 TIERS = ("auto", "dom", "api", "source")
 
 
+def on_page_or_any(specs: DataFrame, found: DataFrame, title: str, current_page: str | None) -> DataFrame:
+    """Specs with the first row of `found` that has their title on their page.
+
+    `found(page, <title>, ordinal, ...)`. A blank page means the current one; without a current page
+    such a spec takes the first row with its title on any page. The two kinds of specs meet their
+    rows in two joins on equal keys; the page of a spec stays as given.
+    """
+    rest = [c for c in found.columns if c not in ("page", title, "ordinal")]
+    order = [F.col("ordinal"), *[F.col(c) for c in rest]]
+    asked = specs.withColumn("__page", F.when(filled("page"), F.col("page")).otherwise(F.lit(current_page)))
+    shown = found.withColumn("page", F.coalesce(F.col("page"), F.lit("")))
+    here = first_per_group(shown, ["page", title], order).drop("ordinal").withColumnRenamed("page", "__page")
+    placed = asked.where(F.col("__page").isNotNull()).join(here, ["__page", title], "left")
+    if current_page is None:
+        anywhere = first_per_group(shown.drop("page"), [title], order).drop("ordinal")
+        placed = placed.unionByName(
+            asked.where(F.col("__page").isNull()).join(anywhere, title, "left"))
+    return placed.drop("__page")
+
+
 # --- KPI checks -----------------------------------------------------------------
 
 def kpi_mode(has_sql: Column, has_file: Column, expected: Column, is_text: Column) -> Column:
@@ -30,15 +52,18 @@ def kpi_mode(has_sql: Column, has_file: Column, expected: Column, is_text: Colum
     )
 
 
-def validate_kpis(specs: DataFrame, captured: DataFrame, values: DataFrame) -> DataFrame:
-    """Verdict of every KPI spec.
+def validate_kpis(specs: DataFrame, captured: DataFrame, values: DataFrame,
+                  current_page: str | None = None) -> DataFrame:
+    """Verdict of every KPI spec, one each.
 
     `specs(spec_id, page, visual_title, has_sql, has_file, expected_value, is_text,
-    tolerance)`, `captured(page, visual_title, raw)`, `values(spec_id, sql_value,
-    file_value)`. A KPI that was not captured fails.
+    tolerance)`, `captured(page, visual_title, ordinal, raw)`, `values(spec_id, sql_value,
+    file_value)`. Of several captures the first by `ordinal` counts; for a blank page see
+    `on_page_or_any`. A KPI that was not captured fails. `detail` explains the verdict of
+    compared figures.
     """
-    shown = captured.withColumn("captured", F.lit(True))
-    joined = specs.join(shown, ["page", "visual_title"], "left").join(values, "spec_id", "left")
+    shown = captured.select("page", "visual_title", "ordinal", "raw", F.lit(True).alias("captured"))
+    joined = on_page_or_any(specs, shown, "visual_title", current_page).join(values, "spec_id", "left")
     mode = kpi_mode(F.col("has_sql"), F.col("has_file"), F.col("expected_value"), F.col("is_text"))
     source = (
         F.when(F.col("mode") == "sql", F.col("sql_value"))
@@ -64,8 +89,16 @@ def validate_kpis(specs: DataFrame, captured: DataFrame, values: DataFrame) -> D
         .withColumn("source", source)
         .withColumn("status", status)
         .withColumn("passed", passes(F.col("status")) | (F.col("status") == "extracted"))
+        .withColumn("detail", F.when(
+            F.col("mode").isin("sql", "file", "expected_value")
+            & ~F.col("status").isin("not_captured", "bad_expected_value"),
+            comparison_detail(
+                human_label(F.col("visual_title"), F.lit("KPI"), F.lit(None).cast("int")), F.col("raw"),
+                F.col("published"), F.col("source"),
+                relative_difference(F.col("published"), F.col("source")), F.col("tolerance"),
+                F.col("passed"))).otherwise(F.col("status")))
         .select("spec_id", "page", "visual_title", "mode", "raw", "published", "source",
-                "tolerance", "status", "passed")
+                "tolerance", "status", "passed", "detail")
     )
 
 
@@ -187,37 +220,37 @@ def missing_pages(configured: DataFrame, visuals: DataFrame) -> DataFrame:
     return wanted.join(visuals.select("page").distinct(), "page", "left_anti")
 
 
-def missing_visuals(specs: DataFrame, visuals: DataFrame, current_page: str = "") -> DataFrame:
+def missing_visuals(specs: DataFrame, visuals: DataFrame, current_page: str | None = None) -> DataFrame:
     """Titled specs whose visual is not on its page, or whose page is missing.
 
-    A spec without a page means the current one. `available` counts the titles on the page;
-    `page_titles` lists them.
+    A spec without a page means the current one, or any page where none is given. `available`
+    counts the titles on the page; `page_titles` lists them.
     """
     pages = visuals.groupBy("page").agg(F.count_distinct("title").alias("available"))
-    titles = visuals.select("page", F.col("title").alias("visual_title")).distinct().withColumn(
-        "__found", F.lit(True))
-    wanted = drop_blank(specs, "visual_title").withColumn(
-        "page", F.when(filled("page"), F.col("page")).otherwise(F.lit(current_page)))
+    titles = visuals.select("page", F.col("title").alias("visual_title"), F.lit(0).alias("ordinal"),
+                            F.lit(True).alias("__found"))
+    wanted = on_page_or_any(drop_blank(specs, "visual_title"), titles, "visual_title", current_page)
+    page = F.when(filled("page"), F.col("page")).otherwise(F.lit(current_page))
     return (
-        wanted.join(pages, "page", "left")
-        .join(titles, ["page", "visual_title"], "left")
-        .withColumn("reason", F.when(F.col("available").isNull(), F.lit("page_not_found"))
-                    .when(F.col("__found").isNull(), F.lit("visual_not_found")))
+        wanted.withColumn("page", page).join(pages, "page", "left")
+        .withColumn("reason", F.when(F.col("__found").isNotNull(), F.lit(None)).when(
+            F.col("available").isNull() & F.col("page").isNotNull(), F.lit("page_not_found"))
+            .otherwise(F.lit("visual_not_found")))
         .where(F.col("reason").isNotNull())
-        .select("spec_id", "kind", "page", "visual_title", "reason",
+        .select("spec_id", "kind", F.coalesce("page", F.lit("")).alias("page"), "visual_title", "reason",
                 F.coalesce("available", F.lit(0)).alias("available"))
     )
 
 
-def filter_state(specs: DataFrame, slicers: DataFrame) -> DataFrame:
+def filter_state(specs: DataFrame, slicers: DataFrame, current_page: str | None = None) -> DataFrame:
     """Slicers against their expected value; a slicer that is not there fails.
 
     `specs(page, slicer_title, expected_value)`, `slicers(page, ordinal, slicer_title, values)`.
+    A title refers to the first slicer with it; for a blank page see `on_page_or_any`.
     """
-    current = first_slicers(slicers).select(
-        "page", "slicer_title", F.col("values").alias("current"))
+    current = slicers.select("page", "slicer_title", "ordinal", F.col("values").alias("current"))
     return (
-        drop_blank(specs, "slicer_title").join(current, ["page", "slicer_title"], "left")
+        on_page_or_any(drop_blank(specs, "slicer_title"), current, "slicer_title", current_page)
         .withColumn("status", F.when(F.col("current").isNull(), F.lit("not_found"))
                     .when(selection_matches(F.col("current"), F.col("expected_value")),
                           F.lit("match")).otherwise(F.lit("mismatch")))
@@ -228,7 +261,7 @@ def filter_state(specs: DataFrame, slicers: DataFrame) -> DataFrame:
 
 
 def health_suite(pages: DataFrame, configured: DataFrame, specs: DataFrame, visuals: DataFrame,
-                 filters: DataFrame, slicers: DataFrame) -> DataFrame:
+                 filters: DataFrame, slicers: DataFrame, current_page: str | None = None) -> DataFrame:
     """Failures of the four health checks as `(check, page, label, detail)`."""
     def row(df: DataFrame, check: str, label: Column, detail: Column) -> DataFrame:
         return df.select(F.lit(check).alias("check"), "page", label.alias("label"),
@@ -237,8 +270,8 @@ def health_suite(pages: DataFrame, configured: DataFrame, specs: DataFrame, visu
     return reduce(DataFrame.unionByName, [
         row(error_banners(pages), "load", F.lit(""), F.col("phrase")),
         row(missing_pages(configured, visuals), "page", F.lit(""), F.lit("page_not_found")),
-        row(missing_visuals(specs, visuals), "visual", F.col("visual_title"), F.col("reason")),
-        row(filter_state(filters, slicers).where(~F.col("passed")), "filter",
+        row(missing_visuals(specs, visuals, current_page), "visual", F.col("visual_title"), F.col("reason")),
+        row(filter_state(filters, slicers, current_page).where(~F.col("passed")), "filter",
             F.col("slicer_title"), F.col("status")),
     ])
 

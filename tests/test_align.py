@@ -96,14 +96,28 @@ def test_unknown_columns_name_the_available_ones(spark):
         align.reconcile(shown(df), df, ["Region"], ["Sales"], align="loose")
 
 
-def test_summary_previews_failures_and_counts_all(spark):
+def test_summary_counts_and_lines_keep_every_failure(spark):
     cells = spark.createDataFrame([("v", i, i % 2 == 0) for i in range(20)] + [("ok", 1, True)],
                                   "visual string, i int, passed boolean")
-    got = {r.visual: r for r in align.summarise_cells(
-        cells, ["visual"], F.format_string("cell %02d", "i"), 3).collect()}
+    got = {r.visual: r for r in align.summarise_cells(cells, ["visual"]).collect()}
     assert (got["v"].cells, got["v"].failed_cells, got["v"].passed) == (20, 10, False)
-    assert got["v"].detail == "cell 01\ncell 03\ncell 05"
-    assert (got["ok"].passed, got["ok"].detail) == (True, "")
+    assert got["ok"].passed
+    lines = align.failure_lines(cells, ["visual"], F.format_string("cell %02d", "i")).collect()
+    assert sorted(r.detail for r in lines) == [f"cell {i:02d}" for i in range(1, 20, 2)]
+
+
+def test_positional_rows_of_a_null_visual_meet(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "b", 2.0), ("v", "a", 3.0)],
+                               "visual string, k string, m double")
+    cells = align.reconcile(df, df, ["k"], ["m"], visual=["visual"], align="positional").collect()
+    assert [c.status for c in cells] == ["match"] * 3
+
+
+def test_columns_are_looked_up_without_blanks_around(spark):
+    cells = spark.createDataFrame([(1, "Sales\t"), (1, "\u00a0Region")], "visual_id int, col_name string")
+    required = spark.createDataFrame([(1, " sales"), (1, "region\u00a0"), (1, "tax")],
+                                     "visual_id int, required_col string")
+    assert [r.required_col for r in align.missing_columns(cells, required).collect()] == ["tax"]
 
 
 def test_row_counts(spark):

@@ -21,14 +21,44 @@ def test_kpi_modes_and_statuses(spark):
     kpis = spark.createDataFrame([(c[0], "p", f"t{c[0]}", c[1], c[2], c[3], c[4], 0.01) for c in cases],
                                  "spec_id int, page string, visual_title string, has_sql boolean, has_file boolean, "
                                  "expected_value string, is_text boolean, tolerance double")
-    shown = spark.createDataFrame([("p", f"t{c[0]}", c[5]) for c in cases if c[5] is not None],
-                                  "page string, visual_title string, raw string")
+    shown = spark.createDataFrame(
+        [("p", f"t{c[0]}", n, raw) for c in cases if c[5] is not None for n, raw in ((1, c[5]), (2, "77"))],
+        "page string, visual_title string, ordinal int, raw string")
     values = spark.createDataFrame([(c[0], c[6], c[7]) for c in cases],
                                    "spec_id int, sql_value double, file_value double")
     got = {r.spec_id: (r.status, r.passed) for r in checks.validate_kpis(kpis, shown, values).collect()}
     assert got == {c[0]: (c[8], c[9]) for c in cases}
 
 
+def test_blank_pages_mean_the_current_or_any_page(spark):
+    kpis = spark.createDataFrame(
+        [(1, None, "a"), (2, "", "a"), (3, " ", "b"), (4, "Q", "b"), (5, "P", "b")],
+        "spec_id int, page string, visual_title string").selectExpr(
+        "*", "false AS has_sql", "false AS has_file", "string(null) AS expected_value", "false AS is_text",
+        "0.01D AS tolerance")
+    shown = spark.createDataFrame([("P", "a", 1, "1"), ("P", "a", 2, "x"), ("Q", "b", 3, "2")],
+                                  "page string, visual_title string, ordinal int, raw string")
+    values = spark.createDataFrame([], "spec_id int, sql_value double, file_value double")
+
+    def statuses(**current):
+        rows = checks.validate_kpis(kpis, shown, values, **current).collect()
+        assert len(rows) == 5
+        return {r.spec_id: r.status for r in rows}
+
+    assert statuses() == {1: "extracted", 2: "extracted", 3: "extracted", 4: "extracted", 5: "not_captured"}
+    assert statuses(current_page="P") == {
+        1: "extracted", 2: "extracted", 3: "not_captured", 4: "extracted", 5: "not_captured"}
+    there = spark.createDataFrame([("P", "a")], "page string, title string")
+    wanted = kpis.select("spec_id", "page", "visual_title", F.lit("KPI").alias("kind"))
+    assert {(r.spec_id, r.reason) for r in checks.missing_visuals(wanted, there).collect()} == {
+        (3, "visual_not_found"), (4, "page_not_found"), (5, "visual_not_found")}
+    slicers = spark.createDataFrame([("P", 2, "Year", ["2024"])],
+                                    "page string, ordinal int, slicer_title string, values array<string>")
+    asked = spark.createDataFrame([("", "Year", "2024\u00a0"), (None, "Year", "2024")],
+                                  "page string, slicer_title string, expected_value string")
+    assert {r.status for r in checks.filter_state(asked, slicers).collect()} == {"match"}
+
+
 def test_tiers(spark):
     cases = [("auto", True, True, 5, 5, "dom"), ("auto", True, True, 0, 5, "api"), ("", True, True, 0, 0, "source"),
              ("auto", False, False, 0, 0, "source_unavailable"), ("dom", True, True, 0, 5, "dom_failed"),

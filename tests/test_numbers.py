@@ -62,11 +62,11 @@ def test_detail_lines(spark):
     got = [r.d for r in df.select(numbers.comparison_detail(
         F.col("label"), F.col("raw"), F.col("p"), F.col("s"),
         F.abs(F.col("p") - F.col("s")) / F.col("s"), F.lit(0.01), F.lit(False)).alias("d")).collect()]
-    assert got[0] == ("[k] Published=$10 (parsed=10.0000), Source=20.0000, Diff=50.0000%, "
-                      "Tolerance=1.00% → FAIL")
-    assert got[1].startswith("Source is null, published shows 5")
-    assert got[2].startswith("Both values are null")
-    assert got[3] == "[z] Published shows null/empty, source has 7.0000"
+    assert got[0] == ("[k] failed: shown $10, read as 10.0000, expected 20.0000, "
+                      "off by 50.0000% of at most 1.00%")
+    assert got[1] == "failed: shown 5, read as 5.0000, nothing to expect"
+    assert got[2] is None or got[2].endswith("ok: no value on either side")
+    assert got[3] == "[z] failed: nothing shown, expected 7.0000"
 
 
 @pytest.mark.parametrize("text", ["a ", "\t5 "])

@@ -93,3 +93,14 @@ def test_selection(spark):
     df = spark.createDataFrame(cases, "v array<string>, e string, want boolean")
     for r in df.select("*", compare.selection_matches(F.col("v"), F.col("e")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_one_trimming_rule(spark):
+    blanks = "\u00a0 \t"
+    assert evaluate(spark, [f"{blanks}\n{blanks}Sales{blanks}\nx"], text.first_line) == ["Sales"]
+    assert evaluate(spark, [f"a{blanks}\n{blanks}\n b"], text.lines_of) == [["a", "b"]]
+    point = evaluate(spark, [f"{blanks}A{blanks}. {blanks}5{blanks}."], text.point_label)[0]
+    assert (point.category, point.value) == ("A", "5")
+    df = spark.createDataFrame([("the house", f"HOUSE{blanks}\n")], "raw string, want string")
+    assert df.select(compare.text_matches(df.raw, df.want)).first()[0]
+    assert evaluate(spark, [f"{blanks}Net Sales{blanks}"], text.normalise_header) == ["net sales"]

@@ -66,7 +66,7 @@ def test_headings_match_brute_force(spark, seed):
 def test_card_values_prefer_own_title(spark):
     shown = spark.createDataFrame([
         ("p", 1, "Overview\nSales\n9"), ("p", 2, "Sales\nMonday, May 5\nSum of x\n$5M"),
-        ("p", 3, "Other\nRate\t12%"), ("p", 4, "Alone"), ("q", 5, "Sales\nYoY up")],
+        ("p", 3, "Other\nRate\t\t12%\t "), ("p", 4, "Alone"), ("q", 5, "Sales\nYoY up")],
         "page string, ordinal bigint, full_text string")
     specs = spark.createDataFrame([("p", t) for t in ("Sales", "Rate", "Alone", "Gone")] + [("q", "Sales")],
                                   "page string, visual_title string")
@@ -108,3 +108,11 @@ def test_grids(spark):
     reported = spark.createDataFrame([(1, 5), (2, 0)], "visual_id int, reported_total int")
     assert {(r.visual_id, r.captured_rows, r.partial) for r in captures.capture_completeness(
         cells, reported).collect()} == {(1, 2, True), (2, 0, False)}
+
+
+def test_bars_are_numbered_before_they_take_labels(spark):
+    bars = spark.createDataFrame([(1, 10, "7"), (1, 20, " "), (1, 30, "8"), (1, 1_000_000, "9")],
+                                 "visual_id int, seq bigint, value string")
+    ticks = spark.createDataFrame([(1, 5, "A"), (1, 6, "B")], "visual_id int, seq bigint, text string")
+    got = {(r.category, r.value) for r in captures.bars_on_axis(bars, ticks).collect()}
+    assert got == {("A", "7"), ("A", "8"), ("B", "9")}

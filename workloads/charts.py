@@ -122,8 +122,9 @@ _BAR_SQL = """
   la AS (SELECT visual_id, category, row_number() OVER (PARTITION BY visual_id ORDER BY min(seq)) - 1 AS idx,
            count(*) OVER (PARTITION BY visual_id) AS n
          FROM na WHERE category <> '' AND NOT regexp_matches(category, '^[\\d.,]+$') GROUP BY visual_id, category),
-  ba AS (SELECT b.visual_id, category, trim(value) AS value, min(seq) AS seq FROM b
-         JOIN la ON la.visual_id = b.visual_id AND la.idx = b.seq % la.n WHERE trim(value) <> '' GROUP BY ALL)
+  nb AS (SELECT *, row_number() OVER (PARTITION BY visual_id ORDER BY seq) - 1 AS bar FROM b),
+  ba AS (SELECT b.visual_id, category, trim(value) AS value, min(seq) AS seq FROM nb b
+         JOIN la ON la.visual_id = b.visual_id AND la.idx = b.bar % la.n WHERE trim(value) <> '' GROUP BY ALL)
 """
 
 

@@ -12,7 +12,8 @@ SELECT o_custkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS to
 FROM {orders} WHERE o_custkey % 30 <> 4 GROUP BY o_custkey
 """
 _KPI_SPECS = """
-SELECT c_custkey AS spec_id, 'N' || CAST(c_nationkey AS STRING) AS page, c_name AS visual_title,
+SELECT c_custkey AS spec_id, CASE c_custkey % 8 WHEN 3 THEN '' WHEN 6 THEN CAST(NULL AS STRING)
+    ELSE 'N' || CAST(c_nationkey AS STRING) END AS page, c_name AS visual_title,
   c_custkey % 5 = 0 AS has_sql, c_custkey % 5 <= 1 AS has_file,
   CASE c_custkey % 5 WHEN 2 THEN '1000' WHEN 3 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'HOUSE' ELSE '9e' END) END
     AS expected_value,
@@ -20,11 +21,13 @@ SELECT c_custkey AS spec_id, 'N' || CAST(c_nationkey AS STRING) AS page, c_name
 FROM {customer}
 """
 _KPI_SHOWN = """
-SELECT 'N' || CAST(c_nationkey AS STRING) AS page, c_name AS visual_title,
+SELECT 'N' || CAST(c_nationkey AS STRING) AS page, c_name AS visual_title, 1 AS ordinal,
   CASE c_custkey % 5 WHEN 2 THEN '1K' WHEN 3 THEN 'the ' || lower(c_mktsegment) || ' segment'
     WHEN 4 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'n/a' ELSE '88.1%' END)
     ELSE '$' || CAST(total * (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END) AS STRING) END AS raw
 FROM {customer} c JOIN (""" + _SPENT + """) s ON c_custkey = o_custkey
+UNION ALL SELECT 'N' || CAST(c_nationkey AS STRING), c_name, 2, 'seen again'
+FROM {customer} d JOIN (""" + _SPENT + """) s ON c_custkey = o_custkey WHERE c_custkey % 4 = 2
 """
 
 
@@ -34,7 +37,8 @@ FROM {customer} c JOIN (""" + _SPENT + """) s ON c_custkey = o_custkey
        WHEN 3 THEN CASE WHEN spec_id % 2 = 0 THEN 'expected_text' ELSE 'expected_value' END
        ELSE 'extraction_only' END AS mode
    FROM spec JOIN customer ON c_custkey = spec_id LEFT JOIN spent ON o_custkey = spec_id
-   LEFT JOIN shown ON shown.visual_title = spec.visual_title AND shown.page = spec.page),
+   LEFT JOIN shown ON shown.visual_title = spec.visual_title AND shown.ordinal = 1
+     AND (shown.page = spec.page OR coalesce(spec.page, '') = '')),
   k AS (SELECT *, CASE WHEN raw IS NULL THEN 'not_captured'
      WHEN mode = 'expected_text' THEN CASE WHEN c_mktsegment LIKE 'HOUSE%' THEN 'match' ELSE 'mismatch' END
      WHEN spec_id % 5 = 3 THEN 'bad_expected_value'
@@ -149,17 +153,19 @@ SELECT 'U' || CAST(user_id AS STRING) AS page, event_id AS ordinal, event_type A
 FROM {events}
 """
 _FILTERS = """
-SELECT c_custkey, 'U' || CAST(c_custkey % 180 AS STRING) AS page,
+SELECT c_custkey, CASE c_custkey % 9 WHEN 4 THEN '' WHEN 7 THEN CAST(NULL AS STRING)
+    ELSE 'U' || CAST(c_custkey % 180 AS STRING) END AS page,
   CASE c_custkey % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'signup' WHEN 3 THEN 'error'
     ELSE '' END AS slicer_title,
   CASE c_custkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN '2024 ' WHEN 2 THEN '2023, 2024' ELSE '2022' END AS expected_value
 FROM {customer}
 """
 _FILTER_SQL = """
-, f AS (SELECT page, slicer_title, arg_min(picked, ordinal) AS picked FROM sl GROUP BY ALL),
+, f AS (SELECT page, slicer_title, arg_min(picked, ordinal) AS picked FROM sl GROUP BY ALL
+        UNION ALL SELECT '', slicer_title, arg_min(picked, ordinal) FROM sl GROUP BY ALL),
   m AS (SELECT fi.page, fi.slicer_title, fi.expected_value, CASE WHEN f.picked IS NULL THEN NULL
       WHEN f.picked = '' THEN 'All' ELSE f.picked END AS picked
-    FROM fi LEFT JOIN f ON f.page = fi.page AND f.slicer_title = fi.slicer_title WHERE fi.slicer_title <> ''),
+    FROM fi LEFT JOIN f ON f.page = coalesce(fi.page, '') AND f.slicer_title = fi.slicer_title WHERE fi.slicer_title <> ''),
   st AS (SELECT *, CASE WHEN picked IS NULL THEN 'not_found'
       WHEN list_contains(string_split(picked, '|'), trim(expected_value)) OR (lower(expected_value) = 'all' AND picked = 'All')
         OR replace(picked, '|', ', ') = trim(expected_value) THEN 'match' ELSE 'mismatch' END AS status FROM m)
@@ -209,9 +215,9 @@ def error_banner_scan(t):
   w AS (SELECT page, visual_title FROM s WHERE trim(visual_title) <> '')
 SELECT 'load' AS "check", page, '' AS label, phrase AS detail FROM e
 UNION ALL SELECT DISTINCT 'page', page, '', 'page_not_found' FROM s WHERE page <> '' AND page NOT IN (SELECT page FROM v)
-UNION ALL SELECT 'visual', page, visual_title, CASE WHEN page IN (SELECT page FROM v) THEN 'visual_not_found'
+UNION ALL SELECT 'visual', page, visual_title, CASE WHEN page = '' OR page IN (SELECT page FROM v) THEN 'visual_not_found'
   ELSE 'page_not_found' END FROM w
-  WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.page = w.page AND v.title = w.visual_title)
+  WHERE NOT EXISTS (SELECT 1 FROM v WHERE (v.page = w.page OR w.page = '') AND v.title = w.visual_title)
 UNION ALL SELECT 'filter', page, slicer_title, status FROM st WHERE status <> 'match'""")
 def health_suite(t):
     specs = t.sql(_SPECS)

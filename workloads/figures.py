@@ -83,11 +83,11 @@ FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM {orders})
 SELECT o_orderkey, '[' || CASE o_orderkey % 4 WHEN 0 THEN title WHEN 1 THEN 'Table[' || idx || ']'
          ELSE 'Unknown' END || '] ' ||
        CASE o_orderkey % 3
-         WHEN 0 THEN 'Published=$' || n || ' (parsed=' || format('{:,}', n) || '.0000), Source=' ||
-              format('{:,}', n) || '.0000, Diff=0.0000%, Tolerance=1.00% → PASS'
-         WHEN 1 THEN 'Published=$' || n || ' (parsed=' || format('{:,}', n) || '.0000), Source=' ||
-              format('{:,}', n * 2) || '.0000, Diff=50.0000%, Tolerance=1.00% → FAIL'
-         ELSE 'Source is null, published shows $' || n || ' (' || format('{:,}', n) || '.0000)' END
+         WHEN 0 THEN 'ok: shown $' || n || ', read as ' || n || '.0000, expected ' || n ||
+              '.0000, off by 0.0000% of at most 1.00%'
+         WHEN 1 THEN 'failed: shown $' || n || ', read as ' || n || '.0000, expected ' || n * 2 ||
+              '.0000, off by 50.0000% of at most 1.00%'
+         ELSE 'failed: shown $' || n || ', read as ' || n || '.0000, nothing to expect' END
        AS detail
 FROM t""")
 def detail_message(t):

@@ -33,7 +33,7 @@ pr AS (
   SELECT ty.*, k AS sub_index, lines[2*k+1] AS label, lines[2*k+2] AS value,
     regexp_matches(lines[2*k+1], '[a-zA-Z_]') AND length(lines[2*k+1]) > 2 AND NOT {_noisy("lines[2*k+1]")}
       AND length(lines[2*k+2]) <= 50 AS good
-  FROM ty, (SELECT unnest(range(0, 60)) AS k) r
+  FROM ty, (SELECT unnest(range(0, (SELECT max(len(lines)) FROM ty) // 2 + 1)) AS k) r
   WHERE type IN ('Card', 'Multi-row card') AND len(lines) >= 4 AND k < len(lines) // 2),
 ok AS (SELECT * FROM pr a WHERE good AND NOT EXISTS (SELECT 1 FROM pr b WHERE b.ordinal = a.ordinal
        AND b.sub_index < a.sub_index AND NOT b.good)),
