@@ -113,23 +113,47 @@ def _in_year(column: str, type_name: str, year: int) -> Column:
     return since & (F.col(column) < F.lit(f"{year + 1:04d}-01-01").cast(type_name))
 
 
+def closest_column(title: str, columns: Sequence[str]) -> str | None:
+    """Column that a title means: the same letters and digits, else one inside the other, else four
+    characters in a row in common; the first such column, or none."""
+    def form(name: str) -> str:
+        return "".join(ch for ch in name.strip().lower() if ch.isascii() and ch.isalnum())
+
+    wanted = form(title)
+    runs = {wanted[i:i + 4] for i in range(len(wanted) - 3)}
+    found: list[tuple[int, int]] = []
+    for i, column in enumerate(columns):
+        name = form(column)
+        if not wanted or not name:
+            continue
+        if name == wanted:
+            found.append((0, i))
+        elif wanted in name or name in wanted:
+            found.append((1, i))
+        elif any(run in name for run in runs):
+            found.append((2, i))
+    return columns[min(found)[1]] if found else None
+
+
+def skipped_slicers(df: DataFrame, slicers: Sequence[Slicer]) -> list[str]:
+    """Titles of selected slicers that no column answers to."""
+    return [s.title for s in slicers if s.values and [str(v) for v in s.values] != ["All"]
+            and closest_column(s.title, df.columns) is None]
+
+
 def slicer_predicate(df: DataFrame, slicers: Sequence[Slicer],
                      first_year_only: bool = False) -> Column:
     """Row filter for the selected slicer values, all of them combined.
 
-    Slicers without a selection (`All`), or without a column of that name, are
-    skipped. Year values on a date column select by year; `first_year_only` keeps
-    just the first one.
+    A title means the column that `closest_column` finds. Slicers without a selection
+    (`All`), or without such a column, are skipped; `skipped_slicers` names the latter. Year
+    values on a date column select by year; `first_year_only` keeps just the first one.
     """
-    def form(name: str) -> str:
-        return "".join(ch for ch in name.lower() if ch.isascii() and ch.isalnum())
-
-    by_form = {form(c): c for c in reversed(df.columns)}
     types = dict(df.dtypes)
     tests = [F.lit(True)]
     for slicer in slicers:
         values = [str(v) for v in slicer.values]
-        column = by_form.get(form(slicer.title))
+        column = closest_column(slicer.title, df.columns)
         if column is None or not values or values == ["All"]:
             continue
         dated = types[column].startswith(("date", "timestamp"))

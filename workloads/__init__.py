@@ -2,7 +2,7 @@
 
 from workloads import (  # noqa: F401
     aggregates, catalogs, charts, checks, figures, inventories, reconciliation, runlogs,
-    source_io, spec_tables,
+    source_io, spec_tables, table_specs,
 )
 from workloads.registry import ORACLES, QUERIES
 

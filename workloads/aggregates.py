@@ -49,7 +49,7 @@ def kpi_batch(t):
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     year = F.year("o_orderdate")
     selected = slicer_predicate(orders, [
-        Slicer("O_OrderDate", ["1998"]), Slicer("o orderstatus", ["F"]), Slicer("Region", ["All"])])
+        Slicer("Order date", ["1998"]), Slicer("o orderstatus", ["F"]), Slicer("Region", ["All"])])
     by_order = batch_kpis(orders, [
         Kpi("revenue_1997", "sum", cents, year == 1997),
         Kpi("revenue", "sum", cents),
