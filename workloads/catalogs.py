@@ -1,7 +1,5 @@
 """Column catalog: matching, table choice, suggestions, foreign keys."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,13 +175,11 @@ SELECT '{a}' AS from_table, '{b}' AS from_col, '{c}' AS to_table, '{d}' AS to_co
   (SELECT count(*) FROM (SELECT {d} FROM {c} GROUP BY {d} HAVING count(*) > 1)) = 0 AS holds"""
                                      for a, b, c, d in _KEYS))
 def fk_check(t):
-    checked = [
-        catalog.check_foreign_key(getattr(t, a), b, getattr(t, c), d).select(
-            F.lit(a).alias("from_table"), F.lit(b).alias("from_col"), F.lit(c).alias("to_table"),
-            F.lit(d).alias("to_col"), "*")
-        for a, b, c, d in _KEYS
-    ]
-    return reduce(DataFrame.unionByName, checked)
+    declared = t.spark.createDataFrame(
+        [(a, [b], c, [d]) for a, b, c, d in _KEYS],
+        "from_table string, from_cols array<string>, to_table string, to_cols array<string>")
+    frames = {name: getattr(t, name) for pair in _KEYS for name in (pair[0], pair[2])}
+    return catalog.check_foreign_keys(frames, catalog.flatten_keys(declared))
 
 
 @query("fk_columns", """
