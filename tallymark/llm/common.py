@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -36,6 +37,15 @@ def double_array(values) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once.
+
+    A plain column that is used inside a function over an array may be computed again for every
+    element, as the optimizer merges projections.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Words of ASCII letters, digits and non-ASCII code points, A-Z in lower case, as UTF-8."""
     return text.encode().translate(PLAIN_BYTES).split() if text else []

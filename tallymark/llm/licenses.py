@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import ANY_CASE_WORD, PLAIN_WORD, ascii_lower
+from tallymark.llm.common import ANY_CASE_WORD, PLAIN_WORD, ascii_lower, let
 
 #: The phrases whose places are always counted, with their labels.
 BASE_PHRASES = (
@@ -161,11 +161,9 @@ def scan_licenses(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: s
         for i, (_, phrase) in enumerate(BASE_PHRASES)})
     by_idf = sorted(index.rare, key=lambda w: (-index.idf[w], w))
     present = F.filter(words_array(by_idf), lambda w: F.array_contains(F.col("tokens"), w))
-    looked_up = places.withColumn("top", F.when(
-        F.col("tokens").isNotNull(), F.slice(present, 1, lookups)))
-    voted = looked_up.withColumn("positions", F.filter(
+    voted = places.withColumn("positions", let(F.slice(present, 1, lookups), lambda top: F.filter(
         F.transform("tokens", lambda w, i: F.struct(w.alias("w"), i.alias("p"))),
-        lambda x: F.array_contains(F.col("top"), x.w)))
+        lambda x: F.array_contains(top, x.w))))
     scored = voted.withColumn("judged", F.coalesce(
         F.filter(_matches(F.col("tokens"), F.col("positions"), index),
                  lambda m: m.score >= least_weight),

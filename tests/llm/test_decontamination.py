@@ -46,7 +46,7 @@ def test_against_the_other_engine(spark, con, monkeypatch, round_words):
 def test_spans_and_proximity(spark):
     docs, items = both(spark)
     rows = {r["doc_id"]: r for r in decontamination.decontaminate(docs, items, slack=1).collect()}
-    assert [tuple(s) for s in rows[0]["spans"]] == [(1, 11)] and rows[0]["items"] == [1]
+    assert [tuple(s) for s in rows[0]["spans"]] == [(1, 12)] and rows[0]["items"] == [1]
     assert [tuple(s) for s in rows[1]["spans"]] == [(1, 5)] and rows[1]["items"] == [2, 3]
     assert rows[8]["items"] == [] and rows[8]["near"] == [2, 3]
 
