@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallymark.session import cut
 
 BLOCK_ROWS = 1 << 20
+BLOCK_SPAN = 1 << 10
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +45,7 @@ def blocked_prefix_sum(
     `ordinal` is a whole number, unique in its group, so a block of consecutive
     ordinals has at most `block_rows` rows, however large the group is. `total` names a
     column for the sum over the whole group. Rows are shuffled once, by group and block;
-    the block totals are joined on the same partitioning.
+    what `carry_blocks` makes of the block totals is joined on the same partitioning.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     blocked = df.withColumns({
@@ -52,11 +53,9 @@ def blocked_prefix_sum(
         "__weight": weight,
     })
     block = ["__key", "__block"]
-    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    extra = [F.sum("__total").over(Window.partitionBy("__key")).alias(total)] if total else []
-    carried = blocked.groupBy(*block).agg(F.sum("__weight").alias("__total")).select(
-        *block, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__carried"), *extra)
+    totals = blocked.groupBy(*block).agg(F.sum("__weight").alias("__total"))
+    carried = carry_blocks(totals, sums={"__total": "__carried"},
+                           totals={"__total": total} if total else {})
     inside = Window.partitionBy(*block).orderBy(ordinal).rowsBetween(
         Window.unboundedPreceding, -1)
     local = blocked.withColumn("__local", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
@@ -67,6 +66,36 @@ def blocked_prefix_sum(
     )
 
 
+def carry_blocks(blocks: DataFrame, sums: dict[str, str], maxima: dict[str, str] = {},
+                 totals: dict[str, str] = {}, span: int = BLOCK_SPAN) -> DataFrame:
+    """What comes before each block of a key: sums (0 before the first) and maxima (null there).
+
+    `blocks(__key, __block, ...)` has a row per block; the dicts map its columns to results, `totals` to
+    sums over the whole key. Sparse ordinals can give a key as many blocks as it has rows, so blocks
+    are carried in spans of `span` block numbers, which are shared by tasks, and only the spans of a
+    key meet in one window.
+    """
+    spanned = blocks.withColumn("__span", F.floor(F.col("__block") / span))
+    group = ["__key", "__span"]
+    earlier = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__key").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("__key")
+    spans = spanned.groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in {*sums, *totals}], *[F.max(c).alias(c) for c in maxima],
+    ).select(
+        *group, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__far_{c}") for c in sums],
+        *[F.max(c).over(before).alias(f"__far_{c}") for c in maxima],
+        *[F.sum(c).over(everything).alias(name) for c, name in totals.items()])
+    near = spanned.select(
+        *group, "__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__near_{c}") for c in sums],
+        *[F.max(c).over(earlier).alias(f"__near_{c}") for c in maxima])
+    return near.join(spans, group).select(
+        "__key", "__block",
+        *[(F.col(f"__far_{c}") + F.col(f"__near_{c}")).alias(name) for c, name in sums.items()],
+        *[F.greatest(f"__far_{c}", f"__near_{c}").alias(name) for c, name in maxima.items()],
+        *totals.values())
+
+
 def position_in_group(
     df: DataFrame, group: list[str], order: list[str], out: str = "position",
     group_rows: int = BLOCK_ROWS, sizes: DataFrame | None = None,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import vocab
 from tallymark.functions.classify import is_failure_line, test_group
-from tallymark.operators.ranking import BLOCK_ROWS
+from tallymark.operators.ranking import BLOCK_ROWS, carry_blocks
 
 
 def step_lines(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -29,13 +29,9 @@ def step_lines(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     # The last mark of a block as one number, which a hash aggregate can keep.
     last_mark = F.max(F.when(
         F.col("__opens").isNotNull(), F.col("seq") * 2 + F.col("__opens").cast("bigint")))
-    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = blocked.groupBy(*block).agg(
-        starts.alias("__starts"), last_mark.alias("__last"),
-    ).select(
-        *block, F.coalesce(F.sum("__starts").over(before), F.lit(0)).alias("__before"),
-        (F.pmod(F.last("__last", True).over(before), F.lit(2)) == 1).alias("__open"))
+    totals = blocked.groupBy(*block).agg(starts.alias("__starts"), last_mark.alias("__last"))
+    carried = carry_blocks(totals, sums={"__starts": "__before"}, maxima={"__last": "__mark"}).select(
+        *block, "__before", (F.pmod("__mark", F.lit(2)) == 1).alias("__open"))
     inside = Window.partitionBy(*block).orderBy("seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = blocked.withColumns({
@@ -109,7 +105,7 @@ def grouped_summary(results: DataFrame) -> DataFrame:
 
 
 def latest_runs(runs: DataFrame, by: list[str], ts: str) -> DataFrame:
-    """Latest run of each suite, by an aggregate and not by a sort."""
+    """Latest run of each suite, by one aggregate."""
     rest = [c for c in runs.columns if c not in by]
     return runs.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(ts, *[
         c for c in rest if c != ts])).alias("__run")).select(

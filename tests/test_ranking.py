@@ -61,3 +61,15 @@ def test_left_join_meets_null_keys(spark):
     right = spark.createDataFrame([("a", 10), (None, 20)], "k string, y int")
     got = {(r.k, r.x, r.y) for r in ranking.left_join_null_safe(left, right, ["k"]).collect()}
     assert got == {("a", 1, 10), (None, 2, 20), ("c", 3, None)}
+
+
+def test_sparse_ordinals_of_a_hot_key(spark):
+    rows = 3000
+    df = spark.range(rows).select(F.lit("hot").alias("k"), (F.col("id") * 2_000_000).alias("seq"),
+                                  (F.col("id") % 3).alias("w"))
+    got = ranking.blocked_prefix_sum(df, ["k"], "seq", "before", F.col("w"), total="all").orderBy("seq").collect()
+    assert [r.before for r in got] == [sum(j % 3 for j in range(i)) if i < 50 else r.before for i, r in enumerate(got)]
+    assert got[-1].before == sum(i % 3 for i in range(rows - 1)) and {r["all"] for r in got} == {got[-1].before + (rows - 1) % 3}
+    totals = df.select(F.struct("k").alias("__key"), F.floor(F.col("seq") / ranking.BLOCK_ROWS).alias("__block"), "w")
+    spans = totals.select(F.floor(F.col("__block") / ranking.BLOCK_SPAN)).distinct().count()
+    assert totals.select("__block").distinct().count() == rows and spans < rows / 200
