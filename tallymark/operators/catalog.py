@@ -12,6 +12,8 @@ from tallymark.functions.text import (
 )
 
 GRAM = 4
+#: Bits below the level in a rank: 24 for the table, 32 for the column.
+LEVEL_SHIFT = 56
 LEVEL_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "NONE": 0}
 
 
@@ -58,21 +60,22 @@ def best_columns(headers: DataFrame, catalog: DataFrame,
     `headers(header, ...)`, `catalog(table, table_no, column, column_no, type)`. Headers
     without letters or digits match nothing unless `empty_header_matches`.
     """
-    place = F.struct("table_no", "column_no", "table", "column", "type")
-    columns = (
-        catalog.withColumn("form", match_form(F.col("column")))
-        .groupBy("form").agg(F.min(place).alias("place"))
-    )
+    # One number per column in catalog order: sums and minima of numbers stay in hash aggregates.
+    numbered = catalog.withColumn(
+        "id", F.shiftleft(F.col("table_no").cast("bigint"), 32) + F.col("column_no"))
+    columns = numbered.groupBy(match_form(F.col("column")).alias("form")).agg(F.min("id").alias("id"))
+    places = numbered.select("id", F.struct(
+        "table_no", "column_no", "table", "column", "type").alias("place"))
     named = columns.where(F.col("form") != "")
     form = F.col("form")
     gram = F.array(F.lit(GRAM))
     index = (
-        named.select("place", F.inline(F.concat(
+        named.select("id", F.inline(F.concat(
             _entries("whole", F.array(form)),
             _entries("inside", _substrings(form, F.sequence(F.lit(1), F.length(form)))),
             _entries("gram", _substrings(form, gram)),
         )))
-        .groupBy("kind", "key").agg(F.min("place").alias("place"))
+        .groupBy("kind", "key").agg(F.min("id").alias("id"))
     )
     # Lengths of catalog names: as many values as the longest name has characters.
     lengths = named.agg(F.collect_set(F.length("form")).alias("lengths")).scalar()
@@ -85,13 +88,16 @@ def best_columns(headers: DataFrame, catalog: DataFrame,
     )))
     weight = F.when((F.col("kind") == "whole") & (F.col("key") == form), 3).when(
         F.col("kind") != "gram", 2).otherwise(1)
-    best = (
-        lookups.join(index, ["kind", "key"])
-        .groupBy("form").agg(F.min(F.struct((-weight).alias("weight"), "place")).alias("best"))
-    )
+    rank = F.shiftleft((LEVEL_WEIGHT["HIGH"] - weight).cast("bigint"), LEVEL_SHIFT) + F.col("id")
+    found = lookups.join(index, ["kind", "key"]).groupBy("form").agg(F.min(rank).alias("rank"))
+    level = F.shiftright("rank", LEVEL_SHIFT)
+    best = found.select(
+        "form", (level - LEVEL_WEIGHT["HIGH"]).cast("int").alias("weight"),
+        (F.col("rank") - F.shiftleft(level, LEVEL_SHIFT)).alias("id"),
+    ).join(places, "id").select("form", F.struct("weight", "place").alias("best"))
     if not empty_header_matches:
         return best
-    first = columns.agg(F.min("place").alias("place")).where(F.col("place").isNotNull())
+    first = columns.agg(F.min("id").alias("id")).join(places, "id")
     return best.unionByName(first.select(F.lit("").alias("form"), F.struct(
         F.lit(-LEVEL_WEIGHT["MEDIUM"]).alias("weight"), "place").alias("best")))
 
