@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import by_value, plain_words
@@ -106,9 +106,10 @@ def index_segments(docs: DataFrame, terms: dict[bytes, int], doc_id: str = "doc_
     return source.mapInArrow(run, INDEX_SCHEMA)
 
 
-def write_index(docs: DataFrame, terms: dict[bytes, int], path: str) -> DataFrame:
-    """Store the segments below `path` and read them back."""
-    index_segments(docs, terms).write.parquet(path)
+def write_index(docs: DataFrame, terms: dict[bytes, int], path: str, doc_id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """Store the segments below `path` and read them back; whoever names the path clears it."""
+    index_segments(docs, terms, doc_id, text).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -227,14 +228,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     it tells rows apart where ids repeat. Items without an id or words have no windows; repeated item
     ids count as one item. Null and empty texts have no words and no matches.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"),
                              F.col(item_text).alias("text")).where("item_id IS NOT NULL")
     bytes_of = F.coalesce(F.octet_length("text"), F.lit(0))
     words = (items.agg(F.sum(bytes_of)).first()[0] or 0) / 5
     rounds = int(words // ROUND_WORDS) + 1
     found = [
-        _round(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r),
+        _round(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r),
                window, slack, doc_id, text)
         for r in range(rounds)]
     result = found[0]
@@ -251,12 +251,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return result
 
 
-def _round(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int, slack: int | None,
+def _round(docs: DataFrame, items: DataFrame, window: int, slack: int | None,
            doc_id: str, text: str) -> DataFrame:
     plan = plan_windows([(r["item_id"], r["text"]) for r in items.collect()], window)
-    path = shared_path(spark, "positional-index")
-    index_segments(docs, plan.terms, doc_id, text).write.parquet(path)
-    index = spark.read.parquet(path)
+    path = shared_path(docs.sparkSession, "positional-index")
+    index = write_index(docs, plan.terms, path, doc_id, text)
     return search(index, plan, term_counts(index, len(plan.terms)), slack)
 
 

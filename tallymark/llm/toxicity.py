@@ -133,13 +133,15 @@ class Matcher:
         found = {}
         for raw in words - self.clean:
             word = raw.decode()
-            hit = self.trie.match(word)
-            if hit is None:
+            # Beyond ASCII, quotation marks and dashes are not yet split off.
+            matched = {part: self.trie.match(part)
+                       for part in ((word,) if raw.isascii() else WORD.findall(word))}
+            matched = {part: hit for part, hit in matched.items() if hit is not None}
+            found |= matched
+            if not matched:
                 if len(self.clean) >= 500_000:
                     self.clean.clear()
                 self.clean.add(raw)
-            else:
-                found[word] = hit
         if len(self.trie.moves) > 200_000:  # states of rare letters
             self.trie = Trie.of(self.terms)
         return found

@@ -44,6 +44,8 @@ def test_quotation_counts_apart():
     matcher = toxicity.Matcher([("idiot", False)])
     at = toxicity.FEATURES.index
     said = toxicity.describe('he wrote "you idiot" in a letter', matcher, [1.0])
+    curly = toxicity.describe("he wrote “you idiot” in a letter", matcher, [1.0])
+    assert curly == said
     meant = toxicity.describe("you idiot in a letter", matcher, [1.0])
     assert said[at("quoted")] > 0 and said[at("exact")] == 0
     assert meant[at("quoted")] == 0 and meant[at("exact")] > 0
