@@ -46,14 +46,17 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; ids are unique here, or texts where they lack."""
+    """A row for every copy that the mix has placed in a shard; rows are told apart by id and text.
+
+    The rows of a partition stand by shard and, within it, in the order of the local shuffle.
+    """
     told = docs.select(*COLUMNS, F.xxhash64("text").alias("digest"))
     taken = mixing.mix_sources(told, carry=("digest",)).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "copies")
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "shards", "local_key")
     same = (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     return told.join(taken, same).select(
-        *COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
-    ).select(*COLUMNS)
+        *COLUMNS, "local_key", F.explode("shards").alias("__shard")
+    ).sortWithinPartitions("__shard", "local_key").select(*COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ block. What the mix takes of a source is whole rounds over all its blocks and th
 more round, cut inside one block, so that the words taken meet the target. The block draws of all
 sources are split among output shards by halving: each node gives its first child a draw without
 replacement from its blocks of all sources. A source's draws then fill its quotas of the shards in a
-permuted order, and `local_key` orders the rows of a shard.
+permuted order, and `local_key` orders the rows of a shard. What is taken is counted from the copies
+that the tree has placed.
 """
 
 from __future__ import annotations
@@ -97,11 +98,12 @@ def mix_sources(docs: DataFrame, levels: int = LEVELS, seed: int = 0, doc_id: st
                 carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, shards, local_key), a row per row.
 
-    `copies` is how often the mix takes the document, `taken` the words of these copies, `shards` the
-    output shard of each copy. A null text is empty; a null source is a source, the last one.
+    `copies` is how often the mix takes the document, `shards` the output shard of each copy, `taken`
+    the words of the copies with a shard. A null text is empty; a null source is a source, the last one.
     Documents without words count as taken where the draw passes them, and add nothing. Repeated
     rows and ids are rows like any other. An empty table gives no rows. Runs agree: every draw is a
-    hash of ids and `seed`. Columns named in `carry` are kept under their names.
+    hash of ids and `seed`. Columns named in `carry` are kept under their names, and order rows of one id
+    and size.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     sized = cut(docs.select(
@@ -135,18 +137,18 @@ def mix_sources(docs: DataFrame, levels: int = LEVELS, seed: int = 0, doc_id: st
                     lambda x: x.shard).alias("block_shards"))
     facts = starts.join(placed, block, "left")
 
-    inside = Window.partitionBy(*block).orderBy("key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy(*block).orderBy("key", "doc_id", "size", *carry).rowsBetween(
         Window.unboundedPreceding, -1)
     before = F.col("block_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = (2 * F.col("before") + F.col("size") <= 2 * F.col("quota")).cast("int")
     return (
         dealt.join(facts, block).withColumn("before", before)
         .withColumn("copies", (F.col("whole") + extra).cast("bigint"))
+        .withColumn("shards", F.coalesce(F.slice("block_shards", F.lit(1), F.col("copies").cast("int")),
+                                         F.array().cast("array<int>")))
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
-            F.coalesce(F.slice("block_shards", F.lit(1), F.col("copies").cast("int")),
-                       F.array().cast("array<int>")).alias("shards"),
+            (F.size("shards") * F.col("size")).cast("bigint").alias("taken"), "shards",
             F.xxhash64(F.lit(seed), "doc_id").alias("local_key"), *carry)
     )
 

@@ -63,3 +63,12 @@ def test_no_words_and_no_rows(spark):
     rows = mixing.mix_sources(documents(spark, ["", None, " \t"])).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in rows] == [(0, 0, 0.0)] * 3
     assert mixing.mix_sources(documents(spark, [])).count() == 0
+
+
+def test_what_is_taken_comes_from_the_tree(spark):
+    docs = documents(spark, near_copies())
+    narrow = mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "block_shards" in plan and "LeftOuter" in plan
+    for r in mixing.mix_sources(docs).collect():
+        assert r["taken"] == len(r["shards"]) * r["size"] == r["copies"] * r["size"]
