@@ -1,9 +1,10 @@
 """License scans: a positional index of licence templates, looked up by rare words.
 
 Templates are indexed as postings (word, template, position). Inverse document frequencies of the
-licence words are counted over all documents. A file looks up its licence words of the highest IDF;
-every occurrence votes for a template at a relative position. A template at a position is accepted
-when enough of its IDF weight stands there and all words of its mandatory key phrase do.
+licence words are counted over all documents. A file looks up, for every template, the word of its
+mandatory key phrase that has the highest IDF; every occurrence votes for the template at a relative
+position. A template at a position is accepted when enough of its IDF weight stands there and all
+words of its key phrase do, so no acceptable position is without a vote.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import ANY_CASE_WORD, PLAIN_WORD, ascii_lower, let
+from tallymark.llm.common import ANY_CASE_WORD, PLAIN_WORD, ascii_lower
 
 #: The phrases whose places are always counted, with their labels.
 BASE_PHRASES = (
@@ -48,20 +49,16 @@ TEMPLATES = (
      "permitted", "redistribution and use in source and binary forms"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: A word is rare when at most this share of the documents has it.
-RARE_SHARE = 0.05
-#: How many of its licence words a file looks up, the rarest first.
-LOOKUPS = 8
 #: Share of a template's IDF weight that has to stand at the position.
 LEAST_WEIGHT = 0.6
 
 
 @dataclass(frozen=True)
 class Index:
-    """The templates with the IDF of their words; `rare` are the words that may be looked up."""
+    """The templates with the IDF of their words; `anchors` are the places of the words looked up."""
     templates: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]
     idf: dict[str, float]
-    rare: tuple[str, ...]
+    anchors: tuple[int, ...]
 
 
 def tokens_of(text: Column) -> Column:
@@ -86,8 +83,14 @@ def build_index(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> Ind
     counts = {r["word"]: r["count"] for r in words.collect()}
     total = docs.count()
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
-    rare = tuple(w for w in vocabulary if counts.get(w, 0) <= max(1, RARE_SHARE * total))
-    return Index(split, idf, rare)
+    anchors = tuple(max(range(first, first + len(key)), key=lambda j: idf[body[j]])
+                    for _, body, key in split for first in [_key_start(body, key)])
+    return Index(split, idf, anchors)
+
+
+def _key_start(body: tuple[str, ...], key: tuple[str, ...]) -> int:
+    """Index of the first word of the key phrase."""
+    return next(j for j in range(len(body)) if body[j:j + len(key)] == key)
 
 
 def _starts(tokens: Column, phrase: tuple[str, ...], anchor: int) -> Column:
@@ -108,14 +111,12 @@ def _matches(tokens: Column, positions: Column, index: Index) -> Column:
     The score is the share of the template's IDF weight that stands there; 0 unless the key phrase is
     complete. Template words beyond the borders of the text do not match.
     """
-    postings: dict[str, list] = {w: [] for w in index.rare}
+    postings: dict[str, list] = {}
     table = []
-    for t, (label, body, key) in enumerate(index.templates):
-        for j, w in enumerate(body):
-            if w in postings:
-                postings[w].append({"t": t, "j": j})
+    for t, ((label, body, key), j) in enumerate(zip(index.templates, index.anchors, strict=True)):
+        postings.setdefault(body[j], []).append({"t": t, "j": j})
         weights = [index.idf[w] for w in body]
-        first = next(j for j in range(len(body)) if body[j:j + len(key)] == key)
+        first = _key_start(body, key)
         table.append({"label": label, "words": [
             {"w": w, "x": x / sum(weights), "k": first <= j < first + len(key)}
             for j, (w, x) in enumerate(zip(body, weights, strict=True))]})
@@ -140,7 +141,7 @@ def _matches(tokens: Column, positions: Column, index: Index) -> Column:
 
 
 def scan_licenses(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text",
-                  least_weight: float = LEAST_WEIGHT, lookups: int = LOOKUPS) -> DataFrame:
+                  least_weight: float = LEAST_WEIGHT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches).
 
     One row per row of `docs`, in one projection without a shuffle. `matches` lists (label, score)
@@ -148,7 +149,8 @@ def scan_licenses(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: s
     labels and score 0. Repeated rows stay.
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    anchors = sorted({phrase.split()[_rarest(phrase)] for _, phrase in BASE_PHRASES} | set(index.rare))
+    looked_up = sorted({body[j] for (_, body, _), j in zip(index.templates, index.anchors, strict=True)})
+    anchors = sorted({phrase.split()[_rarest(phrase)] for _, phrase in BASE_PHRASES} | set(looked_up))
     loose = read.withColumn("loose", tokens_of(F.col("t")))
     found = loose.select(
         "doc_id", F.size("loose").cast("bigint").alias("n_words"),
@@ -159,11 +161,9 @@ def scan_licenses(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: s
         f"base{i}": F.coalesce(_starts(F.col("tokens"), tuple(phrase.split()), _rarest(phrase)),
                                F.array().cast("array<int>"))
         for i, (_, phrase) in enumerate(BASE_PHRASES)})
-    by_idf = sorted(index.rare, key=lambda w: (-index.idf[w], w))
-    present = F.filter(words_array(by_idf), lambda w: F.array_contains(F.col("tokens"), w))
-    voted = places.withColumn("positions", let(F.slice(present, 1, lookups), lambda top: F.filter(
+    voted = places.withColumn("positions", F.filter(
         F.transform("tokens", lambda w, i: F.struct(w.alias("w"), i.alias("p"))),
-        lambda x: F.array_contains(top, x.w))))
+        lambda x: F.array_contains(words_array(looked_up), x.w)))
     scored = voted.withColumn("judged", F.coalesce(
         F.filter(_matches(F.col("tokens"), F.col("positions"), index),
                  lambda m: m.score >= least_weight),

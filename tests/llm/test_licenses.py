@@ -54,3 +54,21 @@ def test_labels_of_the_method(spark):
 
 def test_empty_table(spark):
     assert scanned(spark, []) == {}
+
+
+def test_notice_of_a_third_of_the_rows(spark):
+    notice = " ".join(next(b for label, b, _ in licenses.TEMPLATES if label == "bsd").split())
+    texts = [f"w{i} {notice} w{i}" if i % 3 == 0 else f"w{i} all words of this file" for i in range(60)]
+    rows = scanned(spark, texts)
+    assert [rows[i]["labels"] for i in range(60)] == ["bsd" if i % 3 == 0 else "" for i in range(60)]
+    assert all(rows[i]["score"] > 0.999 for i in range(0, 60, 3))
+    few = scanned(spark, ["all rights reserved"] * 2 + ["w"] * 8)
+    assert [few[i]["labels"] for i in range(3)] == ["proprietary", "proprietary", ""]
+
+
+def test_file_with_all_notices(spark):
+    every = " x ".join(body for _, body, _ in licenses.TEMPLATES)
+    rows = scanned(spark, [every, *(body for _, body, _ in licenses.TEMPLATES), *near_copies()])
+    assert rows[0]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in rows[1 + i]["labels"].split(",")
