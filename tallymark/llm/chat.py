@@ -37,8 +37,8 @@ TYPES = {
 }
 ITEMS = ("conv_id bigint, turn bigint, seq int, kind string, call_id string, name string, "
          "refs array<string>, errors array<string>, json string")
-#: Rounds in which calls may be moved behind later calls that they cite.
-MOST_ROUNDS = 50
+#: Above the hops of any chain of calls; keeps the counters of cycles in range.
+MOST_HOPS = 1 << 40
 
 
 def canonical(value) -> str:
@@ -158,40 +158,68 @@ def read_items(messages: DataFrame, schemas: dict) -> DataFrame:
     return source.mapInArrow(run, ITEMS)
 
 
-def _ordered_calls(calls: DataFrame, most_rounds: int) -> DataFrame:
+def _ordered_calls(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, at, hops, settled): where each call may stand.
 
     A call stands at its own turn, or behind the call it cites where that one comes later: `at` is
-    then the other's turn and `hops` one more than the other's. Rounds end when nothing moves; calls
-    that still move after `most_rounds` are in a cycle, or behind one, or in a longer chain of calls in
-    the wrong order, and are not settled.
+    then the other's turn and `hops` one more than the other's. In a round every open citation takes
+    over what its call knows and is closed if that call has settled; a citation of a call with one
+    open citation is led on to the call behind it. Chains of calls with one citation each so settle
+    in rounds that grow with the logarithm of their length, others in no more rounds than their
+    length. Calls of which no citation chain ends settle in no round: rounds end when nothing is open
+    or none has settled, and the open calls are then in a cycle or behind one and keep their own turn.
     """
-    own = F.struct(F.col("turn").alias("at"), F.lit(0).alias("hops"))
-    place = cut(calls.select("conv_id", "call_id", "refs", own.alias("place"), F.lit(True).alias("settled")))
-    cited = cut(place.select("conv_id", "call_id", F.explode("refs").alias("ref")))
-    if cited.isEmpty():
-        return place.select("conv_id", "call_id", "place.at", "place.hops", "settled")
-    for _ in range(most_rounds):
-        behind = cited.join(
-            place.select("conv_id", F.col("call_id").alias("ref"), F.col("place").alias("before")),
-            ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(
-            F.max(F.struct("before.at", (F.col("before.hops") + 1).alias("hops"))).alias("bound"))
-        moved = place.drop("settled").join(behind, ["conv_id", "call_id"], "left").withColumn(
-            "settled", F.col("bound").isNull() | (F.col("bound") <= F.col("place"))
-        ).withColumn("place", F.greatest("place", "bound")).drop("bound")
-        place = cut(moved)
-        if place.where(~F.col("settled")).isEmpty():
+    key = ["conv_id", "call_id"]
+    own = F.struct(F.col("turn").cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("hops"))
+    citations = F.transform("refs", lambda r: F.struct(r.alias("ref"), F.lit(1).cast("bigint").alias("hops")))
+    state = cut(calls.select(*key, "turn", own.alias("place"), citations.alias("open")))
+    settled = state.where(F.size("open") == 0)
+    pending, left = state.where(F.size("open") > 0), state.where(F.size("open") > 0).count()
+    if left:
+        cited = pending.select("conv_id", F.explode("open.ref").alias("call_id")).distinct()
+        known = cut(settled.join(cited, key, "left_semi"))
+    rounds = 0
+    while left:
+        before = known.unionByName(pending).select(
+            "conv_id", F.col("call_id").alias("ref"), F.col("place").alias("there"),
+            F.col("open").alias("next"))
+        hops = lambda a, b: F.least(a + b, F.lit(MOST_HOPS)).alias("hops")
+        met = pending.select(*key, "turn", "place", F.explode("open").alias("cite")).select(
+            *key, "turn", "place", "cite.ref", F.col("cite.hops").alias("by")
+        ).join(before, ["conv_id", "ref"], "left").select(
+            *key, "turn", "place",
+            F.when(F.col("there").isNotNull(), F.struct(
+                F.col("there.at").alias("at"), hops(F.col("there.hops"), F.col("by")))).alias("bound"),
+            F.when(F.size("next") == 1, F.struct(
+                F.get("next", F.lit(0)).ref.alias("ref"), hops(F.get("next", F.lit(0)).hops, F.col("by"))))
+            .when(F.size("next") > 1, F.struct("ref", F.col("by").alias("hops"))).alias("open"))
+        moved = cut(met.groupBy(*key).agg(
+            F.first("turn").alias("turn"), F.greatest(F.first("place"), F.max("bound")).alias("place"),
+            F.collect_list("open").alias("open")
+        ).withColumn("open", F.transform(F.array_distinct("open.ref"), lambda r: F.struct(
+            r.alias("ref"), F.array_max(F.transform(
+                F.filter("open", lambda o: o.ref == r), lambda o: o.hops)).alias("hops")))))
+        done = moved.where(F.size("open") == 0)
+        settled, known = settled.unionByName(done), known.unionByName(done)
+        pending, was = moved.where(F.size("open") > 0), left
+        left, rounds = pending.count(), rounds + 1
+        if left == was:
             break
-    return place.select("conv_id", "call_id", "place.at", "place.hops", "settled")
+        if rounds % 8 == 0:  # keeps the plan small
+            settled, known = cut(settled), cut(known)
+    placed = settled.select(*key, "place.at", F.col("place.hops").cast("int").alias("hops"),
+                            F.lit(True).alias("settled"))
+    return placed.unionByName(pending.select(
+        *key, F.col("turn").cast("bigint").alias("at"), F.lit(0).alias("hops"), F.lit(False).alias("settled")))
 
 
-def format_chats(messages: DataFrame, schemas: dict = SCHEMAS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def format_chats(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """(conv_id, turn, seq, kind, call_id, name, status, errors, at, hops, step, json), a row per item.
 
     Ordered by (at, hops, step, turn, seq), every call of a conversation comes after the results it
     cites and every result after its call. Status of a call: `ok`, `invalid` (see `errors`),
-    `duplicate` (its id is taken by an earlier call), `no_result`, `cyclic`; of a result: `linked` or
-    `orphan`. A message has the status `message`. The first call with an id, by turn and place, owns
+    `duplicate` (its id is taken by an earlier call), `no_result`, `cyclic` (it cites itself through
+    others, or a call that does); of a result: `linked` or `orphan`. A message has the status `message`. The first call with an id, by turn and place, owns
     it; all results with the id are its results. Null texts are empty messages, null turns come first,
     rows without a conversation id form one conversation, repeated rows repeat their items. An empty
     table gives no rows.
@@ -206,7 +234,7 @@ def format_chats(messages: DataFrame, schemas: dict = SCHEMAS, most_rounds: int
     answered = results.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("results"))
     linked = cut(
         owners.join(answered.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-        .join(_ordered_calls(owners, most_rounds), ["conv_id", "call_id"])
+        .join(_ordered_calls(owners), ["conv_id", "call_id"])
         .select("conv_id", "call_id", F.col("turn").alias("own_turn"), F.col("seq").alias("own_seq"),
                 "results", "at", "hops", "settled"))
     joined = items.join(linked, ["conv_id", "call_id"], "left")
@@ -235,19 +263,24 @@ def format_chats(messages: DataFrame, schemas: dict = SCHEMAS, most_rounds: int
 def with_tool_use(conversations: DataFrame) -> DataFrame:
     """Conversations as tool dialogues: every assistant turn also calls a tool with the turn's text.
 
-    The tables at hand have no tool calls. A call cites the one two turns before it, and the next
-    user turn is its result, so ids, links and order follow from the rows of the table.
+    The tables at hand have no tool calls. In every third conversation each call cites the one two
+    turns after it, a chain against the order of turns that is as long as the conversation; in the
+    others every second call cites the one two turns before it. The next user turn is a call's
+    result, so ids, links and order follow from the rows of the table.
     """
     call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    cites = F.when(F.col("turn") % 4 == 3, F.named_struct(
-        F.lit("$ref"), F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))))
+    cited = F.when(F.col("conv_id") % 3 == 0, F.col("turn") + 2).when(
+        F.col("turn") % 4 == 3, F.col("turn") - 2)
+    cites = F.when(cited.isNotNull(), F.named_struct(
+        F.lit("$ref"), F.concat(F.lit("c"), cited.cast("string"))))
     search = F.to_json(F.struct(
         call_id.alias("id"), F.lit("search").alias("name"), F.struct(
             F.col("text").alias("query"), (F.col("turn") % 7).alias("limit"),
             cites.alias("after")).alias("arguments")))
     lookup = F.to_json(F.struct(
         call_id.alias("id"), F.lit("lookup").alias("name"), F.struct(
-            F.col("text").alias("key"), F.lit(True).alias("exact")).alias("arguments")))
+            F.col("text").alias("key"), F.lit(True).alias("exact"),
+            cites.alias("after")).alias("arguments")))
     call = F.when(F.col("turn") % 3 == 0, lookup).otherwise(search)
     result = F.to_json(F.struct(
         F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"),

@@ -85,3 +85,32 @@ def test_query_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert formatted(spark, []) == []
+
+
+def test_long_chains_against_the_order_of_turns(spark):
+    n = 130
+    chain = [(1, t, "assistant", call(f"c{t}", query="q", after={"$ref": f"c{t + 1}"})) for t in range(n)]
+    # Each call cites the next two: more open citations than one.
+    wide = [(2, t, "assistant", call(f"c{t}", query="q", after={"x": {"$ref": f"c{t + 1}"}, "y": {"$ref": f"c{t + 2}"}}))
+            for t in range(12)]
+    ring = [(3, t, "assistant", call(f"c{t}", query="q", after={"$ref": f"c{(t + 1) % 7}"})) for t in range(7)]
+    ring += [(3, 7, "assistant", call("free", query="q")), (3, 8, "assistant", call("self", query="q", after={"$ref": "self"}))]
+    rows = [r for r in formatted(spark, chain + wide + ring) if r["kind"] == "call"]
+    assert [r["call_id"] for r in rows if r["conv_id"] == 1] == [f"c{t}" for t in reversed(range(n))]
+    assert [r["call_id"] for r in rows if r["conv_id"] == 2] == [f"c{t}" for t in reversed(range(12))]
+    assert {r["status"] for r in rows if r["conv_id"] in (1, 2)} == {"no_result"}
+    assert [(r["at"], r["hops"]) for r in rows if r["conv_id"] == 1] == [(n - 1, k) for k in range(n)]
+    status = {r["call_id"]: (r["status"], r["at"], r["hops"]) for r in rows if r["conv_id"] == 3}
+    assert status == {**{f"c{t}": ("cyclic", t, 0) for t in range(7)}, "free": ("no_result", 7, 0), "self": ("cyclic", 8, 0)}
+
+
+def test_query_reorders_calls(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = [r for r in chat.format_chats(chat.with_tool_use(table)).collect() if r["kind"] == "call"]
+    assert "cyclic" not in {r["status"] for r in rows} and max(r["hops"] for r in rows) > 1
+    by_id = {(r["conv_id"], r["call_id"]): (r["at"], r["hops"]) for r in rows if r["status"] != "duplicate"}
+    for r in rows:
+        after = json.loads(r["json"])["arguments"].get("after")
+        cited = after and by_id.get((r["conv_id"], after["$ref"]))
+        if cited and r["status"] != "duplicate":
+            assert cited < by_id[r["conv_id"], r["call_id"]]
