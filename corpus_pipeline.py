@@ -25,15 +25,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: the one with the least id.
+    """One document of each group of linked texts: the one with the least id, then the least digest.
 
-    Documents without an id are told apart by their texts. Of rows with one id, one stays.
+    Documents are told apart by id and text, so different texts with one id stay unless they are
+    linked. Documents without an id have a negative one made from their text.
     """
     stand_in = -1 - F.shiftrightunsigned(F.xxhash64("text"), 1)
-    told = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("__id"))
-    groups = jaccard.jaccard_components(told, doc_id="__id")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return told.join(first, "__id", "left_semi").dropDuplicates(["__id"]).select(*COLUMNS)
+    rank = F.struct(F.coalesce("doc_id", stand_in).alias("id"), F.xxhash64("text").alias("digest"))
+    told = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"), rank.alias("__rank"))
+    groups = jaccard.jaccard_components(told, doc_id="__key").select(
+        F.col("doc_id").alias("__key"), "component_id").distinct()
+    first = told.select("__key", "__rank").distinct().join(groups, "__key").groupBy(
+        "component_id").agg(F.min_by("__key", "__rank").alias("__key")).select("__key")
+    row = F.struct(*[c for c in COLUMNS if c != "text"], "text")
+    return told.join(first, "__key", "left_semi").groupBy("__key").agg(
+        F.min(row).alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,11 @@ def test_rows_without_an_id(spark):
     assert corpus_pipeline.without_benchmark(spark, docs, SF).count() == 4
     assert corpus_pipeline.mixed(spark, docs.withColumn("n_chars", F.lit(1)), SF).count() > 0
     assert decontamination.decontaminate(docs, docs.selectExpr("doc_id AS item_id", "text")).count() == 4
+
+
+def test_rows_that_share_an_id(spark):
+    copied, alone = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = documents(spark, [copied, copied, alone, alone], ids=[3, 5, 5, 5])
+    for n in (1, 4, 7):
+        rows = corpus_pipeline.near_duplicates(spark, docs.repartition(n), SF).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == [(3, copied), (5, alone)]
