@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    chat, decontamination, jaccard, licenses, mixing, quality, secret_scan, sharding, toxicity, urls,
+    chat, decontamination, jaccard, licenses, line_dedup, mixing, quality, secret_scan, sharding,
+    toxicity, urls,
 )
 from tallymark.session import load
 
@@ -88,3 +89,8 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op12_line_dedup", line_dedup.SQL)
+def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents"), ["doc_id"]).drop("keep")
