@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import (
-    chat, decontamination, jaccard, licenses, line_dedup, mixing, quality, secret_scan, sharding,
-    toxicity, urls,
+    chat, decontamination, jaccard, licenses, line_dedup, mixing, prefix_trie, quality,
+    repair, secret_scan, sharding, toxicity, urls,
 )
 from tallymark.session import load
 
@@ -91,6 +91,19 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
 
 
+@query("op11_prefix_trie", prefix_trie.SQL)
+def shared_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.order_turns(load(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(turns))
+
+
 @query("op12_line_dedup", line_dedup.SQL)
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(load(spark, sf_dir, "documents"), ["doc_id"]).drop("keep")
+
+
+@query("op13_conversation_repair")
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations")
+    found = repair.repair_conversations(repair.damage(rows))
+    return repair.with_all_conversations(found, rows)
