@@ -58,6 +58,8 @@ def with_shared_openings(turns: DataFrame, every: int = 100, most: int = 6) -> D
     The first crc32(id) mod `most` turns of a conversation are those of the one whose id is the next
     multiple of `every` towards zero.
     """
+    turns = cut(turns)  # read four times below
+
     def own(conv_id: Column) -> Column:
         return F.crc32(conv_id.cast("string").cast("binary")) % most
 
