@@ -4,67 +4,116 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.numbers import plain_number
 from tallymark.functions.text import normalise_header
-from tallymark.operators.aggregate import AGGREGATES, Kpi, batch_kpis
-from tallymark.operators.catalog import catalog_of
+from tallymark.operators.aggregate import AGGREGATES
 from tallymark.plans.checks import validate_kpis
+from tallymark.plans.filters import compile_filters, masked_figures, spec_masks
+from tallymark.plans.specs import filled
+from tallymark.plans.sqltext import query_values
+from tallymark.session import cut
 
 ORIGINS = ("sql", "file")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
-def _asked(specs: DataFrame) -> DataFrame:
-    return specs.select(
+def _asked(specs: DataFrame, frames: list[DataFrame], names: list[tuple[str, str, int]]) -> DataFrame:
+    """(spec_id, origin, column, agg, source_no) of the specs whose figure a source can give."""
+    spark = specs.sparkSession
+    known = spark.createDataFrame(
+        [(o, name, n, c.strip().lower()) for o, name, n in names for c in dict.fromkeys(frames[n].columns)],
+        "origin string, source string, source_no int, column string").distinct()
+    asked = specs.select(
         "spec_id", *[normalise_header(F.col(c)).alias(c) for c in ("origin", "source", "column", "agg")])
+    return asked.where(F.col("agg").isin(*AGGREGATES)).join(known, ["origin", "source", "column"]).select(
+        "spec_id", "origin", "column", "agg", "source_no")
 
 
-def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]]) -> DataFrame:
+def _figure(df: DataFrame, column: str, agg: str) -> Column:
+    own, kind = next((c, k) for c, k in df.dtypes if c.strip().lower() == column)
+    value = F.col(f"`{own}`")
+    if agg == "count_distinct" or kind.split("(")[0] in NUMERIC:
+        return value
+    return plain_number(value)
+
+
+def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]], filters: DataFrame | None = None,
+                first_year_only: bool = False) -> DataFrame:
     """`(spec_id, sql_value, file_value)` of `specs(spec_id, origin, source, column, agg)`.
 
-    `sources` has the frames of each origin (`sql`, `file`) by name. Specs that ask for the same figure
-    share it, and all figures of a source come from the scans of one KPI batch. The distinct figures
-    that exist are collected: as many as the sources have columns times aggregates, at most.
+    `sources` has the frames of each origin (`sql`, `file`) by name; a frame given under several names is
+    read once. `filters(spec_id, title, values)` are the selected slicers of the specs, see
+    `compile_filters`; several slicers of a spec all hold. Specs that ask for the same figure share it, and
+    all plain aggregates of a source, whatever the filters, come from one scan. What is collected are
+    columns and aggregates: as many as the sources have, at most.
+
+    A sum or count of no rows is 0, other figures of no rows are null. Specs with an unknown source, column
+    or aggregate have no row.
     """
-    spark, asked = specs.sparkSession, _asked(specs)
-    frames = [(o, name, df) for o in ORIGINS for name, df in sources.get(o, {}).items()]
-    known = reduce(DataFrame.unionByName, [
-        catalog_of({name.lower(): df}).select(
-            F.lit(o).alias("origin"), F.col("table").alias("source"),
-            normalise_header(F.col("column")).alias("column")) for o, name, df in frames])
-    figures = asked.where(F.col("agg").isin(*AGGREGATES)).join(
-        known, ["origin", "source", "column"], "left_semi").select("origin", "source", "column", "agg").distinct()
-    wanted: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for r in figures.collect():
-        wanted.setdefault((r["origin"], r["source"]), []).append((r["column"], r["agg"]))
+    spark = specs.sparkSession
+    frames, names = [], []
+    for o in ORIGINS:
+        for name, df in sources.get(o, {}).items():
+            if not any(df is f for f in frames):
+                frames.append(df)
+            names.append((o, name.strip().lower(), next(n for n, f in enumerate(frames) if df is f)))
+    if filters is None:
+        filters = spark.createDataFrame([], "spec_id bigint, title string, values array<string>")
+    asked = cut(_asked(specs, frames, names))
+    compiled = cut(compile_filters(filters, asked, frames, first_year_only).where(F.col("pred").isNotNull()))
+    masks = spec_masks(compiled)
+    planned = asked.join(masks.drop("preds"), ["spec_id", "source_no"], "left").fillna("", ["mask"])
+    figures = [tuple(r) for r in asked.select("source_no", "column", "agg").distinct().collect()]
+    used = [tuple(r) for r in compiled.select("source_no", "column", "by_year").distinct().collect()]
     values = []
-    for o, name, df in frames:
-        kpis = []
-        for column, agg in sorted(wanted.get((o, name.lower()), [])):
-            own = next(c for c in df.columns if c.strip().lower() == column)
-            shown = F.col(f"`{own}`")
-            number = plain_number(shown) if dict(df.dtypes)[own] == "string" and agg != "count_distinct" else shown
-            kpis.append(Kpi(f"{agg} {column}", agg, number))
-        if kpis:
-            values.append(batch_kpis(df, kpis).select(
-                F.lit(o).alias("origin"), F.lit(name.lower()).alias("source"),
-                F.substring_index("kpi", " ", 1).alias("agg"), F.expr("substr(kpi, instr(kpi, ' ') + 1)")
-                .alias("column"), F.col("value").cast("double").alias("value")))
+    for n, df in enumerate(frames):
+        wanted = [(c, agg, _figure(df, c, agg)) for m, c, agg in sorted(figures) if m == n]
+        if wanted:
+            own = F.col("source_no") == n
+            preds = compiled.where(own).select("column", "by_year", "values", "pred").distinct()
+            values.append(masked_figures(
+                df, preds, masks.where(own).select("mask", "preds").distinct(),
+                sorted((c, y) for m, c, y in used if m == n), wanted
+            ).withColumn("source_no", F.lit(n)))
     if not values:
         return spark.createDataFrame([], "spec_id bigint, sql_value double, file_value double")
-    found = asked.join(reduce(DataFrame.unionByName, values), ["origin", "source", "column", "agg"])
-    return found.select("spec_id", *[
+    found = planned.join(
+        reduce(DataFrame.unionByName, values), ["source_no", "mask", "column", "agg"], "left")
+    nothing = F.when(F.col("agg").isin("sum", "count", "count_distinct"), F.lit(0.0))
+    return found.withColumn("value", F.coalesce("value", nothing)).select("spec_id", *[
         F.when(F.col("origin") == o, F.col("value")).alias(f"{o}_value") for o in ORIGINS])
 
 
 def check_kpis(specs: DataFrame, captured: DataFrame, sources: dict[str, dict[str, DataFrame]],
-               current_page: str | None = None) -> DataFrame:
+               current_page: str | None = None, filters: DataFrame | None = None,
+               views: dict[str, DataFrame] | None = None) -> DataFrame:
     """Verdicts of `specs(spec_id, page, visual_title, origin, source, column, agg, expected_value,
-    is_text, tolerance)`; see `spec_values` and `validate_kpis`. A figure that no source has is null."""
+    is_text, tolerance)`; see `spec_values` and `validate_kpis`. A figure that no source has is null.
+
+    With a column `sql_query`, specs with such a text take their value from it (`query_values`, over
+    `views`), whatever else they name; a text that fails gives its own spec the status `query_failed`.
+    """
     origin = normalise_header(F.col("origin"))
     ready = specs.withColumns({
         f"has_{o}": F.coalesce(origin == o, F.lit(False)) for o in ORIGINS})
-    return validate_kpis(ready.drop("origin", "source", "column", "agg"), captured,
-                         spec_values(specs, sources), current_page)
+    values = spec_values(specs, sources, filters)
+    names = ["origin", "source", "column", "agg"]
+    if "sql_query" not in specs.columns:
+        return validate_kpis(ready.drop(*names), captured, values, current_page)
+    has_text = filled("sql_query")
+    texts = cut(specs.where(has_text).select("spec_id", "sql_query"))
+    answers = cut(texts.join(query_values(texts, views), "sql_query").select("spec_id", "value", "error"))
+    null = F.lit(None).cast("double")
+    values = values.join(answers, "spec_id", "left_anti").unionByName(
+        answers.select("spec_id", F.col("value").alias("sql_value"), null.alias("file_value")))
+    verdicts = validate_kpis(
+        ready.withColumn("has_sql", F.col("has_sql") | has_text).drop(*names, "sql_query"),
+        captured, values, current_page)
+    failed = F.col("error").isNotNull() & (F.col("status") != "not_captured")
+    return verdicts.join(answers.select("spec_id", "error"), "spec_id", "left").withColumns({
+        "status": F.when(failed, "query_failed").otherwise(F.col("status")),
+        "passed": F.col("passed") & ~failed,
+        "detail": F.when(failed, F.col("error")).otherwise(F.col("detail"))}).drop("error")

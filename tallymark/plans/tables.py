@@ -10,36 +10,55 @@ from pyspark.sql import functions as F
 from tallymark.functions.compare import passes, relative_difference, value_status
 from tallymark.functions.numbers import comparison_detail, display_number, plain_number, strip
 from tallymark.functions.text import human_label, normalise_header
+from tallymark.operators.ranking import position_in_group
+from tallymark.operators.skew import spread_join
 from tallymark.plans.checks import route
+from tallymark.session import cut
 
 SIDES = ("dom", "api", "source")
+#: How rows meet: on their keys, repeats flagged or paired in order, or by position.
+KEYED, OCCURRENCE, POSITIONAL = "keyed", "occurrence", "positional"
 
 
-def plan_tables(specs: DataFrame, dom: DataFrame, api: DataFrame, source: DataFrame) -> DataFrame:
-    """Specs with their tier, row counts and missing columns.
+def wide_rows(dom: DataFrame, api: DataFrame, source: DataFrame) -> DataFrame:
+    """`(side, visual_id, row_no, cells)`: the cells of the three sides as rows, written once.
 
-    `specs(visual_id, visual_title, visual_type, visual_index, tier, has_api, has_source, join_keys,
-    compare_cols, tolerance)`; the cells are `(visual_id, row_no, col_name, raw)`. A row counts when it
-    has a cell, whichever that is. Adds `join_keys` and `compare_cols` in normal form, `tier_used`,
-    `published_rows`, `source_rows`, `missing` (columns the published or the source side lacks).
+    A row is as wide as its table, so its list of `(col_name, raw)` stays short. Row counts, column names
+    and cells are all taken from these rows.
     """
     cells = reduce(DataFrame.unionByName, [
         df.select(F.lit(side).alias("side"), "visual_id", "row_no",
-                  normalise_header(F.col("col_name")).alias("col_name"))
+                  normalise_header(F.col("col_name")).alias("col_name"), F.col("raw").cast("string").alias("raw"))
         for side, df in zip(SIDES, (dom, api, source), strict=True)])
-    rows = cells.select("side", "visual_id", "row_no").distinct().groupBy("visual_id").agg(
-        *[F.count_if(F.col("side") == s).alias(f"{s}_rows") for s in SIDES])
-    names = cells.select("side", "visual_id", "col_name").distinct().groupBy("visual_id").agg(
-        *[F.collect_set(F.when(F.col("side") == s, F.col("col_name"))).alias(f"{s}_names") for s in SIDES])
+    return cut(cells.groupBy("side", "visual_id", "row_no").agg(
+        F.array_sort(F.collect_list(F.struct("col_name", "raw"))).alias("cells")))
+
+
+def plan_tables(specs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Specs with their tier, row counts and missing columns.
+
+    `specs(visual_id, visual_title, visual_type, visual_index, tier, has_api, has_source, join_keys,
+    compare_cols, tolerance)` and, where rows do not meet on unique keys, `align`; `rows` as `wide_rows`
+    gives them. Adds `join_keys` and `compare_cols` in normal form, `align`, `tier_used`,
+    `published_rows`, `source_rows`, `missing` (columns the published or the source side lacks).
+    """
+    side = F.col("side")
+    names = F.transform("cells", lambda c: c["col_name"])
+    # Rows of a table have a few layouts, so the sets stay small however many rows there are.
+    found = rows.groupBy("visual_id").agg(
+        *[F.count_if(side == s).alias(f"{s}_rows") for s in SIDES],
+        *[F.array_distinct(F.flatten(F.collect_set(F.when(side == s, names)))).alias(f"{s}_names") for s in SIDES])
     none = F.array().cast("array<string>")
 
     def normal(columns: str) -> Column:
         return F.transform(F.coalesce(columns, none), lambda c: normalise_header(c))
 
+    align = F.lower(F.coalesce(F.nullif(strip(F.col("align")), F.lit("")), F.lit(KEYED))) \
+        if "align" in specs.columns else F.lit(KEYED)
     planned = (
         specs.withColumn("join_keys", normal("join_keys"))
-        .withColumn("compare_cols", normal("compare_cols"))
-        .join(rows, "visual_id", "left").join(names, "visual_id", "left")
+        .withColumn("compare_cols", normal("compare_cols")).withColumn("align", align)
+        .join(found, "visual_id", "left")
         .fillna(0, [f"{s}_rows" for s in SIDES])
         .withColumn("tier_used", route(F.col("tier"), F.col("has_api"), F.col("has_source"),
                                        F.col("dom_rows"), F.col("api_rows")))
@@ -55,56 +74,84 @@ def plan_tables(specs: DataFrame, dom: DataFrame, api: DataFrame, source: DataFr
         .otherwise(F.lit(0))).drop(*[f"{s}_names" for s in SIDES])
 
 
-def compare_tables(plan: DataFrame, dom: DataFrame, api: DataFrame, source: DataFrame,
-                   null_policy: str = "match") -> DataFrame:
-    """Cell verdicts `(visual_id, row_key, measure, published_raw, published, source, status, passed,
-    rel_diff)` of the tables that have both sides and all columns.
+def _keyed_rows(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """`(visual_id, is_source, tolerance, align, row_key, values)` of the rows that their specs use.
 
-    Every side is cut to the visuals that use it before cells are shuffled. Cells become rows, keys are
-    the trimmed texts of `join_keys` in the order of the spec, and both sides meet in one aggregation
-    by visual, key and measure.
+    Specs are one row per visual and are repeated for the parts of a large one, see `spread_join`.
+    """
+    used = spread_join(rows, specs, ["visual_id"], ["side", "row_no"]).where(
+        (F.col("side") == "source") | (F.col("side") == F.col("tier_used")))
+
+    def cell(name: Column) -> Column:  # of repeated columns one counts
+        return F.get(F.filter("cells", lambda c: c["col_name"] == name), F.lit(0))["raw"]
+
+    def read(raw: Column) -> Column:
+        return F.when(F.col("side") == "source", plain_number(raw)).otherwise(display_number(raw))
+
+    return used.select(
+        "visual_id", (F.col("side") == "source").alias("is_source"), "tolerance", "align",
+        F.transform("join_keys", lambda k: strip(cell(k))).alias("row_key"),
+        F.transform("compare_cols", lambda m: F.struct(
+            m.alias("measure"), read(cell(m)).alias("value"), cell(m).alias("raw"))).alias("values"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their place: among those of one key, or by position among all of their side.
+
+    Positions sort by the keys, numbers before texts and by value, missing keys last; repeats of a key, and
+    rows with equal keys, by their values. Each side sorts its own keys, as it reads them.
+    """
+    def typed(key: Column) -> Column:
+        number = F.when(F.col("is_source"), plain_number(key)).otherwise(display_number(key))
+        return F.struct(key.isNull().alias("missing"), number.isNull().alias("is_text"),
+                        number.alias("number"), key.alias("text"))
+
+    by_position = F.col("align") == POSITIONAL
+    group = ["visual_id", "is_source", "tolerance", "meet"]
+    return position_in_group(rows.select(
+        "visual_id", "is_source", "tolerance",
+        F.when(by_position, F.array().cast("array<string>")).otherwise(F.col("row_key")).alias("meet"),
+        F.transform("row_key", typed).alias("sort_key"), "values", "row_key",
+    ), group, ["sort_key", "values", "row_key"], "occurrence").drop("sort_key")
+
+
+def compare_tables(plan: DataFrame, rows: DataFrame, null_policy: str = "match") -> DataFrame:
+    """Cell verdicts `(visual_id, row_key, occurrence, measure, published_raw, published, source, tolerance,
+    status, passed, rel_diff)` of the tables that have both sides and all columns.
+
+    `align` of a spec says how rows meet: `keyed` on the trimmed texts of `join_keys`, where repeats are
+    `duplicate_key`; `occurrence` also pairs the repeats of a key in the order of their values;
+    `positional` pairs row i with row i, each side sorted by its own keys, and does not compare keys.
+    All rows meet in one aggregation by visual, key and place.
     """
     usable = plan.where(
         F.col("has_source") & F.col("tier_used").isin("dom", "api") & (F.size("missing") == 0)
         & (F.size("compare_cols") > 0) & (F.size("join_keys") > 0)
-    ).select("visual_id", "tier_used", "join_keys", "compare_cols")
-
-    def rows(df: DataFrame, side: str) -> DataFrame:
-        chosen = usable if side == "source" else usable.where(F.col("tier_used") == side)
-        cells = df.select("visual_id", "row_no", normalise_header(F.col("col_name")).alias("col_name"),
-                          F.col("raw").cast("string").alias("raw"))
-        own = cells.join(chosen.drop("tier_used"), "visual_id").where(
-            F.array_contains(F.array_union("join_keys", "compare_cols"), F.col("col_name")))
-        # A row is as wide as its table, so the lists stay short; of repeated columns one counts.
-        wide = own.groupBy("visual_id", "row_no", "join_keys", "compare_cols").agg(
-            F.array_sort(F.collect_list(F.struct("col_name", "raw"))).alias("cells"))
-
-        def cell(name: Column) -> Column:
-            return F.get(F.filter("cells", lambda c: c["col_name"] == name), F.lit(0))["raw"]
-
-        keyed = wide.select(
-            "visual_id", F.transform("join_keys", lambda k: strip(cell(k))).alias("row_key"),
-            F.explode(F.transform("compare_cols", lambda m: F.struct(
-                m.alias("measure"), cell(m).alias("raw")))).alias("c"))
-        number = plain_number(F.col("c.raw")) if side == "source" else display_number(F.col("c.raw"))
-        return keyed.select("visual_id", "row_key", "c.measure", "c.raw", number.alias("value"),
-                            F.lit(side == "source").alias("is_source"))
-
+    ).select("visual_id", "tier_used", "join_keys", "compare_cols", "align",
+             F.col("tolerance").cast("double").alias("tolerance"))
+    placed = F.col("align").isin(OCCURRENCE, POSITIONAL)
+    met = _keyed_rows(rows, usable.where(~placed)).withColumns(
+        {"meet": F.col("row_key"), "occurrence": F.lit(1).cast("bigint")}).drop("align")
+    if not usable.where(placed).isEmpty():
+        met = met.unionByName(_numbered(_keyed_rows(rows, usable.where(placed))))
     is_source = F.col("is_source")
-    met = reduce(DataFrame.unionByName, [
-        rows(dom, "dom"), rows(api, "api"), rows(source, "source")
-    ]).groupBy("visual_id", "row_key", "measure").agg(
-        F.max(F.when(~is_source, F.col("raw"))).alias("published_raw"),
-        F.max(F.when(~is_source, F.col("value"))).alias("published"),
-        F.max(F.when(is_source, F.col("value"))).alias("source"),
+    paired = met.groupBy("visual_id", "meet", "occurrence").agg(
+        F.max(F.when(~is_source, F.col("values"))).alias("shown"),
+        F.max(F.when(is_source, F.col("values"))).alias("given"),
+        F.coalesce(F.max(F.when(~is_source, F.col("row_key"))), F.max("row_key")).alias("row_key"),
+        F.max("tolerance").alias("tolerance"),
         F.count_if(~is_source).alias("n_published"), F.count_if(is_source).alias("n_source"))
-    tolerance = plan.select("visual_id", F.col("tolerance").cast("double").alias("tolerance"))
+    cells = paired.select(
+        "visual_id", "row_key", "occurrence", "tolerance", "n_published", "n_source",
+        F.inline(F.transform(F.coalesce("shown", "given"), lambda v, i: F.struct(
+            v["measure"].alias("measure"), F.get("shown", i)["raw"].alias("published_raw"),
+            F.get("shown", i)["value"].alias("published"), F.get("given", i)["value"].alias("source")))))
     status = (
         F.when(F.col("n_published") == 0, F.lit("missing_in_published"))
         .when(F.col("n_source") == 0, F.lit("missing_in_source"))
         .when((F.col("n_published") > 1) | (F.col("n_source") > 1), F.lit("duplicate_key"))
         .otherwise(value_status(F.col("published"), F.col("source"), F.col("tolerance"), null_policy)))
-    return met.join(tolerance, "visual_id").withColumns({
+    return cells.withColumns({
         "status": status, "rel_diff": relative_difference(F.col("published"), F.col("source")),
     }).withColumn("passed", passes(F.col("status"), null_policy)).drop("n_published", "n_source")
 
@@ -150,7 +197,12 @@ def judge_tables(plan: DataFrame, cells: DataFrame) -> DataFrame:
 
 def check_tables(specs: DataFrame, dom: DataFrame, api: DataFrame, source: DataFrame,
                  null_policy: str = "match") -> tuple[DataFrame, DataFrame]:
-    """Verdicts and cells of every table spec; see `plan_tables` for the inputs."""
-    plan = plan_tables(specs, dom, api, source)
-    cells = compare_tables(plan, dom, api, source, null_policy)
+    """Verdicts and cells of every table spec; see `plan_tables` for the specs.
+
+    The cells of a side are `(visual_id, row_no, col_name, raw)`. A row counts when it has a cell,
+    whichever that is.
+    """
+    rows = wide_rows(dom, api, source)
+    plan = plan_tables(specs, rows)
+    cells = compare_tables(plan, rows, null_policy)
     return judge_tables(plan, cells), cells

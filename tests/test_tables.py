@@ -46,3 +46,46 @@ def test_slicer_titles_mean_the_closest_column(spark):
         "date", "region_name", "order_date", "sales", None, None]
     df = spark.createDataFrame([("a",)], "region_name string")
     assert skipped_slicers(df, [Slicer("Region", ["a"]), Slicer("zz", ["a"]), Slicer("yy", ["All"])]) == ["zz"]
+
+
+def test_ways_to_meet(spark):
+    """Repeats of a key pair in the order of their values, positions in the order of typed keys; parts may be missing."""
+    def spec(v, align, keys=("Key",), tolerance=0.01):
+        return (v, f"t{v}", "Table", 0, "dom", True, True, list(keys), ["Sales"], tolerance, align)
+
+    specs = spark.createDataFrame(
+        [spec(1, "occurrence"), spec(2, "positional"), spec(3, None), spec(4, " Positional ", ("Key", "Other"), 0.5)],
+        SPEC + ", align string")
+
+    def side(*rows):
+        return [dict(zip(("Key", "Sales", "Other"), r)) for r in rows]
+
+    dom = cells(spark, {
+        1: side(("a", "$9"), ("a", "$10"), ("b", "1"), (None, "2"), ("c", "3")),
+        2: side(("10", "30"), ("9", "20"), ("$1,100", "40"), ("x", "50"), (None, "60")),
+        3: side(("a", "1"), ("a", "1"), ("b", "2")),
+        4: side(("k", "5", "2"), ("k", "6", "10"))})
+    source = cells(spark, {
+        1: side(("a", "10"), ("a", "9.01"), ("b", "1"), (None, "2"), ("d", "3")),
+        2: side(("9", "20"), ("1100", "40"), ("10", "31"), ("x", "50")),
+        3: side(("a", "1"), ("b", "2")),
+        4: side(("k", "9", "10"), ("k", "5", "2"))})
+    found = tables.check_tables(specs, dom, dom.limit(0), source)[1].collect()
+    got = sorted((r.visual_id, r.row_key[0] or "", r.occurrence, r.published, r.source, r.status) for r in found)
+    assert got == sorted([
+        (1, "a", 1, 9.0, 9.01, "match"), (1, "a", 2, 10.0, 10.0, "match"), (1, "b", 1, 1.0, 1.0, "match"),
+        (1, "", 1, 2.0, 2.0, "match"), (1, "c", 1, 3.0, None, "missing_in_source"), (1, "d", 1, None, 3.0, "missing_in_published"),
+        (2, "9", 1, 20.0, 20.0, "match"), (2, "10", 2, 30.0, 31.0, "mismatch"), (2, "$1,100", 3, 40.0, 40.0, "match"),
+        (2, "x", 4, 50.0, 50.0, "match"), (2, "", 5, 60.0, None, "missing_in_source"),
+        (3, "a", 1, 1.0, 1.0, "duplicate_key"), (3, "b", 1, 2.0, 2.0, "match"),
+        (4, "k", 1, 5.0, 5.0, "match"), (4, "k", 2, 6.0, 9.0, "match")])
+
+
+def test_each_input_is_read_once(spark, tmp_path):
+    cells(spark, {1: [{"K": "a", "S": "1"}]}).write.parquet(str(tmp_path / "cells"))
+    given = spark.read.parquet(str(tmp_path / "cells"))
+    specs = spark.createDataFrame([(1, "t", "Table", 0, "dom", True, True, ["K"], ["S"], 0.1)], SPEC)
+    rows = tables.wide_rows(given, given, given)
+    plan = tables.plan_tables(specs, rows)
+    text = tables.judge_tables(plan, tables.compare_tables(plan, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in text and text.count("Exchange hashpartitioning") <= 8

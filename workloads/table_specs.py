@@ -86,3 +86,50 @@ FROM y WHERE status <> 'match'""")
 def dataset_lines(t):
     return tables.cell_lines(_checked(t)[1]).select(
         "visual_id", F.get("row_key", F.lit(1)).alias("ord"), "detail")
+
+
+# Three ways to meet: unique keys, repeated priorities in order of price, orders by position.
+_MODES = """
+SELECT c_custkey AS visual_id, c_name AS visual_title, 'Table' AS visual_type, 0 AS visual_index, 'dom' AS tier, false AS has_api,
+  true AS has_source, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' Occurrence' ELSE 'positional' END AS align,
+  CAST(0.01 AS DOUBLE) AS tolerance
+FROM {customer}
+"""
+_SHOWN = "NOT (visual_id % 7 = 0 AND row_no % 3 = 0)"
+
+
+@query("dataset_modes", ctes(r=_ROWS, spec=_MODES) + f"""
+, g AS (SELECT r.*, visual_id % 3 AS mode, CASE WHEN {_OFF} THEN n * 2 ELSE n END AS v, {_SHOWN} AS shown FROM r),
+  p AS (SELECT visual_id, CASE mode WHEN 0 THEN priority || '/' || ord WHEN 1 THEN priority ELSE '' END AS meet,
+      CASE mode WHEN 0 THEN 1 WHEN 1 THEN row_number() OVER (PARTITION BY visual_id, priority ORDER BY n)
+        ELSE row_number() OVER (PARTITION BY visual_id ORDER BY row_no) END AS occurrence, priority, ord, n
+    FROM g WHERE shown),
+  s AS (SELECT visual_id, CASE mode WHEN 0 THEN priority || '/' || ord WHEN 1 THEN priority ELSE '' END AS meet,
+      CASE mode WHEN 0 THEN 1 WHEN 1 THEN row_number() OVER (PARTITION BY visual_id, priority ORDER BY v)
+        ELSE row_number() OVER (PARTITION BY visual_id ORDER BY row_no) END AS occurrence, priority, ord, v
+    FROM g WHERE visual_id IN (SELECT visual_id FROM g WHERE shown)),
+  j AS (SELECT coalesce(p.visual_id, s.visual_id) AS visual_id, coalesce(p.occurrence, s.occurrence) AS occurrence,
+      coalesce(p.priority, s.priority) AS priority, coalesce(p.ord, s.ord) AS ord, p.n, s.v
+    FROM p FULL JOIN s ON p.visual_id = s.visual_id AND p.meet = s.meet AND p.occurrence = s.occurrence)
+SELECT visual_id, CASE visual_id % 3 WHEN 0 THEN priority || ' | ' || ord WHEN 1 THEN priority ELSE ord END AS row_key, occurrence,
+  CAST(n AS DOUBLE) AS published, CAST(v AS DOUBLE) AS source, CASE WHEN n IS NULL THEN 'missing_in_published'
+    WHEN v IS NULL THEN 'missing_in_source' WHEN abs(n - v) / greatest(abs(n), abs(v), 1.0) <= 0.01 THEN 'match' ELSE 'mismatch' END AS status
+FROM j""")
+def dataset_modes(t):
+    rows = t.sql(_ROWS)
+    mode = F.col("visual_id") % 3
+    specs = t.sql(_MODES).withColumns({
+        "join_keys": F.when(mode == 0, F.array(F.lit("priority"), F.lit("order"))).when(
+            mode == 1, F.array(F.lit("priority"))).otherwise(F.array(F.lit("order"))),
+        "compare_cols": F.array(F.lit("price"))})
+
+    def cells(df, price):
+        return df.select("visual_id", "row_no", F.inline(F.array(*[
+            F.struct(F.lit(name).alias("col_name"), value.alias("raw")) for name, value in (
+                ("Priority", F.col("priority")), ("Order", F.col("ord")), ("Price", price))])))
+
+    off = F.when(F.expr(_OFF), F.col("n") * 2).otherwise(F.col("n")).cast("string")
+    shown = cells(rows.where(_SHOWN), F.concat(F.lit("$"), F.col("n").cast("string")))
+    found = tables.check_tables(specs, shown, shown.limit(0), cells(rows, off))[1]
+    return found.select("visual_id", F.array_join("row_key", " | ").alias("row_key"), "occurrence",
+                        "published", "source", "status")
