@@ -82,7 +82,7 @@ def spec_masks(compiled: DataFrame) -> DataFrame:
     ).withColumn("mask", F.md5(F.array_join("preds", ",").cast("binary")))
 
 
-def with_signature(df: DataFrame, preds: DataFrame, used: list[tuple[str, bool]]) -> DataFrame:
+def with_signature(df: DataFrame, preds: DataFrame | None, used: list[tuple[str, bool]]) -> DataFrame:
     """`df` with `__preds`, the predicates that a row passes, in order.
 
     `preds(column, by_year, values, pred)` are those of this source and `used` their columns. A value is
@@ -115,7 +115,7 @@ def _signature_masks(signatures: DataFrame, masks: DataFrame) -> DataFrame:
     return held.select("sig", "mask").unionByName(signatures.select("sig", F.lit("").alias("mask")))
 
 
-def masked_figures(df: DataFrame, preds: DataFrame, masks: DataFrame, used: list[tuple[str, bool]],
+def masked_figures(df: DataFrame, preds: DataFrame | None, masks: DataFrame | None, used: list[tuple[str, bool]],
                    wanted: list[tuple[str, str, Column]]) -> DataFrame:
     """(mask, column, agg, value) of every wanted figure of a source, for each mask that some row passes.
 
@@ -132,16 +132,20 @@ def masked_figures(df: DataFrame, preds: DataFrame, masks: DataFrame, used: list
     pieces = [piece for c, i in places.items() for piece in (
         F.sum(f"__v{i}").alias(f"sum{i}"), F.count(f"__v{i}").alias(f"count{i}"),
         F.min(f"__v{i}").alias(f"min{i}"), F.max(f"__v{i}").alias(f"max{i}"))]
-    by_signature = cut(signed.select("__preds", *[
-        F.nanvl(v.cast("double"), null).alias(f"__v{places[c]}") for c, v in numbers.items()
-    ]).groupBy("__preds").agg(F.count(F.lit(1)).alias("rows"), *pieces).withColumn("sig", _signature_id()))
-    held = cut(_signature_masks(by_signature.select("sig", "__preds"), masks))
+    by_value = signed.select("__preds", *[
+        F.nanvl(v.cast("double"), null).alias(f"__v{places[c]}") for c, v in numbers.items()])
+    if used:
+        by_signature = cut(by_value.groupBy("__preds").agg(F.count(F.lit(1)).alias("rows"), *pieces)
+                           .withColumn("sig", _signature_id()))
+        held = cut(_signature_masks(by_signature.select("sig", "__preds"), masks))
 
     found = []
     if numbers:
-        rolled = by_signature.join(held, "sig").groupBy("mask").agg(*[
-            f(f"{name}{i}").alias(f"{name}{i}") for i in places.values()
-            for name, f in (("sum", F.sum), ("count", F.sum), ("min", F.min), ("max", F.max))])
+        # Without filters there is one mask, and the source is its only signature.
+        rolled = by_value.groupBy(F.lit("").alias("mask")).agg(*pieces) if not used else by_signature.join(
+            held, "sig").groupBy("mask").agg(*[
+                f(f"{name}{i}").alias(f"{name}{i}") for i in places.values()
+                for name, f in (("sum", F.sum), ("count", F.sum), ("min", F.min), ("max", F.max))])
 
         def value(agg: str, i: int) -> Column:
             if agg == "sum":
@@ -157,7 +161,9 @@ def masked_figures(df: DataFrame, preds: DataFrame, masks: DataFrame, used: list
         if agg == "count_distinct":
             # Every value once per signature, then once per mask.
             values = signed.select(_signature_id(), v.alias("value")).where(F.col("value").isNotNull()).distinct()
-            counted = values.join(held, "sig").select("mask", "value").distinct().groupBy("mask").agg(
+            masked = values.join(held, "sig").select("mask", "value").distinct() if used else values.select(
+                F.lit("").alias("mask"), "value")
+            counted = masked.groupBy("mask").agg(
                 F.count(F.lit(1)).cast("double").alias("value"))
             found.append(counted.select("mask", F.lit(c).alias("column"), F.lit(agg).alias("agg"), "value"))
     return reduce(DataFrame.unionByName, found)

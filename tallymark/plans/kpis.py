@@ -60,24 +60,23 @@ def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]], filt
             if not any(df is f for f in frames):
                 frames.append(df)
             names.append((o, name.strip().lower(), next(n for n, f in enumerate(frames) if df is f)))
-    if filters is None:
-        filters = spark.createDataFrame([], "spec_id bigint, title string, values array<string>")
     asked = cut(_asked(specs, frames, names))
-    compiled = cut(compile_filters(filters, asked, frames, first_year_only).where(F.col("pred").isNotNull()))
-    masks = spec_masks(compiled)
-    planned = asked.join(masks.drop("preds"), ["spec_id", "source_no"], "left").fillna("", ["mask"])
     figures = [tuple(r) for r in asked.select("source_no", "column", "agg").distinct().collect()]
-    used = [tuple(r) for r in compiled.select("source_no", "column", "by_year").distinct().collect()]
+    compiled, used = None, []
+    planned = asked.withColumn("mask", F.lit(""))
+    if filters is not None:
+        compiled = cut(compile_filters(filters, asked, frames, first_year_only).where(F.col("pred").isNotNull()))
+        masks = spec_masks(compiled)
+        planned = asked.join(masks.drop("preds"), ["spec_id", "source_no"], "left").fillna("", ["mask"])
+        used = [tuple(r) for r in compiled.select("source_no", "column", "by_year").distinct().collect()]
     values = []
     for n, df in enumerate(frames):
         wanted = [(c, agg, _figure(df, c, agg)) for m, c, agg in sorted(figures) if m == n]
+        own, filtered = F.col("source_no") == n, sorted((c, y) for m, c, y in used if m == n)
         if wanted:
-            own = F.col("source_no") == n
-            preds = compiled.where(own).select("column", "by_year", "values", "pred").distinct()
-            values.append(masked_figures(
-                df, preds, masks.where(own).select("mask", "preds").distinct(),
-                sorted((c, y) for m, c, y in used if m == n), wanted
-            ).withColumn("source_no", F.lit(n)))
+            preds, needed = (compiled.where(own).select("column", "by_year", "values", "pred").distinct(),
+                             masks.where(own).select("mask", "preds").distinct()) if filtered else (None, None)
+            values.append(masked_figures(df, preds, needed, filtered, wanted).withColumn("source_no", F.lit(n)))
     if not values:
         return spark.createDataFrame([], "spec_id bigint, sql_value double, file_value double")
     found = planned.join(
