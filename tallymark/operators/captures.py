@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions import vocab
 from tallymark.functions.numbers import strip
-from tallymark.functions.text import api_column, point_label, undouble
+from tallymark.functions.text import api_column, let, point_label, undouble
 from tallymark.operators.ranking import blocked_prefix_sum
 from tallymark.operators.skew import spread_join
 
@@ -125,6 +125,61 @@ def api_rows(responses: DataFrame) -> DataFrame:
     ).select("visual_id", "row_no", api_column(F.col("__name")).alias("col_name"), "raw")
 
 
+def api_answers(responses: DataFrame) -> DataFrame:
+    """`(visual_id, state, message, rows)` of captured API answers, one row per answer.
+
+    `responses(visual_id, body)`. The first result's first table counts. States: `ok` with rows, `empty`
+    where a level is missing or has nothing, `error` for an error body (its message or code in `message`),
+    `unexpected` where a level is not the list or object it should be, `broken` for a text that is no
+    JSON, `no_body` for null. `rows` has the table's rows as variants, null unless `ok`.
+    """
+    levels = (("$.results", "array<variant>"), ("$.results[0]", "map<string,variant>"),
+              ("$.results[0].tables", "array<variant>"), ("$.results[0].tables[0]", "map<string,variant>"),
+              ("$.results[0].tables[0].rows", "array<variant>"))
+
+    def judged(json: Column) -> Column:
+        def at(path: str, kind: str) -> Column:
+            return F.try_variant_get(json, path, kind)
+
+        def stands(path: str) -> Column:  # false where nothing, or a JSON null, is
+            value = at(path, "variant")
+            return value.isNotNull() & ~F.is_variant_null(value)
+
+        error = stands("$.error")
+        state = F.when(F.col("body").isNull(), "no_body").when(json.isNull(), "broken").when(
+            at("$", "map<string,variant>").isNull(), "unexpected").when(error, "error")
+        for path, kind in levels:
+            state = state.when(~stands(path), "empty").when(at(path, kind).isNull(), "unexpected")
+        rows = at(*levels[-1])
+        message = F.coalesce(at("$.error.message", "string"), at("$.error.code", "string"), at("$.error", "string"))
+        return F.struct(
+            state.when(F.size(rows) == 0, "empty").otherwise("ok").alias("state"),
+            F.when(error, message).alias("message"), F.when(~error & (F.size(rows) > 0), rows).alias("rows"))
+
+    # A body is parsed once, however many levels are looked at.
+    told = responses.select("visual_id", let(F.try_parse_json("body"), judged).alias("told"))
+    return told.select("visual_id", "told.state", "told.message", "told.rows")
+
+
+def api_cells(answers: DataFrame) -> DataFrame:
+    """`(visual_id, row_no, col_name, kind, raw, number)` of the rows of `api_answers`.
+
+    `kind` is the JSON type (`null`, `boolean`, `number`, `text`, `list`, `object`); nested values are JSON
+    in `raw`, JSON nulls are null there. Rows are dealt anew before they are taken apart, so one body with
+    many rows is work for many tasks. Rows that are no objects have no cells.
+    """
+    rows = answers.select("visual_id", F.posexplode("rows").alias("row_no", "row")).hint("rebalance")
+    cells = rows.select("visual_id", "row_no", F.explode(
+        F.try_variant_get("row", "$", "map<string,variant>")).alias("name", "value"))
+    told = F.schema_of_variant("value")
+    kind = (F.when(told == "VOID", "null").when(told == "BOOLEAN", "boolean").when(told == "STRING", "text")
+            .when(told.startswith("ARRAY"), "list").when(told.startswith("OBJECT"), "object").otherwise("number"))
+    return cells.select(
+        "visual_id", "row_no", api_column(F.col("name")).alias("col_name"), kind.alias("kind"),
+        F.col("value").cast("string").alias("raw"),
+        F.when(kind == "number", F.try_variant_get("value", "$", "double")).alias("number"))
+
+
 def _numbered(values: DataFrame, by: list[str], text: str, total: str | None = None) -> DataFrame:
     """Distinct texts of a group, numbered from 0 in order of first sight (`seq`)."""
     first = values.groupBy(*by, text).agg(F.min("seq").alias("seq"))

@@ -12,15 +12,27 @@ QUOTED_NAMES = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8",
-             schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row. Give a schema to spare the pass that infers one."""
+             schema: T.StructType | str | None = None, multi_line: bool = True,
+             broken: str | None = None) -> DataFrame:
+    """CSV with a header row. Give a schema to spare the pass that infers one.
+
+    Quoted fields may hold line breaks, doubled quotes and commas. Such a file is read by one task, the
+    files of a folder by many; `multi_line=False` lets tasks share large files that are known to have a
+    record per line. `broken` names a column with the text of records that have another number of fields
+    than the header or values that do not fit the schema; what could be read of them stays in the row, and
+    good records have null there. Without it such records stay as they are read.
+    """
     reader = spark.read.option("header", True).option("encoding", encoding).option(
-        "escape", '"').option("multiLine", False)
+        "escape", '"').option("multiLine", multi_line)
     if schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(schema).option("enforceSchema", True)
-    return normalise_columns(reader.csv(path), space_to_underscore=True)
+        schema = reader.option("inferSchema", True).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if broken:
+        schema = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", broken)
+    df = reader.schema(schema).option("enforceSchema", True).csv(path)
+    return normalise_columns(df, space_to_underscore=True)
 
 
 def read_sheet(spark: SparkSession, root: str, sheet: str = "Sheet1",

@@ -183,3 +183,36 @@ SELECT * FROM al WHERE method = (SELECT min(method) FROM al m WHERE m.visual_id
 def chart_points(t):
     bars = t.sql(_BARS).where(F.col("visual_id") % 2 == 0)
     return captures.chart_points(t.sql(_LABELS), bars, t.sql(_TICKS), t.sql(_TEXTS))
+
+
+# Bodies by order, braces as < and >: empty at each level, broken, an error, an odd shape, two rows with typed and nested values.
+_BODIES = """
+SELECT o_orderkey AS visual_id, replace(replace(CASE o_orderkey % 10
+  WHEN 0 THEN '<"results":[]>' WHEN 1 THEN '<"results":[<"tables":[]>]>' WHEN 2 THEN '<"results":[<"tables":[<"rows":[]>]>]>'
+  WHEN 3 THEN 'not json' WHEN 4 THEN '<"error":<"code":"E' || CAST(o_custkey AS STRING) || '">>'
+  WHEN 5 THEN '<"results":<"tables":1>>' WHEN 6 THEN CAST(NULL AS STRING)
+  ELSE '<"results":[<"tables":[<"rows":[<"[Priority]":"' || o_orderpriority || '","Orders[Total]":' || CAST(o_custkey AS STRING)
+    || '.5,"Open ":' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'null' END || '>,<"t[Lines]":[1,<"a":' || CAST(o_custkey AS STRING)
+    || '>]>]>,<"rows":[<"x":"other table">]>]>]>' END, '<', chr(123)), '>', chr(125)) AS body, o_custkey, o_orderpriority, o_orderstatus
+FROM {orders}
+"""
+
+
+@query("api_states", ctes(b=_BODIES) + """
+SELECT visual_id, CASE WHEN visual_id % 10 < 3 THEN 'empty' WHEN visual_id % 10 = 3 THEN 'broken' WHEN visual_id % 10 = 4 THEN 'error'
+  WHEN visual_id % 10 = 5 THEN 'unexpected' WHEN visual_id % 10 = 6 THEN 'no_body' ELSE 'ok' END AS state,
+  CASE WHEN visual_id % 10 = 4 THEN 'E' || o_custkey END AS message, CASE WHEN visual_id % 10 > 6 THEN 2 END AS rows
+FROM b""")
+def api_states(t):
+    return captures.api_answers(t.sql(_BODIES)).withColumn("rows", F.size("rows"))
+
+
+@query("api_cells", ctes(b=_BODIES) + """
+, k AS (SELECT * FROM b WHERE visual_id % 10 > 6)
+SELECT visual_id, 0 AS row_no, 'priority' AS col_name, 'text' AS kind, o_orderpriority AS raw, CAST(NULL AS DOUBLE) AS number FROM k
+UNION ALL SELECT visual_id, 0, 'total', 'number', o_custkey || '.5', o_custkey + 0.5::DOUBLE FROM k
+UNION ALL SELECT visual_id, 0, 'open', CASE WHEN o_orderstatus = 'O' THEN 'boolean' ELSE 'null' END,
+  CASE WHEN o_orderstatus = 'O' THEN 'true' END, NULL FROM k
+UNION ALL SELECT visual_id, 1, 'lines', 'list', '[1,{"a":' || o_custkey || '}]', NULL FROM k""")
+def api_cells(t):
+    return captures.api_cells(captures.api_answers(t.sql(_BODIES)))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallymark.session import shared_path
-from tallymark.sources import readers, sinks
+from tallymark.sources import readers, runs, sinks
+from workloads.derive import ctes
 from workloads.registry import query
 
 
@@ -61,3 +62,52 @@ def result_sink(t):
         "event_id", "event_type", "ts", (F.col("value") > 10).alias("passed"))
     sinks.write_results(verdicts, path, F.date_trunc("hour", F.col("ts")), F.col("event_type"))
     return sinks.latest_results(t.spark, path).select("event_id", "suite", "passed")
+
+
+# Notes with line breaks, quotes and commas; every 50th record of the second file has a field too many.
+_NOTES = """
+SELECT c_custkey, c_name || chr(10) || 'said "' || c_mktsegment || '", twice' AS note, c_acctbal,
+  c_custkey % 2 AS part, c_custkey % 50 = 7 AS bad
+FROM {customer}
+"""
+
+
+@query("csv_records", ctes(n=_NOTES) + """
+SELECT c_custkey AS cust_key, note, CASE WHEN part = 0 THEN c_acctbal ELSE floor(c_acctbal) END AS balance,
+  part = 1 AND bad AS broken FROM n""")
+def csv_records(t):
+    rows = t.sql(_NOTES)
+    tidy, raw = shared_path(t.spark, "csv-tidy"), shared_path(t.spark, "csv-raw")
+    rows.where("part = 0").select(F.col("c_custkey").alias("Cust Key"), "note", F.col("c_acctbal").alias(" Balance")).write.option(
+        "header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(tidy)
+    quoted = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), quoted, F.floor("c_acctbal").cast("string"),
+                       F.when(F.col("bad"), F.lit("one more")))
+    header = t.spark.createDataFrame([(-1, "Cust Key,note, Balance")], "n bigint, value string")
+    # The header leads the only file.
+    rows.where("part = 1").select(F.col("c_custkey").alias("n"), line.alias("value")).unionByName(header).repartition(
+        1).sortWithinPartitions("n").select("value").write.text(raw)
+    schema = "`Cust Key` bigint, note string, ` Balance` double"
+    read = [readers.read_csv(t.spark, tidy, "ISO-8859-1", schema, broken="broken"),
+            readers.read_csv(t.spark, raw, schema=schema, broken="broken")]
+    return read[0].unionByName(read[1]).withColumn("broken", F.col("broken").isNotNull())
+
+
+@query("result_runs", """
+WITH e AS (SELECT event_id, event_type AS suite, CAST(ts AS DATE) AS day, value > 10 AS passed FROM events),
+  m AS (SELECT suite, max(day) AS day FROM e GROUP BY suite)
+SELECT event_id, e.suite, CAST(e.day AS VARCHAR) AS run_id, CASE WHEN e.suite = 'view' THEN NOT passed ELSE passed END AS passed
+FROM e JOIN m ON e.suite = m.suite AND e.day = m.day""")
+def result_runs(t):
+    root = shared_path(t.spark, "runs")
+    verdicts = t.events.select("event_id", "event_type", F.to_date("ts").alias("day"), (F.col("value") > 10).alias("passed"))
+    day, suite = F.col("day").cast("string"), F.col("event_type")
+
+    def run(df):
+        return df, root, day, suite, F.col("day").cast("timestamp")
+
+    runs.write_runs(*run(verdicts))
+    again = verdicts.where("event_type = 'view'").withColumn("passed", ~F.col("passed"))
+    runs.write_runs(*run(again))  # the runs of one suite are written again
+    runs.stage_runs(*run(verdicts.withColumn("passed", F.lit(None).cast("boolean"))))  # and never committed
+    return runs.latest_runs(t.spark, root).select("event_id", "suite", "run_id", "passed")
