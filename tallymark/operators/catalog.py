@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import (
     is_date_type, is_numeric_type, is_text_type, match_form,
 )
+from tallymark.operators.foreign_keys import check_keys
 
 GRAM = 4
 #: Bits below the level in a rank: 24 for the table, 32 for the column.
@@ -179,22 +178,13 @@ def flatten_keys(constraints: DataFrame) -> DataFrame:
 
 
 def check_foreign_keys(frames: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
-    """`check_foreign_key` for every row of `keys(from_table, from_col, to_table, to_col)`, as
-    `flatten_keys` gives them; keys of unknown tables are left out.
-
-    The key rows are a catalog: as many as there are declared column pairs.
-    """
-    columns = ["from_table", "from_col", "to_table", "to_col"]
-    known = keys.select(*columns).where(
-        F.col("from_table").isin(*frames) & F.col("to_table").isin(*frames)).distinct()
-    checked = [
-        check_foreign_key(frames[a], b, frames[c], d).select(
-            *[F.lit(v).alias(n) for n, v in zip(columns, (a, b, c, d), strict=True)], "*")
-        for a, b, c, d in sorted(tuple(r) for r in known.collect())
-    ]
-    if not checked:
-        raise ValueError("no foreign key between the given tables")
-    return reduce(DataFrame.unionByName, checked)
+    """Keys of one column each, `keys(from_table, from_col, to_table, to_col)`, as `flatten_keys` gives
+    them; see `check_keys`."""
+    single = keys.select("from_table", F.array("from_col").alias("from_cols"), "to_table",
+                         F.array("to_col").alias("to_cols"))
+    return check_keys(frames, single).select(
+        "from_table", F.get("from_cols", F.lit(0)).alias("from_col"), "to_table",
+        F.get("to_cols", F.lit(0)).alias("to_col"), "child_rows", "orphan_rows", "repeated_parent_keys", "holds")
 
 
 def check_foreign_key(child: DataFrame, from_col: str, parent: DataFrame, to_col: str) -> DataFrame:

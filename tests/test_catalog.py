@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import catalog
+from tallymark.operators import catalog, foreign_keys
 from tallymark.plans import suggest
 
 
@@ -98,3 +98,29 @@ def test_foreign_keys(spark):
 def test_catalog_of_schemas(spark):
     got = catalog.catalog_of({"a": spark.range(1), "b": spark.createDataFrame([("x",)], "s string")})
     assert {(r.table, r.column, r.type) for r in got.collect()} == {("a", "id", "BIGINT"), ("b", "s", "STRING")}
+
+
+def test_keys_of_several_columns(spark, tmp_path):
+    child = spark.createDataFrame(
+        [(1, "x", 1.0), (1, "x", 2.0), (2, "y", 3.0), (1, "y", 4.0), (None, "x", 5.0), (3, None, None)], "a int, b string, f double")
+    parent = spark.createDataFrame([(1, "x", 1), (2, "y", 2), (2, "y", 3), (None, "x", 4), (None, "x", 5)], "id bigint, name string, n int")
+    declared = spark.createDataFrame([
+        ("child", ["a", "b"], "parent", ["id", "name"]), ("child", ["a"], "parent", ["id"]), ("child", ["b"], "parent", ["name"]),
+        ("child", ["f"], "parent", ["n"]), ("child", ["b", "a"], "parent", ["name", "id"]), ("child", ["a", "b"], "parent", ["id", "name"]),
+        ("child", ["a"], "parent", ["id", "name"]), ("child", ["zz"], "parent", ["id"]), ("other", ["a"], "parent", ["id"])],
+        "from_table string, from_cols array<string>, to_table string, to_cols array<string>")
+    got = {",".join(r.from_cols): tuple(r)[4:] for r in foreign_keys.check_keys({"child": child, "parent": parent}, declared).collect()}
+    assert got == {"a,b": (6, 2, 1, 1, False), "b,a": (6, 2, 1, 1, False), "a": (6, 1, 1, 1, False), "b": (6, 1, 0, 2, False),
+                   "f": (6, 1, 0, 0, True)}
+
+
+def test_a_table_is_read_once_for_all_its_keys(spark, tmp_path, monkeypatch):
+    spark.range(50).selectExpr("id AS a", "id % 7 AS b", "id % 5 AS c").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    declared = spark.createDataFrame([("t", [c], "t", [d]) for c in "abc" for d in "abc"],
+                                     "from_table string, from_cols array<string>, to_table string, to_cols array<string>")
+    plans = []
+    monkeypatch.setattr(foreign_keys, "cut", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or d)
+    checked = foreign_keys.check_keys({"t": df}, declared)
+    assert [p.count("Relation [") for p in plans] == [1]
+    assert {(r.from_cols[0], r.to_cols[0]): r.orphan_rows for r in checked.collect()}["a", "b"] == 43

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import catalog
+from tallymark.operators import catalog, foreign_keys
 from tallymark.plans import inventory, suggest
 from workloads.derive import CATALOG, HEADERS, ctes
 from workloads.registry import query
@@ -193,3 +193,41 @@ def fk_columns(t):
         F.concat(F.lit("t"), "l_suppkey").alias("to_table"),
         F.array(F.concat(F.lit("x"), "l_linenumber"), F.concat(F.lit("y"), "l_partkey"))
         .alias("to_cols")))
+
+
+# Pairs of part and supplier that some lines break although each column alone holds; whole tables otherwise.
+_PAIRS = """
+SELECT CAST(l_partkey AS INT) AS part, l_suppkey AS supplier, min(l_orderkey) AS first_order FROM {lineitem}
+WHERE (l_partkey + l_suppkey) % 7 <> 0 OR l_linenumber > 2 GROUP BY l_partkey, l_suppkey
+"""
+_LINES = """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 4 AND l_partkey % 5 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey
+FROM {lineitem}
+"""
+
+
+@query("fk_pairs", ctes(p=_PAIRS, l=_LINES) + """
+SELECT 'l_partkey,l_suppkey' AS from_cols, 'part,supplier' AS to_cols, count(*) AS child_rows,
+  count(*) FILTER (l_suppkey IS NULL) AS unchecked_rows,
+  count(*) FILTER (l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p WHERE part = l_partkey AND supplier = l_suppkey)) AS orphan_rows,
+  0 AS repeated_parent_keys FROM l
+UNION ALL SELECT 'l_partkey', 'part', count(*), 0, count(*) FILTER (l_partkey NOT IN (SELECT part FROM p)),
+  (SELECT count(*) FROM (SELECT part FROM p GROUP BY part HAVING count(*) > 1)) FROM l
+UNION ALL SELECT 'l_suppkey', 's_suppkey', count(*), count(*) FILTER (l_suppkey IS NULL),
+  count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier)), 0 FROM l
+UNION ALL SELECT 'part,supplier', 'l_partkey,l_suppkey', (SELECT count(*) FROM p), 0,
+  (SELECT count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE part = l_partkey AND supplier = l_suppkey)),
+  (SELECT count(*) FROM (SELECT 1 FROM l WHERE l_suppkey IS NOT NULL GROUP BY l_partkey, l_suppkey HAVING count(*) > 1))
+UNION ALL SELECT 'first_order,supplier', 'l_orderkey,l_suppkey', (SELECT count(*) FROM p), 0,
+  (SELECT count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE first_order = l_orderkey AND supplier = l_suppkey)),
+  (SELECT count(*) FROM (SELECT 1 FROM l WHERE l_suppkey IS NOT NULL GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1))""")
+def fk_pairs(t):
+    frames = {"pairs": t.sql(_PAIRS), "lines": t.sql(_LINES), "supplier": t.supplier}
+    declared = t.spark.createDataFrame([
+        ("lines", ["l_partkey", "l_suppkey"], "pairs", ["part", "supplier"]), ("lines", ["l_partkey"], "pairs", ["part"]),
+        ("lines", ["l_suppkey"], "supplier", ["s_suppkey"]), ("pairs", ["part", "supplier"], "lines", ["l_partkey", "l_suppkey"]),
+        ("pairs", ["first_order", "supplier"], "lines", ["l_orderkey", "l_suppkey"]), ("lines", ["nope"], "pairs", ["part"])],
+        "from_table string, from_cols array<string>, to_table string, to_cols array<string>")
+    return foreign_keys.check_keys(frames, declared).select(
+        F.array_join("from_cols", ",").alias("from_cols"), F.array_join("to_cols", ",").alias("to_cols"),
+        "child_rows", "unchecked_rows", "orphan_rows", "repeated_parent_keys")
