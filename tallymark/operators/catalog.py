@@ -11,6 +11,8 @@ from tallymark.functions.text import (
 from tallymark.operators.foreign_keys import check_keys
 
 GRAM = 4
+#: Longest text that is looked up as it is.
+SHORT = 8
 #: Bits below the level in a rank: 24 for the table, 32 for the column.
 LEVEL_SHIFT = 56
 LEVEL_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "NONE": 0}
@@ -44,6 +46,31 @@ def _entries(kind: str, keys: Column) -> Column:
         F.lit(kind).alias("kind"), k.alias("key")))
 
 
+def _long_matches(names: DataFrame, forms: DataFrame) -> DataFrame:
+    """`(key_of, weight, id)` of long names inside long headers and of long headers inside long names.
+
+    `names(form, id)`, `forms(form, key_of)`. A text that lies inside another shares all of its runs, so one
+    run finds it: the one that fewest names have.
+    """
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.array_distinct(
+            _substrings(F.col("form"), F.array(F.lit(SHORT))))).alias("run"))
+
+    held, asked = runs(names, "id"), runs(forms, "key_of")
+    counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct("n", "run"))["run"].alias("run")
+    of_names = held.join(counts, "run").groupBy("id").agg(rarest)
+    # A header with a run that no name has lies inside none.
+    of_forms = asked.join(counts, "run", "left").groupBy("key_of").agg(
+        rarest, F.bool_and(F.col("n").isNotNull()).alias("possible")).where("possible").drop("possible")
+    inside = asked.join(of_names, "run").select("key_of", "id", F.lit(True).alias("name_inside"))
+    around = of_forms.join(held, "run").select("key_of", "id", F.lit(False).alias("name_inside"))
+    pairs = inside.unionByName(around).join(names.withColumnRenamed("form", "name"), "id").join(forms, "key_of")
+    holds = F.when(F.col("name_inside"), F.contains("form", "name")).otherwise(F.contains("name", "form"))
+    return pairs.where(holds).select(
+        "key_of", F.when(F.col("form") == F.col("name"), 3).otherwise(2).alias("weight"), "id")
+
+
 def best_columns(headers: DataFrame, catalog: DataFrame,
                  empty_header_matches: bool = False) -> DataFrame:
     """Best catalog column of each distinct header form, as `(form, best)`.
@@ -51,10 +78,11 @@ def best_columns(headers: DataFrame, catalog: DataFrame,
     HIGH: same letters and digits. MEDIUM: one contains the other. LOW: they share four
     characters in a row. Within a level the first table and column wins.
 
-    Nothing is compared pair by pair. The catalog becomes an index from text to its first
-    column: whole names, their substrings, and their runs of four characters. Distinct
-    headers look up their own substrings by equality, so a text that many columns share is
-    one entry, and a header that many visuals share is one lookup.
+    Nothing is compared pair by pair. The catalog becomes an index from text to its first column: whole
+    names and all texts of up to `SHORT` characters inside names, so its rows are linear in the length of a
+    name, and distinct headers look up their own texts of such lengths by equality. Where a name and a
+    header are both longer, the one that is to lie inside the other is found by its rarest run of `SHORT`
+    characters and then compared.
 
     `headers(header, ...)`, `catalog(table, table_no, column, column_no, type)`. Headers
     without letters or digits match nothing unless `empty_header_matches`.
@@ -65,35 +93,33 @@ def best_columns(headers: DataFrame, catalog: DataFrame,
     columns = numbered.groupBy(match_form(F.col("column")).alias("form")).agg(F.min("id").alias("id"))
     places = numbered.select("id", F.struct(
         "table_no", "column_no", "table", "column", "type").alias("place"))
-    named = columns.where(F.col("form") != "")
-    form = F.col("form")
-    gram = F.array(F.lit(GRAM))
-    index = (
-        named.select("id", F.inline(F.concat(
-            _entries("whole", F.array(form)),
-            _entries("inside", _substrings(form, F.sequence(F.lit(1), F.length(form)))),
-            _entries("gram", _substrings(form, gram)),
-        )))
-        .groupBy("kind", "key").agg(F.min("id").alias("id"))
-    )
-    # Lengths of catalog names: as many values as the longest name has characters.
-    lengths = named.agg(F.collect_set(F.length("form")).alias("lengths")).scalar()
+    form, long = F.col("form"), F.length("form") > SHORT
+    named = columns.where(form != "")
+    # Headers travel under a short key, as a long one has many lookups.
     forms = headers.select(match_form(F.col("header")).alias("form")).where(
-        form != "").distinct().withColumn("lengths", lengths)
-    lookups = forms.select("form", F.inline(F.concat(
-        _entries("whole", _substrings(form, F.col("lengths"))),
-        _entries("inside", F.array(form)),
-        _entries("gram", _substrings(form, gram)),
-    )))
-    weight = F.when((F.col("kind") == "whole") & (F.col("key") == form), 3).when(
-        F.col("kind") != "gram", 2).otherwise(1)
-    rank = F.shiftleft((LEVEL_WEIGHT["HIGH"] - weight).cast("bigint"), LEVEL_SHIFT) + F.col("id")
-    found = lookups.join(index, ["kind", "key"]).groupBy("form").agg(F.min(rank).alias("rank"))
+        form != "").distinct().withColumn("key_of", F.md5(form.cast("binary")))
+
+    def short(text: Column) -> Column:
+        return _substrings(text, F.sequence(F.lit(1), F.lit(SHORT)))
+
+    none = F.array().cast("array<string>")
+    gram = _substrings(form, F.array(F.lit(GRAM)))
+    index = named.select("id", F.inline(F.concat(
+        _entries("whole", F.when(~long, F.array(form)).otherwise(none)), _entries("inside", short(form)),
+        _entries("gram", gram)))).groupBy("kind", "key").agg(F.min("id").alias("id"))
+    lookups = forms.select("key_of", (~long).alias("is_short"), F.inline(F.concat(
+        _entries("whole", short(form)), _entries("inside", F.when(~long, F.array(form)).otherwise(none)),
+        _entries("gram", gram))))
+    equal = (F.col("kind") == "whole") & F.col("is_short") & (F.md5(F.col("key").cast("binary")) == F.col("key_of"))
+    weight = F.when(equal, 3).when(F.col("kind") != "gram", 2).otherwise(1)
+    found = lookups.join(index, ["kind", "key"]).select("key_of", weight.alias("weight"), "id").unionByName(
+        _long_matches(named.where(long), forms.where(long)))
+    rank = F.shiftleft((LEVEL_WEIGHT["HIGH"] - F.col("weight")).cast("bigint"), LEVEL_SHIFT) + F.col("id")
     level = F.shiftright("rank", LEVEL_SHIFT)
-    best = found.select(
-        "form", (level - LEVEL_WEIGHT["HIGH"]).cast("int").alias("weight"),
+    best = found.groupBy("key_of").agg(F.min(rank).alias("rank")).select(
+        "key_of", (level - LEVEL_WEIGHT["HIGH"]).cast("int").alias("weight"),
         (F.col("rank") - F.shiftleft(level, LEVEL_SHIFT)).alias("id"),
-    ).join(places, "id").select("form", F.struct("weight", "place").alias("best"))
+    ).join(places, "id").join(forms, "key_of").select("form", F.struct("weight", "place").alias("best"))
     if not empty_header_matches:
         return best
     first = columns.agg(F.min("id").alias("id")).join(places, "id")

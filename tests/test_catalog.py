@@ -124,3 +124,31 @@ def test_a_table_is_read_once_for_all_its_keys(spark, tmp_path, monkeypatch):
     checked = foreign_keys.check_keys({"t": df}, declared)
     assert [p.count("Relation [") for p in plans] == [1]
     assert {(r.from_cols[0], r.to_cols[0]): r.orphan_rows for r in checked.collect()}["a", "b"] == 43
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_long_names_and_headers(spark, seed):
+    """Names and headers beyond the texts that are looked up whole, few letters so that runs are shared."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    columns = [(f"t{i % 3}", word(rng.randrange(5, 26))) for i in range(120)]
+    columns = sorted(set(columns) | {("t9", "x" + word(40)), ("t9", "same_name_of_a_column"), ("t8", "Same Name of a Column")})
+    parts = [c for _, c in columns]
+    headers = {rng.choice(parts)[rng.randrange(3):][:rng.randrange(4, 24)] for _ in range(80)}
+    headers |= {word(3) + rng.choice(parts) + word(4) for _ in range(40)} | {word(30) for _ in range(20)} | {"Same-name of a column", "aaaaaaaaab", "b" * 9}
+    df = spark.createDataFrame([(h,) for h in sorted(headers)], "header string")
+    got = {r.header: (r.db_table, r.db_col, r.confidence) for r in catalog.match_columns(df, frame(spark, columns)).collect()}
+    assert got == {h: brute(h, columns) for h in headers}
+
+
+def test_a_header_of_ten_thousand_characters(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghij0123456789") for _ in range(10_000))
+    columns = [("t", f"nothing {i}") for i in range(50)] + [("t", text[7_000:7_030]), ("t", text[100:104])]
+    df = spark.createDataFrame([(text,), (text[:5_000] + "!" + text[5_000:],), (text[2_000:],)], "header string")
+    got = {r.header: (r.db_col, r.confidence) for r in catalog.match_columns(df, frame(spark, columns)).collect()}
+    assert got == {h: (text[7_000:7_030], "MEDIUM") for h, in df.collect()}
+    long_name = [("t", text), ("t", "other")]
+    inside = spark.createDataFrame([(text[50:9_000],), (text,)], "header string")
+    got = {len(r.header): (r.db_col == text, r.confidence) for r in catalog.match_columns(inside, frame(spark, long_name)).collect()}
+    assert got == {8_950: (True, "MEDIUM"), 10_000: (True, "HIGH")}
