@@ -10,9 +10,13 @@ from tallymark.functions.classify import CHART_TYPES, effective_type
 from tallymark.functions.numbers import strip
 from tallymark.functions.text import first_line, is_noisy, let, lines_of
 from tallymark.operators.ranking import blocked_prefix_sum
+from tallymark.session import cut
 
 HEADING_GAP = 80
 HEADING_OVERLAP = 0.30
+#: Width of the cells in which boxes and charts meet, and boxes that a chart looks at in one step.
+CELL = 64
+LOOK = 256
 
 
 def card_pairs(lines: Column) -> Column:
@@ -75,42 +79,106 @@ def expand_visuals(raw: DataFrame, indexed: bool = False) -> DataFrame:
         "noisy", is_noisy(F.col("title"))).drop("label")
 
 
+def _nearest_above(max_gap: float, least_overlap: float):
+    """Arrow pass over boxes and frames of a cell in the order of height: each frame with its box.
+
+    Boxes are remembered while they are at most `max_gap` above. A frame looks at them from the nearest one
+    on, `LOOK` at a time, and stops at the first that fits, so pairs are not made.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        cell, x, w, at, boxes = None, [], [], [], []
+        start = 0
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in range(9)])
+            found = []
+            for page, strip_no, cell_no, y, left, width, is_box, ordinal, heading in rows:
+                here = (page, strip_no, cell_no)
+                if here != cell:
+                    cell, start, n = here, 0, 0
+                    x, w, at, boxes = np.empty(64), np.empty(64), np.empty(64), []
+                if is_box:
+                    if n == len(x):  # forget boxes that are too far up, or make room
+                        if start > n // 2:
+                            for a in (x, w, at):
+                                a[:n - start] = a[start:n]
+                            boxes = boxes[start:]
+                            n, start = n - start, 0
+                        else:
+                            x, w, at = (np.concatenate([a, np.empty(len(a))]) for a in (x, w, at))
+                    x[n], w[n], at[n] = left, width, y
+                    boxes.append((ordinal, heading))
+                    n += 1
+                    continue
+                start += int(np.searchsorted(at[start:n], y - max_gap - 1.0))
+                end = n
+                while end > start:
+                    low = max(start, end - LOOK)
+                    narrower = np.minimum(w[low:end], width)
+                    shared = np.maximum(0.0, np.minimum(x[low:end] + w[low:end], left + width) - np.maximum(x[low:end], left))
+                    fits = (y - at[low:end] <= max_gap) & (
+                        (narrower <= 0) | (shared / np.where(narrower > 0, narrower, 1.0) >= least_overlap))
+                    if fits.any():
+                        k = low + int(np.flatnonzero(fits)[-1])
+                        found.append((page, left, y, width, y - float(at[k]), *boxes[k]))
+                        break
+                    end = low
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*found), (
+                        pa.string(), *[pa.float64()] * 4, pa.int64(), pa.string()))],
+                    names=["page", "x", "y", "width", "gap", "box_ordinal", "heading"])
+
+    return run
+
+
 def headings(visuals: DataFrame) -> DataFrame:
     """Heading text box of each chart whose own title is noise.
 
     A heading ends at most 80 px above the chart and shares at least 30 % of the
     narrower width; the smallest gap wins, then the first box. Equal boxes and equal
-    chart frames are merged before they meet, and they meet on page and 80 px strip, so
-    the join grows with distinct positions in a strip and not with the rows of a page.
-    Gives `(page, ordinal, heading)`.
+    chart frames are merged before they meet. They are dealt by page, strip of 80 px and cells of `CELL`
+    px across, so that a full strip is work for many tasks, and a task sweeps a cell from top to bottom
+    (`_nearest_above`). Boxes and frames without a width fit whatever stands below or above them and meet
+    in a cell of their own. Gives `(page, ordinal, heading)`.
     """
     box_title = F.split(F.trim(F.coalesce(
         F.nullif("title", F.lit("")), F.col("full_text")), F.lit(" \n\t\r")), "\n")[0]
+    columns = ["page", "strip", "at", "x", "width", "is_box", "ordinal", "heading"]
     boxes = (
         visuals.where(F.col("type") == vocab.HEADING_TYPE)
-        .select("page", "ordinal", F.col("x").alias("bx"), F.col("width").alias("bw"),
-                (F.col("y") + F.col("height")).alias("bottom"), box_title.alias("heading"))
+        .select("page", "ordinal", "x", "width", (F.col("y") + F.col("height")).alias("at"),
+                box_title.alias("heading"))
         .where(F.coalesce("heading", F.lit("")) != "")
-        .groupBy("page", "bx", "bw", "bottom")
-        .agg(F.min_by("heading", "ordinal").alias("heading"),
-             F.min("ordinal").alias("box_ordinal"))
-        .withColumn("strip", F.floor(F.col("bottom") / HEADING_GAP))
-    )
+        .groupBy("page", "x", "width", "at")
+        .agg(F.min_by("heading", "ordinal").alias("heading"), F.min("ordinal").alias("ordinal"))
+        .withColumn("strip", F.floor(F.col("at") / HEADING_GAP)).withColumn("is_box", F.lit(True))
+        # A box may stand above charts of its own strip and of the next one.
+        .withColumn("strip", F.explode(F.array("strip", F.col("strip") + 1))).select(*columns))
     charts = visuals.where(F.col("type").isin(CHART_TYPES) & F.col("noisy"))
-    frames = charts.select("page", "x", "y", "width").distinct()
-    strip = F.floor(F.col("y") / HEADING_GAP)
-    near = frames.withColumn("strip", F.explode(F.array(strip - 1, strip)))
-    gap = F.col("y") - F.col("bottom")
-    overlap = F.greatest(F.lit(0.0), F.least(F.col("x") + F.col("width"), F.col("bx") + F.col("bw"))
-                         - F.greatest("x", "bx"))
-    narrower = F.least("width", "bw")
-    best = (
-        near.join(boxes, ["page", "strip"])
-        .where(gap.between(0, HEADING_GAP)
-               & F.when(narrower > 0, overlap / narrower >= HEADING_OVERLAP).otherwise(True))
-        .groupBy("page", "x", "y", "width")
-        .agg(F.min_by("heading", F.struct(gap, F.col("box_ordinal"))).alias("heading"))
-    )
+    nothing = {"is_box": F.lit(False), "ordinal": F.lit(None).cast("bigint"), "heading": F.lit(None).cast("string")}
+    frames = charts.select("page", "x", F.col("y").alias("at"), "width").distinct().withColumns(
+        {"strip": F.floor(F.col("at") / HEADING_GAP), **nothing}).select(*columns)
+    # Positions, not rows: few, and read again for those without a width.
+    met = cut(boxes.unionByName(frames))
+    flat = F.col("width") <= 0
+    strips = ["page", "strip"]
+    first, last = F.floor(F.col("x") / CELL), F.floor((F.col("x") + F.col("width")) / CELL)
+    across = met.where(~flat).withColumn("cell", F.explode(F.sequence(first, last)))
+    partners = met.where(flat).select(*strips, (~F.col("is_box")).alias("is_box")).distinct()
+    anywhere = met.where(flat).unionByName(
+        met.where(~flat).join(partners, [*strips, "is_box"], "left_semi").select(*columns))
+    placed = across.unionByName(anywhere.withColumn("cell", F.lit(None).cast("bigint"))).repartition(*strips, "cell")
+    ordered = placed.sortWithinPartitions(
+        "page", "strip", "cell", "at", F.col("is_box").desc(), F.col("ordinal").desc())
+    best = ordered.select("page", "strip", "cell", *[F.col(c).cast("double").alias(c) for c in ("at", "x", "width")],
+                          "is_box", F.col("ordinal").cast("bigint").alias("ordinal"), "heading").mapInArrow(
+        _nearest_above(float(HEADING_GAP), HEADING_OVERLAP),
+        "page string, x double, y double, width double, gap double, box_ordinal bigint, heading string"
+    ).groupBy("page", "x", "y", "width").agg(
+        F.min_by("heading", F.struct("gap", "box_ordinal")).alias("heading"))
     return charts.join(best, ["page", "x", "y", "width"]).select("page", "ordinal", "heading")
 
 

@@ -116,3 +116,27 @@ def test_bars_are_numbered_before_they_take_labels(spark):
     ticks = spark.createDataFrame([(1, 5, "A"), (1, 6, "B")], "visual_id int, seq bigint, text string")
     got = {(r.category, r.value) for r in captures.bars_on_axis(bars, ticks).collect()}
     assert got == {("A", "7"), ("A", "8"), ("B", "9")}
+
+
+def test_a_full_strip(spark):
+    """100 000 boxes and 20 000 charts within 80 px of height: pairs of them would be 2 * 10^9."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, m = 100_000, 20_000
+    bx, bw, bottom = rng.uniform(0, 9000, n), rng.uniform(5, 300, n), rng.uniform(800, 840, n)
+    bottom[:n // 2] = 801.0  # a row of headings far above, and others that are too far to the side
+    x, w, y = rng.uniform(0, 9000, m), rng.uniform(5, 300, m), rng.uniform(841, 879, m)
+    x[:200] = 20_000
+    rows = [("p", i, vocab.HEADING_TYPE, f"b{i}", float(a), float(c) - 10, float(b), 10.0, f"b{i}", False)
+            for i, (a, b, c) in enumerate(zip(bx, bw, bottom))]
+    rows += [("p", n + i, "Line chart", "12%", float(a), float(c), float(b), 30.0, "12%", True) for i, (a, b, c) in enumerate(zip(x, w, y))]
+    df = spark.createDataFrame(rows, "page string, ordinal bigint, type string, full_text string, x double, y double, "
+                                     "width double, height double, title string, noisy boolean").repartition(8)
+    got = {r.ordinal - n: r.heading for r in visuals.headings(df).collect()}
+    bottom = (bottom - 10) + 10
+    for i in [*range(0, 400, 40), *range(200, m, 300)]:
+        shared = np.minimum(bx + bw, x[i] + w[i]) - np.maximum(bx, x[i])
+        fits = (y[i] - bottom >= 0) & (y[i] - bottom <= 80) & (np.maximum(shared, 0) / np.minimum(bw, w[i]) >= 0.3)
+        want = f"b{np.flatnonzero(fits)[np.argmin((y[i] - bottom)[fits])]}" if fits.any() else None
+        assert got.get(i) == want
