@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import vocab
 from tallymark.functions.numbers import strip
 from tallymark.functions.text import api_column, let, point_label, undouble
-from tallymark.operators.ranking import blocked_prefix_sum
+from tallymark.operators.ranking import blocked_prefix_sum, running_sums
 from tallymark.operators.skew import spread_join
+from tallymark.session import cut
+
+#: Of the hashes of runs of rows: a prime, and a base for each.
+MODULUS = (1 << 31) - 1
+BASES = (16807, 48271, 69621)
 
 API_BODY = T.StructType([
     T.StructField("results", T.ArrayType(T.StructType([
@@ -80,11 +87,59 @@ def header_lists(cells: DataFrame) -> DataFrame:
 def drop_repeats(rows: DataFrame, visual: list[str], cells: list[str], seq: str) -> DataFrame:
     """Rows seen again on a later scroll page are dropped, the first one stays.
 
-    Genuine duplicates look the same and go as well.
+    Genuine duplicates look the same and go as well; `stitch_pages` keeps them.
     """
     return rows.groupBy(*visual, *cells).agg(F.min(seq).alias(seq))
 
 
+def _power(base: int, exponent: Column) -> Column:
+    """`base` to a whole-number power modulo `MODULUS`, by its squares."""
+    squares = F.array(*[F.struct(
+        F.lit(1 << b).cast("bigint").alias("bit"), F.lit(pow(base, 1 << b, MODULUS)).cast("bigint").alias("factor"))
+        for b in range(40)])
+    return F.aggregate(squares, F.lit(1).cast("bigint"), lambda acc, s: F.when(
+        exponent.bitwiseAND(s["bit"]) != 0, acc * s["factor"] % MODULUS).otherwise(acc))
+
+
+def stitch_pages(rows: DataFrame, visual: list[str], page: str, row: str, cells: list[str]) -> DataFrame:
+    """Rows of overlapping scroll pages as one list: what a page repeats of the one before goes.
+
+    The overlap of a page with the one before it is the longest run of rows that ends that page and begins
+    this one. Rows are compared on `cells`, nulls included; repeats within a page, and repeats that are not
+    at a seam, stay. `page` orders the pages of a visual and `row` the rows of a page; both may have gaps.
+    `drop_repeats` is the rule without pages.
+
+    Every end and every beginning of a page has a polynomial hash, from running sums over its rows, so a
+    seam is one equality per length, and neither a page nor a visual has to be in one task. Hashes are three
+    of 31 bits; two different runs of a thousand rows agree by chance once in 10^19.
+    """
+    lanes = {f"__h{i}": F.pmod(F.xxhash64(F.lit(i), *[
+        x for c in cells for x in (F.col(c).isNull(), F.col(c))]), F.lit(MODULUS)) for i in range(len(BASES))}
+    where = [*visual, page]
+    numbered = blocked_prefix_sum(rows, where, row, "__place", total="__size")
+    place = F.col("__place")
+    terms = numbered.select(*where, "__place", "__size", *[h.alias(c) for c, h in lanes.items()]).withColumns(
+        {f"__power{i}": _power(b, place) for i, b in enumerate(BASES)}).withColumns(
+        {f"__term{i}": F.col(f"__h{i}") * F.col(f"__power{i}") % MODULUS for i in range(len(BASES))})
+    every = range(len(BASES))
+    hashed = cut(running_sums(
+        terms.drop(*lanes), where, "__place", {f"__term{i}": f"__upto{i}" for i in every},
+        {f"__term{i}": f"__all{i}" for i in every}))
+    pages = hashed.select(*where).distinct().withColumn(
+        "__before", F.lag(page).over(Window.partitionBy(*visual).orderBy(page))).where(F.col("__before").isNotNull())
+    ends = hashed.select(*visual, F.col(page).alias("__before"), (F.col("__size") - place).alias("__length"), *[
+        F.pmod(F.col(f"__all{i}") - F.col(f"__upto{i}") + F.col(f"__term{i}"), F.lit(MODULUS)).alias(f"__end{i}")
+        for i in every], *[f"__power{i}" for i in every])
+    starts = spread_join(hashed, pages, where, ["__place"]).select(
+        *where, "__before", (place + 1).alias("__length"), *[(F.col(f"__upto{i}") % MODULUS).alias(f"__start{i}") for i in every])
+    alike = reduce(lambda a, b: a & b, [
+        F.col(f"__end{i}") == F.col(f"__start{i}") * F.col(f"__power{i}") % MODULUS for i in every])
+    overlap = starts.join(ends, [*visual, "__before", "__length"]).where(alike).groupBy(*where).agg(
+        F.max("__length").alias("__overlap"))
+    return spread_join(numbered, overlap, where, ["__place"], "left").where(
+        place >= F.coalesce("__overlap", F.lit(0))).select(*rows.columns)
+
+
 def preview(cells: DataFrame, max_columns: int = 6, max_values: int = 4) -> DataFrame:
     """Row count and first row of each visual, from one pass over the cells.
 

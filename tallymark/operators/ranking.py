@@ -66,6 +66,23 @@ def blocked_prefix_sum(
     )
 
 
+def running_sums(df: DataFrame, by: list[str], ordinal: str, sums: dict[str, str],
+                 totals: dict[str, str] = {}, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inclusive running sums of several whole-number columns, as `blocked_prefix_sum` has of one.
+
+    `sums` maps columns to their running sums, `totals` to their sums over the whole group.
+    """
+    blocked = df.withColumns({"__key": F.struct(*by), "__block": F.floor(F.col(ordinal) / block_rows)})
+    block = ["__key", "__block"]
+    sizes = blocked.groupBy(*block).agg(*[F.sum(c).alias(c) for c in {**sums, **totals}])
+    carried = carry_blocks(sizes, sums={c: f"__before_{c}" for c in sums}, totals=totals)
+    inside = Window.partitionBy(*block).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    local = blocked.withColumns({f"__in_{c}": F.sum(c).over(inside) for c in sums}).join(carried, block)
+    return local.withColumns({
+        out: F.col(f"__before_{c}") + F.col(f"__in_{c}") for c, out in sums.items()
+    }).drop(*block, *[f"__{k}_{c}" for c in sums for k in ("before", "in")])
+
+
 def carry_blocks(blocks: DataFrame, sums: dict[str, str], maxima: dict[str, str] = {},
                  totals: dict[str, str] = {}, span: int = BLOCK_SPAN) -> DataFrame:
     """What comes before each block of a key: sums (0 before the first) and maxima (null there).

@@ -216,3 +216,27 @@ UNION ALL SELECT visual_id, 0, 'open', CASE WHEN o_orderstatus = 'O' THEN 'boole
 UNION ALL SELECT visual_id, 1, 'lines', 'list', '[1,{"a":' || o_custkey || '}]', NULL FROM k""")
 def api_cells(t):
     return captures.api_cells(captures.api_answers(t.sql(_BODIES)))
+
+
+# A list per customer, seen through pages of four rows that move on by two or three: status repeats a lot.
+_SCROLL_PAGES = """
+SELECT visual_id, 10 * page AS page, 3 * place - 7 AS row_no, flag, qty FROM (
+  SELECT o_custkey AS visual_id, CAST(floor((n + 2) / (2 + o_custkey % 2)) AS BIGINT) AS page, n AS place, flag, qty
+  FROM (SELECT o_custkey, o_orderstatus AS flag, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 END AS qty,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) a
+  UNION ALL SELECT o_custkey, CAST(floor(n / (2 + o_custkey % 2)) AS BIGINT), n, flag, qty
+  FROM (SELECT o_custkey, o_orderstatus AS flag, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 END AS qty,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) b
+  WHERE floor(n / (2 + o_custkey % 2)) <> floor((n + 2) / (2 + o_custkey % 2))) u
+"""
+
+
+@query("stitch_scroll", ctes(s=_SCROLL_PAGES) + """
+, p AS (SELECT visual_id, page, list({'f': flag, 'q': qty} ORDER BY row_no) AS l, list(row_no ORDER BY row_no) AS n
+        FROM s GROUP BY ALL),
+  q AS (SELECT *, lag(l) OVER (PARTITION BY visual_id ORDER BY page) AS b FROM p),
+  k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(l), len(b)) + 1),
+          lambda i: list_slice(b, len(b) - i + 1, len(b)) IS NOT DISTINCT FROM list_slice(l, 1, i))), 0) AS o FROM q)
+SELECT visual_id, page, unnest(n[o + 1:]) AS row_no, unnest(l[o + 1:]).f AS flag, unnest(l[o + 1:]).q AS qty FROM k""")
+def stitch_scroll(t):
+    return captures.stitch_pages(t.sql(_SCROLL_PAGES), ["visual_id"], "page", "row_no", ["flag", "qty"])
