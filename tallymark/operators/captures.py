@@ -311,25 +311,30 @@ def chart_points(labels: DataFrame, bars: DataFrame, ticks: DataFrame,
     """Points of every chart from the first of the three ways that finds any.
 
     Whether a way finds a point shows in its raw input, so the way is chosen per visual
-    before any pairing, and each way only works on its own visuals.
+    before any pairing, and each way only works on its own visuals. The inputs are read once for the
+    choice and once more to write the rows of the chosen ways, which are all that is worked on.
     """
-    no = F.lit(False)
+    def tagged(df: DataFrame, kind: str, text: str, shows: Column) -> DataFrame:
+        return df.select("visual_id", "seq", F.col(text).cast("string").alias("text"), F.lit(kind).alias("kind"),
+                         F.coalesce(shows, F.lit(False)).alias("shows"))
 
-    def shows(df: DataFrame, point: Column = no, tick: Column = no, bar: Column = no) -> DataFrame:
-        return df.select("visual_id", point.alias("point"), tick.alias("tick"), bar.alias("bar"))
+    inputs = (
+        tagged(labels, "label", "label", point_label(F.col("label")).isNotNull())
+        .unionByName(tagged(ticks, "tick", "text", _axis_category(F.col("text")).isNotNull()))
+        .unionByName(tagged(bars, "bar", "value", F.trim("value") != ""))
+        .unionByName(tagged(texts, "text", "text", F.lit(False))))
 
-    evidence = (
-        shows(labels, point=point_label(F.col("label")).isNotNull())
-        .unionByName(shows(ticks, tick=_axis_category(F.col("text")).isNotNull()))
-        .unionByName(shows(bars, bar=F.trim("value") != ""))
-        .unionByName(shows(texts))
-    )
-    method = F.when(F.bool_or("point"), 1).when(F.bool_or("tick") & F.bool_or("bar"), 2).otherwise(3)
-    choice = evidence.groupBy("visual_id").agg(method.alias("method"))
+    def seen(kind: str) -> Column:
+        return F.bool_or(F.col("shows") & (F.col("kind") == kind))
+
+    method = F.when(seen("label"), 1).when(seen("tick") & seen("bar"), 2).otherwise(3)
+    choice = inputs.groupBy("visual_id").agg(method.alias("method"))
+    way = F.when(F.col("kind") == "label", 1).when(F.col("kind") == "text", 3).otherwise(2)
+    used = cut(spread_join(inputs.withColumn("method", way).drop("shows"), choice,
+                           ["visual_id", "method"], ["seq"], "left_semi"))
 
-    def of(df: DataFrame, way: int) -> DataFrame:
-        return spread_join(
-            df, choice.where(F.col("method") == way), ["visual_id"], ["seq"], "left_semi")
+    def of(kind: str, text: str) -> DataFrame:
+        return used.where(F.col("kind") == kind).select("visual_id", "seq", F.col("text").alias(text))
 
     def shaped(df: DataFrame, way: int) -> DataFrame:
         measure = F.col("measure") if "measure" in df.columns else F.lit(None).cast("string")
@@ -337,7 +342,7 @@ def chart_points(labels: DataFrame, bars: DataFrame, ticks: DataFrame,
                          measure.alias("measure"), "value")
 
     return (
-        shaped(labelled_points(of(labels, 1)), 1)
-        .unionByName(shaped(bars_on_axis(of(bars, 2), of(ticks, 2)), 2))
-        .unionByName(shaped(text_pairs(of(texts, 3)), 3))
+        shaped(labelled_points(of("label", "label")), 1)
+        .unionByName(shaped(bars_on_axis(of("bar", "value"), of("tick", "text")), 2))
+        .unionByName(shaped(text_pairs(of("text", "text")), 3))
     )
