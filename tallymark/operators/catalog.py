@@ -12,7 +12,7 @@ from tallymark.operators.foreign_keys import check_keys
 
 GRAM = 4
 #: Longest text that is looked up as it is.
-SHORT = 8
+SHORT = 16
 #: Bits below the level in a rank: 24 for the table, 32 for the column.
 LEVEL_SHIFT = 56
 LEVEL_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "NONE": 0}
