@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import by_value
 from tallymark.session import cut
 
+#: JSON that is nested deeper is no call or result; it stays text.
+MOST_DEPTH = 200
+LONE_HALF = re.compile("[\ud800-\udfff]")
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 #: Argument schemas by tool: types, required names, allowed values, bounds.
 SCHEMAS = {
@@ -52,37 +55,78 @@ def canonical(value) -> str:
             return int(v)
         return v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(text: str) -> str:
+    """Halves of surrogate pairs that stand alone as JSON escapes, since UTF-8 has no place for them."""
+    return LONE_HALF.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
+
+
+def depth_of(value) -> int:
+    """How deep lists and objects are nested."""
+    deepest, pending = 0, [(value, 1)]
+    while pending:
+        v, depth = pending.pop()
+        if isinstance(v, (dict, list)):
+            deepest = max(deepest, depth)
+            pending += [(x, depth + 1) for x in (v.values() if isinstance(v, dict) else v)]
+    return deepest
 
 
 def strict_json(text: str):
-    """The value of a JSON text; names that JSON does not know, like NaN, are errors."""
+    """The value of a JSON text. Names that JSON does not know, like NaN, numbers beyond the range of a
+    float and values nested deeper than `MOST_DEPTH` are errors."""
     def refuse(name):
         raise ValueError(name)
 
-    return json.loads(text, parse_constant=refuse)
+    def finite(digits):
+        number = float(digits)
+        return refuse(digits) if number in (float("inf"), float("-inf")) else number
+
+    value = json.loads(text, parse_constant=refuse, parse_float=finite)
+    return refuse("too deep") if depth_of(value) > MOST_DEPTH else value
+
+
+def value_errors(path: str, value, rule: dict) -> list[str]:
+    """What is wrong with a value: its type, allowed values, bounds, pattern, members or items.
+
+    A cited result stands for a value of any type; `5.0` is an integer, as it is written as `5`.
+    """
+    if isinstance(value, dict) and set(value) == {"$ref"}:
+        return []
+    kind, is_flag = rule.get("type"), isinstance(value, bool)
+    whole = kind == "integer" and isinstance(value, float) and value.is_integer()
+    if kind and not whole and (not isinstance(value, TYPES[kind]) or is_flag and kind != "boolean"):
+        return [f"{path}: not {kind}"]
+    if "enum" in rule and value not in rule["enum"]:
+        return [f"{path}: not allowed"]
+    errors = []
+    if isinstance(value, (int, float)) and not is_flag:
+        errors += [f"{path}: too small"] * (value < rule.get("minimum", value))
+        errors += [f"{path}: too large"] * (value > rule.get("maximum", value))
+    if isinstance(value, str) and not re.search(rule.get("pattern", ""), value):
+        errors.append(f"{path}: no match")
+    if isinstance(value, dict) and "properties" in rule:
+        errors += member_errors(f"{path}.", value, rule)
+    if isinstance(value, list) and "items" in rule:
+        errors += [e for i, v in enumerate(value) for e in value_errors(f"{path}[{i}]", v, rule["items"])]
+    return errors
+
+
+def member_errors(prefix: str, value: dict, schema: dict) -> list[str]:
+    known = schema.get("properties", {})
+    errors = [f"{prefix}{name}: missing" for name in schema.get("required", []) if name not in value]
+    for name, v in value.items():
+        errors += value_errors(prefix + name, v, known[name]) if name in known else [f"{prefix}{name}: unknown"]
+    return errors
 
 
 def argument_errors(arguments, schema: dict) -> list[str]:
-    """What is wrong with the arguments, sorted; a cited result stands for a value of any type."""
+    """What is wrong with the arguments, sorted; members of members are named by their path."""
     if not isinstance(arguments, dict):
         return ["arguments: not an object"]
-    errors = [f"{name}: missing" for name in schema.get("required", []) if name not in arguments]
-    for name, value in arguments.items():
-        rule = schema.get("properties", {}).get(name)
-        if rule is None:
-            errors.append(f"{name}: unknown")
-            continue
-        if isinstance(value, dict) and set(value) == {"$ref"}:
-            continue
-        wanted = TYPES[rule["type"]]
-        if not isinstance(value, wanted) or (isinstance(value, bool) and rule["type"] != "boolean"):
-            errors.append(f"{name}: not {rule['type']}")
-        elif "enum" in rule and value not in rule["enum"]:
-            errors.append(f"{name}: not allowed")
-        elif "minimum" in rule and value < rule["minimum"]:
-            errors.append(f"{name}: too small")
-    return sorted(errors)
+    return sorted(escaped(e) for e in member_errors("", arguments, schema))
 
 
 def references(value) -> list[str]:
@@ -92,7 +136,7 @@ def references(value) -> list[str]:
         v = pending.pop()
         if isinstance(v, dict):
             if set(v) == {"$ref"} and isinstance(v["$ref"], str):
-                found.add(v["$ref"])
+                found.add(escaped(v["$ref"]))
             pending += v.values()
         elif isinstance(v, list):
             pending += v
@@ -112,7 +156,7 @@ def items_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
             if isinstance(body, dict) and isinstance(body.get("tool_call_id"), str):
                 made = canonical({"content": body.get("content"), "role": "tool",
                                   "tool_call_id": body["tool_call_id"]})
-                return [(0, "result", body["tool_call_id"], None, [], [], made)]
+                return [(0, "result", escaped(body["tool_call_id"]), None, [], [], made)]
         except (ValueError, RecursionError):
             pass
 
@@ -126,7 +170,7 @@ def items_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
         name, arguments = call.get("name"), call.get("arguments", {})
         known = isinstance(name, str) and name in schemas
         errors = argument_errors(arguments, schemas[name]) if known else ["tool: unknown"]
-        items.append((len(items) + 1, "call", call["id"], name if isinstance(name, str) else None,
+        items.append((len(items) + 1, "call", escaped(call["id"]), escaped(name) if isinstance(name, str) else None,
                       references(arguments), errors,
                       canonical({"arguments": arguments, "id": call["id"], "name": name})))
         return ""

@@ -46,14 +46,19 @@ class Plan:
 
 
 def plan_windows(items: list[tuple[int, str | None]], window: int = WINDOW) -> Plan:
-    """Windows of `window` words of each item, or the whole item where it is shorter."""
+    """Windows of `window` words of each item, or the whole item where it is shorter.
+
+    Windows of items without an id have no owner and are searched like all others.
+    """
     terms: dict[bytes, int] = {}
     found: dict[int, dict[tuple[int, ...], set[int]]] = {}
     for item_id, text in items:
         words = [terms.setdefault(w, len(terms)) for w in plain_words(text)]
         size = min(window, len(words))
         for at in range(len(words) - size + 1 if size else 0):
-            found.setdefault(size, {}).setdefault(tuple(words[at:at + size]), set()).add(item_id)
+            owners = found.setdefault(size, {}).setdefault(tuple(words[at:at + size]), set())
+            if item_id is not None:
+                owners.add(item_id)
     return Plan(terms, {k: np.array(list(w), dtype=np.int64) for k, w in found.items()},
                 {k: [sorted(o) for o in w.values()] for k, w in found.items()})
 
@@ -229,12 +234,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ids count as one item. Null and empty texts have no words and no matches.
     """
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"),
-                             F.col(item_text).alias("text")).where("item_id IS NOT NULL")
+                             F.col(item_text).alias("text"))
     bytes_of = F.coalesce(F.octet_length("text"), F.lit(0))
     words = (items.agg(F.sum(bytes_of)).first()[0] or 0) / 5
     rounds = int(words // ROUND_WORDS) + 1
     found = [
-        _round(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r),
+        _round(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r),
                window, slack, doc_id, text)
         for r in range(rounds)]
     result = found[0]
@@ -290,7 +295,7 @@ WITH d AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), sized AS (
   SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0
 ), windows AS (
@@ -307,7 +312,7 @@ WITH d AS (
   FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r
 ), owners AS (
   SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
-  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY r
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM hits WHERE item_id IS NOT NULL) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import by_value
@@ -14,16 +14,23 @@ from tallymark.llm.common import by_value
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
                     where: Column | None = None, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most `bound` labelled ids, the same ones in every run.
+    """(doc_id, text, label) of at most `bound` labelled rows, the same ones in every run.
 
-    Ids are ordered by a hash. They are at most `bound` rows of two numbers, so they are broadcast
-    and no text is shuffled. Rows without an id or a label are no labels.
+    Ids are taken in the order of a hash, those of fewer rows first, until the next one's rows would pass
+    the bound, so an id that many rows share cannot fill the sample. Ids and row counts are at most `bound`
+    rows of numbers; they are broadcast and no text is shuffled. Rows without an id or a label are no labels.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("__id").isNotNull() & F.col("label").isNotNull())
     if where is not None:
         known = known.where(where)
-    chosen = known.orderBy(F.xxhash64("__id"), "__id", "label").limit(bound)
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("label")]
+    first = known.orderBy(*order).limit(bound)
+    rows = docs.select(F.col(doc_id).alias("__id")).join(
+        F.broadcast(first.select("__id").distinct()), "__id").groupBy("__id").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("n", *order).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = first.join(rows, "__id").withColumn("upto", F.sum("n").over(upto)).where(
+        F.col("upto") <= bound).select("__id", "label")
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")
 

@@ -308,7 +308,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 40
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` with `score` (0 to 1), `predicted` and `hits`, for every whole text.
+    """Columns `keep` with `score` (0 to 1) and `predicted`, for every whole text.
 
     Null and empty texts have no hits and get the score of such texts. Equal texts get equal scores;
     no other column takes part.

@@ -114,3 +114,37 @@ def test_query_reorders_calls(spark):
         cited = after and by_id.get((r["conv_id"], after["$ref"]))
         if cited and r["status"] != "duplicate":
             assert cited < by_id[r["conv_id"], r["call_id"]]
+
+
+def test_awkward_json_ends_no_job(spark):
+    deep = '{"a":' * 2000 + "1" + "}" * 2000
+    rows = formatted(spark, [
+        (1, 0, "assistant", '<tool_call>{"id":"\\ud83d","name":"search","arguments":{"query":"\\udc00 \\ud83d\\ude00"}}</tool_call>'),
+        (1, 1, "tool", '{"tool_call_id":"\\ud83d","content":"x\\ud800"}'),
+        (2, 0, "assistant", '<tool_call>{"id":"d","name":"search","arguments":' + deep + "}</tool_call>"),
+        (2, 1, "tool", '{"tool_call_id":"d","content":' + deep + "}"),
+        (3, 0, "assistant", '<tool_call>{"id":"n","name":"search","arguments":{"query":1e999}}</tool_call>'),
+        (3, 1, "assistant", '<tool_call>{"id":"m","name":"search","arguments":{"query":"q","limit":5.0,"\\ud800":1}}</tool_call>')])
+    kinds = {(r["conv_id"], r["turn"], r["seq"]): (r["kind"], r["status"]) for r in rows}
+    assert kinds[1, 0, 1] == ("call", "ok") and kinds[1, 1, 0] == ("result", "linked")
+    made = {(r["conv_id"], r["turn"], r["seq"]): r["json"] for r in rows}
+    assert json.loads(made[1, 0, 1])["arguments"] == {"query": "\udc00 😀"} and "\\udc00 😀" in made[1, 0, 1]
+    assert json.loads(made[1, 1, 0])["content"] == "x\ud800"
+    assert [k for k in kinds if k[0] == 2] == [(2, 0, 0), (2, 1, 0)] and kinds[2, 1, 0][0] == "message"
+    assert (3, 0, 1) not in kinds and "1e999" in made[3, 0, 0]
+    assert [r["errors"] for r in rows if (r["conv_id"], r["turn"], r["seq"]) == (3, 1, 1)] == [["\\ud800: unknown"]]
+
+
+def test_nested_schemas():
+    schema = {"required": ["who"], "properties": {
+        "who": {"type": "object", "required": ["name"], "properties": {
+            "name": {"type": "string", "pattern": "^[a-z]+$"}, "age": {"type": "integer", "minimum": 0, "maximum": 150}}},
+        "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}}}}
+    good = {"who": {"name": "ann", "age": 5.0}, "tags": ["a", {"$ref": "x"}]}
+    assert chat.argument_errors(good, schema) == []
+    bad = {"who": {"name": "Ann", "age": 151, "x": 1}, "tags": ["a", "c", 5]}
+    assert chat.argument_errors(bad, schema) == [
+        "tags[1]: not allowed", "tags[2]: not string", "who.age: too large", "who.name: no match", "who.x: unknown"]
+    assert chat.argument_errors({"who": {"age": -1.5}}, schema) == ["who.age: not integer", "who.name: missing"]
+    deep = chat.strict_json("[" * 200 + "]" * 200)
+    assert chat.depth_of(deep) == 200 and len(chat.canonical(deep)) == 400

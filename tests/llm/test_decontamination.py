@@ -11,7 +11,7 @@ ITEMS = [
 TEXTS = [
     "x alpha, beta gamma delta epsilon zeta eta theta iota kappa lambda y", "a short, item! short item",
     "repeat repeat repeat repeat repeat", None, "", "alpha beta gamma", "é ü X9 É Ü x9",
-    "beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 300, "item short",
+    "beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 300, "item short", "then one two three",
 ]
 
 

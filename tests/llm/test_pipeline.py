@@ -97,3 +97,17 @@ def test_rows_that_share_an_id(spark):
     for n in (1, 4, 7):
         rows = corpus_pipeline.near_duplicates(spark, docs.repartition(n), SF).collect()
         assert sorted((r["doc_id"], r["text"]) for r in rows) == [(3, copied), (5, alone)]
+
+
+def test_equal_rows_are_mixed_as_often_as_they_are_due(spark):
+    texts = ["a b c"] * 10 + ["d e", "f", "", None, "", None]
+    docs = documents(spark, texts, ids=[7] * 10 + [1, 2, 3, 3, None, None], sources=["s"] * 8 + ["t"] * 8)
+    docs = docs.withColumn("digest", F.lit(0)).withColumn("shards", F.lit("clash"))
+    due: dict = {}
+    for r in mixing.mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0").collect():
+        due[r["doc_id"], r["source"], r["size"]] = due.get((r["doc_id"], r["source"], r["size"]), 0) + r["copies"]
+    got: dict = {}
+    for r in corpus_pipeline.mixed(spark, docs, SF).collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == due and sum(due.values()) > 10
