@@ -1,28 +1,34 @@
 """Minimax contiguous sharding: the smallest shard capacity that ordered groups allow.
 
-Groups of equal texts are atomic. They are ordered by a digest of the text and packed by its first
-bits into at most `UNITS` units, so equal texts share a unit and the plan stays bounded at any
-size. A binary search finds the smallest capacity for which a greedy pass over the ordered units
-needs no more than the wanted shards; the same pass then cuts.
+Groups of equal texts are atomic and ordered by a digest of the text. A binary search finds the smallest
+capacity for which a greedy pass over the ordered groups needs no more than the wanted shards; the same
+pass then cuts. The pass works on pieces: runs of groups that begin with the same digits of the digest,
+at first `UNITS` of them at most. Where a cut may fall inside a piece, the piece is split by one more digit,
+until cuts can only fall between groups; so the plan stays small at any size and its capacity is exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.session import cut
 
-#: Bound of the plan: digests have 4 hexadecimal digits.
-UNITS = 1 << 16
+#: First pieces and blocks of rows: digests begin with 4 hexadecimal digits.
+DIGITS = 4
+UNITS = 16 ** DIGITS
 SHARDS = 24
 #: A document's fixed cost beside its bytes.
 ROW_BYTES = 8
+#: Equal rows that one task numbers.
+RUN_ROWS = 1 << 20
 
 
-def unit_of(text: Column) -> Column:
-    """Unit of a group of equal texts: the first 16 bits of its digest."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 4), 16, 10).cast("int")
+def digest_of(text: Column) -> Column:
+    """Digest of a text, null as empty; groups of equal texts stand in its order."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def _greedy(sizes: Column, capacity: Column) -> Column:
@@ -54,33 +60,95 @@ def minimax_capacity(sizes: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), state, halve, lambda a: a.high)
 
 
-def plan_units(units: DataFrame, shards: int) -> DataFrame:
-    """(unit, n, shard, capacity, unit_start) from (unit, bytes, n); at most `UNITS` rows.
+def _pieces(rows: DataFrame, digits: int) -> DataFrame:
+    """(prefix, bytes, whole): pieces of `rows(digest, size)`; `whole` ones are single groups."""
+    return rows.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(
+        F.sum("size").alias("bytes"), (F.min("digest") == F.max("digest")).alias("whole"))
+
+
+def _planned(pieces: DataFrame, shards: int) -> DataFrame:
+    """One row: the pieces in order, their sizes, the capacity that they need and the mean of a shard."""
+    ordered = pieces.agg(F.sort_array(F.collect_list(F.struct("prefix", "bytes", "whole"))).alias("u"))
+    total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ordered.withColumn("sizes", F.transform("u", lambda x: x.bytes)).withColumns({
+        "capacity": minimax_capacity(F.col("sizes"), shards), "total": total,
+        "mean": F.ceil(total / shards).cast("bigint")})
+
+
+def _to_split(pieces: DataFrame, shards: int, largest: int) -> DataFrame:
+    """(prefix) of the pieces in which a cut may fall for a capacity that is still possible.
 
-    `unit_start` counts the rows of a shard in earlier units.
+    Possible capacities are at least `largest`, the greatest group, and the mean, and at most what the
+    pieces need. A pass cuts later the larger its capacity is and the finer its pieces are: the k-th cut is
+    never before that of the least capacity over these pieces, rounded down to a piece, and never after k
+    times the largest capacity. Pieces that no shard of least capacity could hold are split before all others.
     """
-    ordered = units.agg(F.sort_array(F.collect_list(F.struct("unit", "bytes", "n"))).alias("u"))
-    planned = (
-        ordered.withColumn("sizes", F.transform("u", lambda x: x.bytes))
-        .withColumn("capacity", minimax_capacity(F.col("sizes"), shards))
-    )
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("fill"),
-                     F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"))
-    walked = F.aggregate("sizes", start, lambda a, x: F.when(
-        a.fill + x <= F.col("capacity"),
-        F.struct(a.shard.alias("shard"), (a.fill + x).alias("fill"), a.cuts.alias("cuts"),
-                 (a.i + 1).alias("i"))
-    ).otherwise(F.struct((a.shard + 1).alias("shard"), x.alias("fill"),
-                         F.array_append(a.cuts, a.i).alias("cuts"), (a.i + 1).alias("i"))),
+    placed = pieces.withColumn("start", F.coalesce(F.sum("bytes").over(
+        Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    marks = placed.agg(F.sort_array(F.collect_list("start"))).scalar()
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(shards - 1, 1))), F.array(F.lit(0).cast("bigint")),
+        lambda all, _: F.array_append(all, F.array_max(F.filter(
+            "starts", lambda s: s <= F.element_at(all, -1) + F.col("least")))))
+    bounds = _planned(pieces, shards).select(
+        "capacity", F.greatest(F.col("mean"), F.lit(largest)).alias("least")).withColumn("starts", marks).select(
+        F.struct("capacity", "least", F.slice(walk, 2, shards).alias("earliest"))).scalar()
+    open_pieces = placed.where(~F.col("whole")).withColumn("b", bounds).where("b.capacity > b.least")
+    may_cut = F.exists(F.transform("b.earliest", lambda at, k: (
+        F.col("start") < (k + 1) * F.col("b.capacity")) & (F.col("start") + F.col("bytes") > at)), lambda x: x)
+    found = open_pieces.select("prefix", (F.col("bytes") > F.col("b.least")).alias("oversized"), may_cut.alias("may_cut"))
+    first = found.agg(F.coalesce(F.bool_or("oversized"), F.lit(False))).scalar()
+    return found.withColumn("first", first).where(
+        (F.col("oversized") | F.col("may_cut")) & (F.col("oversized") == F.col("first"))).select("prefix")
+
+
+def plan_cuts(rows: DataFrame, shards: int) -> DataFrame:
+    """One row (capacity, cuts): the smallest capacity and where shards after the first begin.
+
+    `rows(digest, size)`. A cut is the beginning of a digest. Pieces are at most `UNITS` and what is split
+    beside some hundred cuts; a round is one aggregate over the rows of the pieces that it splits.
+    """
+    pieces = cut(_pieces(rows, DIGITS))
+    mean = _planned(pieces, shards).select("mean").first()[0] or 0
+
+    def under(split: DataFrame, digits: int) -> DataFrame:
+        return rows.join(F.broadcast(split), F.substring("digest", 1, digits) == F.col("prefix"), "left_semi")
+
+    # A group above the mean stands in a piece above the mean: fewer pieces than shards.
+    large = pieces.where(F.col("bytes") > mean).select("prefix")
+    largest = under(large, DIGITS).groupBy("digest").agg(F.sum("size").alias("bytes")).agg(
+        F.max("bytes")).first()[0] or 0
+    while True:
+        split = cut(_to_split(pieces, shards, largest))
+        lengths = [r[0] for r in split.select(F.length("prefix")).distinct().collect()]
+        if not lengths:
+            return _planned(pieces, shards).select("capacity", _cuts().alias("cuts"))
+        finer = [_pieces(under(split.where(F.length("prefix") == n), n), n + 1) for n in lengths]
+        kept = pieces.join(F.broadcast(split), "prefix", "left_anti")
+        pieces = cut(reduce(DataFrame.unionByName, finer, kept))
+
+
+def _cuts() -> Column:
+    """Prefixes of the pieces at which the greedy pass with `capacity` begins a new shard."""
+    start = F.struct(F.lit(0).cast("bigint").alias("fill"), F.array().cast("array<string>").alias("cuts"))
+    return F.aggregate("u", start, lambda a, x: F.when(
+        a.fill + x.bytes <= F.col("capacity"),
+        F.struct((a.fill + x.bytes).alias("fill"), a.cuts.alias("cuts"))
+    ).otherwise(F.struct(x.bytes.alias("fill"), F.array_append(a.cuts, x.prefix).alias("cuts"))),
         lambda a: a.cuts)
-    rows = (
-        planned.withColumn("cuts", walked)
-        .select("capacity", "cuts", F.posexplode("u").alias("i", "x"))
-        .select(F.col("x.unit").alias("unit"), F.col("x.n").alias("n"), "capacity",
-                F.size(F.filter("cuts", lambda c: c <= F.col("i"))).alias("shard"))
-    )
-    before = Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("unit_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def _numbered(runs: DataFrame) -> DataFrame:
+    """A row for each of `n` equal rows, `slot` counting on from `first`; long runs are shared by tasks."""
+    def rows(df: DataFrame, first: Column, n: Column) -> DataFrame:
+        return df.select("doc_id", "size", "text_crc32", "shard", "capacity",
+                         F.explode(F.sequence(first, first + n - 1)).alias("slot"))
+
+    short = rows(runs.where(F.col("n") <= RUN_ROWS), F.col("first"), F.col("n"))
+    parts = runs.where(F.col("n") > RUN_ROWS).withColumn("part", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN_ROWS)))).repartition("shard", "first", "part")
+    done = F.col("part") * RUN_ROWS
+    return short.unionByName(rows(parts, F.col("first") + done, F.least(F.lit(RUN_ROWS).cast("bigint"), F.col("n") - done)))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id",
@@ -92,29 +160,38 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     Repeated rows and repeated or null ids are rows like any other and get slots of their own;
     equal rows are interchangeable. An empty table gives no rows.
 
-    Rows of a unit are numbered in salted blocks of about the square root of its rows, so a text
-    with a third of all rows is numbered by many tasks.
+    Rows are numbered in blocks by the first digits of the digest and a salt, about the square root of the
+    different rows under these digits, and equal rows travel as one row with a count; so neither a text nor a
+    row with a third of the table is numbered by one task.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     slim = cut(docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(content) + ROW_BYTES).cast("bigint").alias("size"),
-        F.crc32(content).cast("bigint").alias("text_crc32"), unit_of(content).alias("unit")))
-    units = slim.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    plan = cut(plan_units(units, shards))
-    # At most UNITS rows of five numbers.
-    placed = slim.join(F.broadcast(plan), "unit").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.sqrt("n"))).cast("int"))
-    block = ["unit", "salt"]
-    before = Window.partitionBy("unit").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.crc32(content).cast("bigint").alias("text_crc32"), digest_of(F.col(text)).alias("digest")))
+    # One value: a number and as many texts as there are shards.
+    plan = cut(plan_cuts(slim, shards)).select(F.struct("capacity", "cuts")).scalar()
+    unit = F.conv(F.substring("digest", 1, DIGITS), 16, 10).cast("int")
+    runs = cut(slim.groupBy("doc_id", "size", "text_crc32", "digest").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("plan", plan).select(
+        "doc_id", "size", "text_crc32", unit.alias("unit"), "n", "plan.capacity",
+        F.size(F.filter("plan.cuts", lambda c: c <= F.col("digest"))).alias("shard")))
+    group = ["shard", "unit"]
+    sizes = runs.groupBy(*group).agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("rows"))
+    earlier = Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    # At most UNITS rows of four numbers, and one more for each cut.
+    begins = sizes.select(*group, F.ceil(F.sqrt("runs")).alias("salts"),
+                          F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("unit_start"))
+    salted = runs.join(F.broadcast(begins), group).withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts")).cast("int"))
+    block = [*group, "salt"]
+    before = Window.partitionBy(*group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*block).agg(F.sum("n").alias("rows")).select(
         *block, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("salt_start"))
-    inside = Window.partitionBy(*block).orderBy("doc_id", "size", "text_crc32")
-    return (
-        placed.withColumn("row", F.row_number().over(inside))
-        .join(starts, block)
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                (F.col("unit_start") + F.col("salt_start") + F.col("row") - 1)
-                .cast("bigint").alias("slot"),
-                F.lit(None).cast("int").alias("grown_shard"), "capacity")
-    )
+    inside = Window.partitionBy(*block).orderBy("doc_id", "size", "text_crc32").rowsBetween(
+        Window.unboundedPreceding, -1)
+    placed = salted.withColumn("row", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, block).withColumn(
+        "first", (F.col("unit_start") + F.col("salt_start") + F.col("row")).cast("bigint"))
+    return _numbered(placed).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "capacity")

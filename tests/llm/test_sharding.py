@@ -1,6 +1,9 @@
+import hashlib
+import random
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.llm import sharding
@@ -42,13 +45,39 @@ def test_shards_against_brute_force(spark):
     docs = documents(spark, texts, ids=[None if i % 50 == 7 else i // 2 for i in range(len(texts))])
     rows = sharding.shard_documents(docs.withColumn("shard", F.lit(99)).withColumn("n", F.lit(1)), 5).collect()
     check(rows, texts, 5)
-    units = defaultdict(int)
-    import hashlib
+    assert rows[0]["capacity"] == smallest(texts, 5)
+
+
+def smallest(texts, shards):
+    """Smallest capacity over the groups of equal texts in the order of their digests."""
+    groups = defaultdict(int)
     for t in texts:
-        units[int(hashlib.md5((t or "").encode()).hexdigest()[:4], 16)] += len((t or "").encode()) + 8
-    sizes = [units[u] for u in sorted(units)]
-    capacity = rows[0]["capacity"]
-    assert greedy(sizes, capacity) <= 5 and greedy(sizes, capacity - 1) > 5 or capacity == max(sizes)
+        groups[hashlib.md5((t or "").encode()).hexdigest()] += len((t or "").encode()) + 8
+    sizes = [groups[g] for g in sorted(groups)]
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if greedy(sizes, middle) <= shards else (middle + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("digits, hot, shards", [(1, 0, 24), (1, 400, 7), (1, 0, 3), (2, 30, 24), (1, 5000, 24)])
+def test_capacity_over_groups_and_not_pieces(spark, monkeypatch, digits, hot, shards):
+    """Few digits at first, so that pieces hold many groups and are split where cuts may fall."""
+    monkeypatch.setattr(sharding, "DIGITS", digits)
+    rng = random.Random(digits + hot)
+    texts = [f"{i} " * rng.choice([1, 3, 40, 200]) for i in range(1500)] + ["hot text " * 9] * hot
+    docs = documents(spark, texts, ids=[i if i < 1500 else 1500 + i % 3 for i in range(len(texts))])
+    rows = sharding.shard_documents(docs, shards).collect()
+    check(rows, texts, shards)
+    assert rows[0]["capacity"] == smallest(texts, shards)
+
+
+def test_equal_rows_beyond_a_run(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_ROWS", 16)
+    texts = ["one text"] * 333 + ["another", "third"]
+    rows = sharding.shard_documents(documents(spark, texts, ids=[1] * 333 + [2, None]), 3).collect()
+    check(rows, texts, 3)
 
 
 def test_empty_table(spark):
