@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,8 @@ TYPES = {
 }
 ITEMS = ("conv_id bigint, turn bigint, seq int, kind string, call_id string, name string, "
          "refs array<string>, errors array<string>, json string")
+#: Calls of a conversation that one task orders.
+TASK_CALLS = 100_000
 #: Above the hops of any chain of calls; keeps the counters of cycles in range.
 MOST_HOPS = 1 << 40
 
@@ -202,9 +205,72 @@ def read_items(messages: DataFrame, schemas: dict) -> DataFrame:
     return source.mapInArrow(run, ITEMS)
 
 
+def call_places(calls: dict[str, tuple[int, list[str]]]) -> dict[str, tuple[int, int, bool]]:
+    """(at, hops, settled) by call id of one conversation's `{id: (turn, cited ids)}`.
+
+    A call is placed once all calls that it cites are; ids that no call has are not waited for.
+    """
+    waits = {c: len({r for r in refs if r in calls}) for c, (_, refs) in calls.items()}
+    cited_by: dict[str, list[str]] = {}
+    for c, (_, refs) in calls.items():
+        for r in set(refs):
+            if r in calls:
+                cited_by.setdefault(r, []).append(c)
+    places = {c: (turn, 0) for c, (turn, _) in calls.items()}
+    ready, settled = [c for c, n in waits.items() if not n], set()
+    while ready:
+        c = ready.pop()
+        settled.add(c)
+        at, hops = places[c]
+        for later in cited_by.get(c, ()):
+            places[later] = max(places[later], (at, hops + 1))
+            waits[later] -= 1
+            if not waits[later]:
+                ready.append(later)
+    return {c: (*places[c], True) if c in settled else (turn, 0, False) for c, (turn, _) in calls.items()}
+
+
+def _placed_in_tasks(calls: DataFrame) -> DataFrame:
+    """`_ordered_calls` where every conversation is read by one task."""
+    kind = calls.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        for conv, own in groupby(rows(), lambda r: r[0]):
+            places = call_places({call: (turn, refs) for _, call, turn, refs in own})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([conv] * len(places), pa.int64()), pa.array(list(places), pa.string()),
+                 *[pa.array([p[i] for p in places.values()], t)
+                   for i, t in enumerate((pa.int64(), pa.int32(), pa.bool_()))]],
+                names=["conv_id", "call_id", "at", "hops", "settled"])
+
+    return calls.select("conv_id", "call_id", F.col("turn").cast("bigint"), "refs").repartition(
+        "conv_id").sortWithinPartitions("conv_id").mapInArrow(
+        run, f"conv_id {kind}, call_id string, at bigint, hops int, settled boolean")
+
+
 def _ordered_calls(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, at, hops, settled): where each call may stand.
 
+    Conversations of up to `TASK_CALLS` calls are ordered by a task each, larger ones by all tasks in
+    rounds; both give the same places.
+    """
+    calls = cut(calls)
+    large = cut(calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > TASK_CALLS).select("conv_id"))
+    if large.isEmpty():
+        return _placed_in_tasks(calls)
+    # Fewer conversations than calls divided by `TASK_CALLS`.
+    return _placed_in_tasks(calls.join(large, "conv_id", "left_anti")).unionByName(
+        _placed_in_rounds(calls.join(large, "conv_id", "left_semi")))
+
+
+def _placed_in_rounds(calls: DataFrame) -> DataFrame:
+    """`_ordered_calls` where tasks share a conversation.
+
     A call stands at its own turn, or behind the call it cites where that one comes later: `at` is
     then the other's turn and `hops` one more than the other's. In a round every open citation takes
     over what its call knows and is closed if that call has settled; a citation of a call with one

@@ -1,4 +1,5 @@
 import json
+import random
 
 from tallymark.llm import chat
 
@@ -148,3 +149,26 @@ def test_nested_schemas():
     assert chat.argument_errors({"who": {"age": -1.5}}, schema) == ["who.age: not integer", "who.name: missing"]
     deep = chat.strict_json("[" * 200 + "]" * 200)
     assert chat.depth_of(deep) == 200 and len(chat.canonical(deep)) == 400
+
+
+def test_tasks_and_rounds_place_calls_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for conv in range(30):
+        n = rng.randrange(1, 25)
+        for c in range(n):
+            refs = [f"c{rng.randrange(n + 2)}" for _ in range(rng.randrange(0, 3))] if rng.random() < 0.6 else []
+            rows.append((conv, f"c{c}", rng.randrange(9), sorted(set(refs))))
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, turn bigint, refs array<string>")
+    in_tasks = {tuple(r) for r in chat._ordered_calls(calls).collect()}
+    monkeypatch.setattr(chat, "TASK_CALLS", 8)
+    assert {tuple(r) for r in chat._ordered_calls(calls).collect()} == in_tasks
+    assert any(not r[4] for r in in_tasks) and any(r[3] > 1 for r in in_tasks)
+
+
+def test_a_long_chain_with_two_citations_each(spark):
+    n = 10_000
+    rows = [(1, f"c{i}", n - i, [f"c{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(n)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, turn bigint, refs array<string>")
+    got = {r["call_id"]: (r["at"], r["hops"], r["settled"]) for r in chat._ordered_calls(calls).collect()}
+    assert got == {f"c{i}": (n, i, True) for i in range(n)}
