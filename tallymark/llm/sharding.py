@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tallymark.session import cut
 
-#: First pieces and blocks of rows: digests begin with 4 hexadecimal digits.
-DIGITS = 4
+#: First pieces and blocks of rows: the first hexadecimal digits of digests.
+DIGITS = 3
 UNITS = 16 ** DIGITS
 SHARDS = 24
 #: A document's fixed cost beside its bytes.
