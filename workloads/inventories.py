@@ -3,15 +3,19 @@
 from pyspark.sql import functions as F
 
 from tallymark.functions.classify import CHART_TYPES, is_skipped, is_testable
-from tallymark.functions import vocab
 from tallymark.operators import visuals
 from tallymark.plans import inventory
 from workloads.derive import CARDS, VISUALS, ctes
 from workloads.registry import query
 
 
-def _quoted(values):
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+# The types of the derived visuals by role, as the SQL sees them.
+_KPIS = "('Card', 'Multi-row card', 'KPI')"
+_CHARTS = "('Clustered column chart', 'Stacked area chart', 'Line chart', 'Donut chart', 'Map', 'Table')"
+_SKIPPED = "('Text box', 'img', 'Slicer')"
+_LABELLED = "('Clustered column chart', 'Line chart', 'Donut chart')"
+_TABULAR = "('Table', 'Map')"
+_HEADER_LINES = "('row selection', 'rank', 'agent id', 'agent name')"
 
 
 def _noisy(c):
@@ -27,7 +31,7 @@ _EXPANDED = f""", ty AS (
     [trim(l) for l in string_split(full_text, chr(10)) if trim(l) <> ''] AS lines,
     CASE WHEN type = '' AND (regexp_matches(trim(full_text), '^Scroll (up|down|left|right)', 'i') OR
            len([1 for l in string_split(full_text, chr(10))
-             if lower(trim(l)) IN {_quoted(vocab.TABLE_HEADER_LINES)}]) > 0) THEN 'Table' ELSE type END AS type
+             if lower(trim(l)) IN {_HEADER_LINES}]) > 0) THEN 'Table' ELSE type END AS type
   FROM v),
 pr AS (
   SELECT ty.*, k AS sub_index, lines[2*k+1] AS label, lines[2*k+2] AS value,
@@ -46,17 +50,17 @@ ex AS (
 vi AS (SELECT *, {_noisy("title")} AS noisy,
   row_number() OVER (PARTITION BY page, type ORDER BY ordinal, sub_index) - 1 AS type_index FROM ex)"""
 
-_CATEGORY = f"""CASE WHEN (type IN {_quoted(vocab.KPI_TYPES)} AND (regexp_matches(title, 'TopN|BottomN|Top N|Bottom N|Parameter')
+_CATEGORY = f"""CASE WHEN (type IN {_KPIS} AND (regexp_matches(title, 'TopN|BottomN|Top N|Bottom N|Parameter')
     OR (NOT regexp_matches(full_text, '[%$]|Target:|vs PM|vs PQTD|vs PTD')
         AND regexp_matches(full_text, 'TopN|BottomN|Field')))) OR contains(lower(type), 'slicer') THEN 'slicer'
-  WHEN type IN {_quoted(vocab.KPI_TYPES)} THEN 'kpi' WHEN type IN {_quoted(CHART_TYPES)} THEN 'chart' ELSE 'other' END"""
+  WHEN type IN {_KPIS} THEN 'kpi' WHEN type IN {_CHARTS} THEN 'chart' ELSE 'other' END"""
 
 _HEADINGS = f""", hd AS (
   SELECT c.page, c.ordinal, arg_min(b.title, (c.y - b.y - b.height) * 1000000000 + b.ordinal) AS heading
   FROM vi c JOIN vi b ON b.page = c.page AND b.type = 'Text box' AND b.title <> ''
     AND c.y - (b.y + b.height) BETWEEN 0 AND 80
     AND greatest(0, least(c.x + c.width, b.x + b.width) - greatest(c.x, b.x)) / least(c.width, b.width) >= 0.3
-  WHERE c.noisy AND c.type IN {_quoted(CHART_TYPES)} GROUP BY c.page, c.ordinal)"""
+  WHERE c.noisy AND c.type IN {_CHARTS} GROUP BY c.page, c.ordinal)"""
 
 
 @query("visual_inventory", ctes(v=VISUALS) + _EXPANDED + _HEADINGS + f"""
@@ -155,9 +159,9 @@ def page_slicers(t):
 
 
 @query("type_lists", ctes(v=VISUALS) + f"""
-SELECT type, count(*) AS visuals, count(*) FILTER (type IN {_quoted(vocab.TESTABLE_TYPES)}) AS testable,
-  count(*) FILTER (type NOT IN {_quoted(vocab.SKIPPED_TYPES)}) AS kept,
-  count(*) FILTER (type IN {_quoted(CHART_TYPES)}) AS charts FROM v GROUP BY type""")
+SELECT type, count(*) AS visuals, count(*) FILTER (type IN {_KPIS} OR type IN {_CHARTS}) AS testable,
+  count(*) FILTER (type NOT IN {_SKIPPED}) AS kept,
+  count(*) FILTER (type IN {_CHARTS}) AS charts FROM v GROUP BY type""")
 def type_lists(t):
     kind = F.col("type")
     return t.sql(VISUALS).groupBy("type").agg(
@@ -180,8 +184,8 @@ def inventory_counts(t):
     return inventory.page_counts(inventory.classified(t.sql(VISUALS)))
 
 
-_METHOD = f"""CASE WHEN type IN {_quoted(vocab.LABELLED_POINT_TYPES)} THEN 'aria'
-  WHEN type IN {_quoted(vocab.TABULAR_VIEW_TYPES)} THEN 'show_as_table' ELSE 'unknown' END"""
+_METHOD = f"""CASE WHEN type IN {_LABELLED} THEN 'aria'
+  WHEN type IN {_TABULAR} THEN 'show_as_table' ELSE 'unknown' END"""
 
 
 @query("extraction_coverage", ctes(v=VISUALS) + _EXPANDED + f"""
