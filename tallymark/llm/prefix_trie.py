@@ -229,7 +229,8 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     (members - 1) * `chars` over the subtree, `n_leaves` counts its nodes without children, and
     `ends_sha256` is the digest of the ids that end at the node. An empty table gives no rows.
     """
-    prefixes = cut(prefix_digests(paths))
+    # Written as they are: running sums read their input several times.
+    prefixes = cut(prefix_digests(cut(paths)))
     below = prefixes.where("depth > 0")
     screened = screen(prefixes, seen_twice(below, sketch_width(below.count())))
     reach = screened.groupBy("conv_id").agg(
@@ -245,14 +246,14 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
         F.count_if(has_tail).alias("tails_below")))
     children = nodes.where("depth > 0").groupBy(F.col("parent").alias("key")).agg(
         F.count(F.lit(1)).alias("grouped"))
-    full = nodes.join(children, "key", "left").withColumn(
-        "n_children", F.coalesce("grouped", F.lit(0)) + F.col("tails_here"))
+    full = cut(nodes.join(children, "key", "left").withColumn(
+        "n_children", F.coalesce("grouped", F.lit(0)) + F.col("tails_here")))
 
     owned = full.select("conv_id", "depth", (F.col("n_children") == 0).cast("bigint").alias("leaf"),
                         ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
     owners = nodes.select("conv_id").distinct()
-    along = candidates.select("conv_id", "depth", "key").join(owners, "conv_id", "left_semi").join(
-        owned, ["conv_id", "depth"], "left").fillna(0, ["leaf", "saved"])
+    along = cut(candidates.select("conv_id", "depth", "key").join(owners, "conv_id", "left_semi").join(
+        owned, ["conv_id", "depth"], "left").fillna(0, ["leaf", "saved"]))
     summed = _running(along, "conv_id", "depth", {"leaf": "to_leaf", "saved": "to_saved"},
                       {"leaf": "all_leaf", "saved": "all_saved"})
     subtrees = summed.groupBy("key").agg(
