@@ -1,24 +1,26 @@
 """Quality rules: counts and thresholds, and boosted trees over document statistics.
 
-Every whole text is read once, in a task that returns its counts and the trees' score. The trees are
-fitted on a bounded sample of labelled documents and scored from flat node arrays.
+Every whole text is judged once, in a task that returns its counts and the trees' score. The trees are
+fitted on all labelled documents, whose sums are made by tasks, and scored from flat node arrays.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import boosting
 from tallymark.llm.common import by_value
-from tallymark.llm.samples import fold_of, labelled_sample, map_rows
+from tallymark.llm.quantiles import quantiles
+from tallymark.llm.samples import fold_of, map_rows
+from tallymark.session import cut
 
-#: Most labelled documents the trees are fitted on.
-SAMPLE_ROWS = 20_000
 #: Fixed values of the base rules: fewest words, largest share of repeated words, symbols.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -97,33 +99,53 @@ class Model:
     threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Trees from at most `rows` labelled documents, and the threshold their held-out fold sets.
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(held, features, good, weight) of the labelled documents that pass the base rules.
 
-    Only statistics of the sample reach the driver. Without labels of both kinds all documents that
-    pass the base rules are kept.
+    `weight` is the number of labels of the id, `good` of those above 0; a row per document, however many
+    labels it has. Statistics come first, so that no text is shuffled. Rows without an id or a label are no labels.
     """
-    sample = labelled_sample(docs, labels, label, rows).withColumn("fold", fold_of(F.col("doc_id")))
+    value = F.col(label).cast("int")
+    known = labels.where(F.col("doc_id").isNotNull() & value.isNotNull()).groupBy(
+        F.col("doc_id").alias("__id")).agg(F.count_if(value > 0).alias("good"), F.count(F.lit(1)).alias("weight"))
 
     def make():
         def judge(texts):
             made = [statistics(t) for t in texts]
-            return {"counts": [c for c, _ in made], "features": [f for _, f in made]}
+            return {"n_words": [c[0] for c, _ in made], "n_repeat_words": [c[4] for c, _ in made],
+                    "features": [f for _, f in made]}
         return judge
 
-    got = map_rows(sample, ["doc_id", "label", "fold"], "text",
-                   "counts array<bigint>, features array<double>", make).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["label"]))
-    x = np.array([r["features"] for r in got], dtype=float).reshape(len(got), len(FEATURES))
-    y = np.array([r["label"] > 0 for r in got], dtype=float)
-    held = np.array([r["fold"] == 0 for r in got], dtype=bool)
-    failed = np.array([base_failed(r["counts"][0], r["counts"][4]) for r in got], dtype=bool)
-    learn = ~held & ~failed
-    if len(set(y[learn])) < 2:
-        return Model(boosting.fit(x[:0], y[:0], MONOTONE, trees=1), 0.0)
-    trees = boosting.fit(x[learn], y[learn], MONOTONE)
-    good = trees.probability(x[held & ~failed & (y > 0)])
-    return Model(trees, min(0.5, float(np.quantile(good, 1 - KEEP_RECALL))) if len(good) else 0.5)
+    measured = map_rows(docs, ["doc_id"], "text", "n_words bigint, n_repeat_words bigint, features array<double>", make)
+    return measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(
+        known, F.col("doc_id") == F.col("__id")).select(
+        (fold_of(F.col("doc_id")) == 0).alias("held"), "features", "good", "weight")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Trees from all labelled documents outside the held-out fold, and the threshold that fold sets.
+
+    Only sums over documents and quantiles reach the driver. Without labels of both kinds all documents that
+    pass the base rules are kept.
+    """
+    rows = cut(labelled_features(docs, labels, label))
+    learn = rows.where(~F.col("held"))
+    good, weight = learn.agg(F.sum("good"), F.sum("weight")).first()
+    if not good or good == weight:
+        return Model(boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE, trees=1), 0.0)
+    trees = boosting.fit_rows(learn, len(FEATURES), MONOTONE)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(x), np.int32)), pa.array(trees.probability(x)), batch.column(1)],
+                names=["series", "value", "weight"])
+
+    scored = rows.where(F.col("held") & (F.col("good") > 0)).select("features", "good").mapInArrow(
+        judge, "series int, value double, weight bigint")
+    least = quantiles(scored, [1 - KEEP_RECALL])
+    return Model(trees, min(0.5, float(least[0][0])) if least else 0.5)
 
 
 def judge_quality(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
