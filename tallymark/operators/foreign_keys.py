@@ -2,7 +2,8 @@
 
 A table is read once for all its keys. Rows become key tuples, are counted where they are, and the tuples
 of all keys that point to one parent key meet that key in one aggregation, so nothing is joined and a hot
-tuple crosses a shuffle once per task.
+tuple crosses a shuffle once per task. Whole numbers stay numbers and counts stand in columns, so the
+aggregation hashes and does not sort.
 """
 
 from __future__ import annotations
@@ -33,8 +34,14 @@ def _common_type(a: str, b: str) -> str:
     return "timestamp" if base <= {"date", "timestamp"} else "string"
 
 
-def _tuple(columns: tuple[str, ...], types: tuple[str, ...]) -> Column:
-    return F.array(*[F.col(f"`{c}`").cast(t).cast("string") for c, t in zip(columns, types, strict=True)])
+def _tuple(columns: tuple[str, ...], types: tuple[str, ...], numbers: int, texts: int) -> list[Column]:
+    """Columns `n0..`, `t0..` and `partial` of a key: whole numbers, other values as texts, a null among them."""
+    typed = [(F.col(f"`{c}`").cast(t), t in WHOLE) for c, t in zip(columns, types, strict=True)]
+    whole, other = [v.cast("bigint") for v, w in typed if w], [v.cast("string") for v, w in typed if not w]
+    whole += [F.lit(None).cast("bigint")] * (numbers - len(whole))
+    other += [F.lit(None).cast("string")] * (texts - len(other))
+    return [*[v.alias(f"n{i}") for i, v in enumerate(whole)], *[v.alias(f"t{i}") for i, v in enumerate(other)],
+            reduce(lambda x, y: x | y, [v.isNull() for v, _ in typed]).alias("partial")]
 
 
 def _known(frames: dict[str, DataFrame], constraints: DataFrame) -> list[tuple]:
@@ -58,47 +65,49 @@ def check_keys(frames: dict[str, DataFrame], constraints: DataFrame) -> DataFram
     if not declared:
         raise ValueError("no foreign key between the given tables")
     parents: dict[tuple, int] = {}
-    roles: dict[str, list[Column]] = {}
-
-    def role(table: str, parent_no: int, key_no: int | None, key: Column) -> None:
-        roles.setdefault(table, []).append(F.struct(
-            F.lit(parent_no).alias("parent_no"), F.lit(key_no).cast("int").alias("key_no"), key.alias("key")))
-
+    slots: dict[int, int] = {}
+    roles: list[tuple[str, int, int | None, tuple, tuple]] = []
     names = []
-    for key_no, (child, columns, parent, targets) in enumerate(declared):
+    for child, columns, parent, targets in declared:
         kinds = dict(frames[child].dtypes), dict(frames[parent].dtypes)
         types = tuple(_common_type(kinds[0][c], kinds[1][d]) for c, d in zip(columns, targets))
         identity = (parent, targets, types)
         if identity not in parents:
             parents[identity] = len(parents)
-            role(parent, parents[identity], None, _tuple(targets, types))
-        role(child, parents[identity], key_no, _tuple(columns, types))
-        names.append((key_no, parents[identity], child, list(columns), parent, list(targets)))
-
+            roles.append((parent, parents[identity], None, targets, types))
+        no = parents[identity]
+        slots[no] = slots.get(no, -1) + 1
+        roles.append((child, no, slots[no], columns, types))
+        names.append((no, slots[no], child, list(columns), parent, list(targets)))
+
+    whole = [sum(t in WHOLE for t in types) for *_, types in roles]
+    numbers, texts = max(whole), max(len(r[4]) - w for r, w in zip(roles, whole))
+    structs: dict[str, list[Column]] = {}
+    for table, no, slot, columns, types in roles:
+        structs.setdefault(table, []).append(F.struct(
+            F.lit(no).alias("parent_no"), F.lit(slot).cast("int").alias("slot"), *_tuple(columns, types, numbers, texts)))
     tuples = reduce(DataFrame.unionByName, [
-        frames[table].select(F.inline(F.array(*structs))) for table, structs in roles.items()])
-    counted = tuples.groupBy("parent_no", "key", "key_no").agg(F.count(F.lit(1)).alias("rows"))
-    child = F.when(F.col("key_no").isNotNull(), F.struct("key_no", "rows"))
-    # The list has an entry per declared key of one parent key.
-    met = counted.groupBy("parent_no", "key").agg(
-        F.sum(F.when(F.col("key_no").isNull(), F.col("rows"))).alias("parent_rows"),
-        F.collect_list(child).alias("children")
-    ).withColumn("partial", F.exists("key", lambda k: k.isNull()))
-    orphan = ~F.col("partial") & F.col("parent_rows").isNull()
-    of_parent = F.array(F.struct(F.lit(None).cast("int").alias("key_no"), F.lit(0).cast("bigint").alias("rows")))
-    # A row per declared key and one per parent key: few, and looked up twice below.
-    sums = cut(met.select(
-        "parent_no", "partial", orphan.alias("orphan"), "parent_rows", F.inline(F.concat("children", of_parent))
-    ).groupBy("parent_no", "key_no").agg(
-        F.sum("rows").alias("child_rows"), F.sum(F.when(F.col("partial"), F.col("rows"))).alias("unchecked_rows"),
-        F.sum(F.when(F.col("orphan"), F.col("rows"))).alias("orphan_rows"),
-        F.count_if(~F.col("partial") & (F.col("parent_rows") > 1)).alias("repeated_parent_keys")))
-    by_key = sums.where("key_no IS NOT NULL").drop("parent_no", "repeated_parent_keys")
-    by_parent = sums.where("key_no IS NULL").select("parent_no", "repeated_parent_keys")
+        frames[table].select(F.inline(F.array(*made))) for table, made in structs.items()])
+    key = [*[f"n{i}" for i in range(numbers)], *[f"t{i}" for i in range(texts)]]
+    # A count per declared key of one parent key: as many as the widest parent has.
+    width = max(slots.values()) + 1
+    met = tuples.groupBy("parent_no", *key, "partial").agg(
+        F.count_if(F.col("slot").isNull()).alias("parent_rows"),
+        *[F.count_if(F.col("slot") == i).alias(f"rows{i}") for i in range(width)])
+    orphan = ~F.col("partial") & (F.col("parent_rows") == 0)
+    sums = met.groupBy("parent_no").agg(
+        F.count_if(~F.col("partial") & (F.col("parent_rows") > 1)).alias("repeated_parent_keys"),
+        *[x for i in range(width) for x in (
+            F.sum(f"rows{i}").alias(f"child{i}"), F.sum(F.when(F.col("partial"), F.col(f"rows{i}"))).alias(f"partial{i}"),
+            F.sum(F.when(orphan, F.col(f"rows{i}"))).alias(f"orphan{i}"))])
+    # A row per declared key: few.
+    by_slot = cut(sums.select("parent_no", "repeated_parent_keys", F.inline(F.array(*[F.struct(
+        F.lit(i).alias("slot"), F.col(f"child{i}").alias("child_rows"), F.col(f"partial{i}").alias("unchecked_rows"),
+        F.col(f"orphan{i}").alias("orphan_rows")) for i in range(width)]))))
     every = frames[declared[0][0]].sparkSession.createDataFrame(
-        names, "key_no int, parent_no int, from_table string, from_cols array<string>, to_table string, "
+        names, "parent_no int, slot int, from_table string, from_cols array<string>, to_table string, "
                "to_cols array<string>")
     counts = ["child_rows", "unchecked_rows", "orphan_rows", "repeated_parent_keys"]
-    return every.join(by_key, "key_no", "left").join(by_parent, "parent_no", "left").fillna(0, counts).select(
+    return every.join(by_slot, ["parent_no", "slot"], "left").fillna(0, counts).select(
         *NAMES, *counts,
         ((F.col("orphan_rows") == 0) & (F.col("repeated_parent_keys") == 0)).alias("holds"))

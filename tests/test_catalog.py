@@ -152,3 +152,20 @@ def test_a_header_of_ten_thousand_characters(spark):
     inside = spark.createDataFrame([(text[50:9_000],), (text,)], "header string")
     got = {len(r.header): (r.db_col == text, r.confidence) for r in catalog.match_columns(inside, frame(spark, long_name)).collect()}
     assert got == {8_950: (True, "MEDIUM"), 10_000: (True, "HIGH")}
+
+
+def test_keys_of_several_types_meet_without_sorting(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(foreign_keys, "cut", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or d)
+    child = spark.createDataFrame([(1, "a", 7), (1, "b", 8), (None, "a", 9), (2, None, 7), (3, "a", 7)], "k int, s string, m int")
+    parent = spark.createDataFrame([(1, "a", 7), (2, "c", 7), (3, "a", 5), (3, "a", 6)], "k bigint, s string, m bigint")
+    declared = spark.createDataFrame([
+        ("child", ["k", "s"], "parent", ["k", "s"]), ("child", ["m", "s"], "parent", ["k", "s"]),
+        ("child", ["s", "k"], "parent", ["s", "k"]), ("child", ["m"], "parent", ["m"]), ("parent", ["k"], "child", ["k"])],
+        "from_table string, from_cols array<string>, to_table string, to_cols array<string>")
+    got = {(r[0], ",".join(r.from_cols)): tuple(r)[4:] for r in foreign_keys.check_keys(
+        {"child": child, "parent": parent}, declared).collect()}
+    assert got == {
+        ("child", "k,s"): (5, 2, 1, 1, False), ("child", "m,s"): (5, 1, 4, 1, False), ("child", "s,k"): (5, 2, 1, 1, False),
+        ("child", "m"): (5, 0, 2, 1, False), ("parent", "k"): (4, 0, 0, 1, False)}
+    assert plans and not any(x in p for p in plans for x in ("ObjectHashAggregate", "SortAggregate"))
