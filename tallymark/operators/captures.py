@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tallymark.functions import vocab
 from tallymark.functions.numbers import strip
 from tallymark.functions.text import api_column, let, point_label, undouble
-from tallymark.operators.ranking import blocked_prefix_sum, running_sums
+from tallymark.operators.ranking import BLOCK_ROWS, blocked_prefix_sum, left_join_null_safe, running_sums
 from tallymark.operators.skew import spread_join
 from tallymark.session import cut
 
@@ -92,11 +92,11 @@ def drop_repeats(rows: DataFrame, visual: list[str], cells: list[str], seq: str)
     return rows.groupBy(*visual, *cells).agg(F.min(seq).alias(seq))
 
 
-def _power(base: int, exponent: Column) -> Column:
-    """`base` to a whole-number power modulo `MODULUS`, by its squares."""
+def _power(base: int, exponent: Column, bits: int = 40) -> Column:
+    """`base` to a whole-number power of up to `bits` bits modulo `MODULUS`, by its squares."""
     squares = F.array(*[F.struct(
         F.lit(1 << b).cast("bigint").alias("bit"), F.lit(pow(base, 1 << b, MODULUS)).cast("bigint").alias("factor"))
-        for b in range(40)])
+        for b in range(bits)])
     return F.aggregate(squares, F.lit(1).cast("bigint"), lambda acc, s: F.when(
         exponent.bitwiseAND(s["bit"]) != 0, acc * s["factor"] % MODULUS).otherwise(acc))
 
@@ -113,33 +113,60 @@ def stitch_pages(rows: DataFrame, visual: list[str], page: str, row: str, cells:
     seam is one equality per length, and neither a page nor a visual has to be in one task. Hashes are three
     of 31 bits; two different runs of a thousand rows agree by chance once in 10^19.
     """
+    every = range(len(BASES))
     lanes = {f"__h{i}": F.pmod(F.xxhash64(F.lit(i), *[
-        x for c in cells for x in (F.col(c).isNull(), F.col(c))]), F.lit(MODULUS)) for i in range(len(BASES))}
+        x for c in cells for x in (F.col(c).isNull(), F.col(c))]), F.lit(MODULUS)) for i in every}
     where = [*visual, page]
-    numbered = blocked_prefix_sum(rows, where, row, "__place", total="__size")
-    place = F.col("__place")
-    terms = numbered.select(*where, "__place", "__size", *[h.alias(c) for c, h in lanes.items()]).withColumns(
-        {f"__power{i}": _power(b, place) for i, b in enumerate(BASES)}).withColumns(
-        {f"__term{i}": F.col(f"__h{i}") * F.col(f"__power{i}") % MODULUS for i in range(len(BASES))})
-    every = range(len(BASES))
-    hashed = cut(running_sums(
-        terms.drop(*lanes), where, "__place", {f"__term{i}": f"__upto{i}" for i in every},
-        {f"__term{i}": f"__all{i}" for i in every}))
-    pages = hashed.select(*where).distinct().withColumn(
+    placed = cut(_placed(rows.where(F.col(row).isNotNull()), where, row))
+    place, size = F.col("__place"), F.col("__size")
+    largest = placed.agg(F.coalesce(F.max("__size"), F.lit(1))).first()[0]
+    terms = placed.withColumns({**lanes, **{
+        f"__power{i}": _power(b, place, int(largest).bit_length()) for i, b in enumerate(BASES)}}).withColumns(
+        {f"__term{i}": F.col(f"__h{i}") * F.col(f"__power{i}") % MODULUS for i in every}).drop(*lanes)
+    sums, totals = {f"__term{i}": f"__upto{i}" for i in every}, {f"__term{i}": f"__all{i}" for i in every}
+    page_window = Window.partitionBy(*where)
+    upto = page_window.orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = terms.where(size <= BLOCK_ROWS).withColumns({
+        **{out: F.sum(c).over(upto) for c, out in sums.items()},
+        **{out: F.sum(c).over(page_window) for c, out in totals.items()}})
+    if largest > BLOCK_ROWS:
+        hashed = hashed.unionByName(running_sums(terms.where(size > BLOCK_ROWS), where, "__place", sums, totals))
+    hashed = cut(hashed)
+    pages = placed.groupBy(*where).agg(F.max("__size").alias("__size")).withColumn(
         "__before", F.lag(page).over(Window.partitionBy(*visual).orderBy(page))).where(F.col("__before").isNotNull())
-    ends = hashed.select(*visual, F.col(page).alias("__before"), (F.col("__size") - place).alias("__length"), *[
+    ends = hashed.select(*visual, F.col(page).alias("__before"), (size - place).alias("__length"), *[
         F.pmod(F.col(f"__all{i}") - F.col(f"__upto{i}") + F.col(f"__term{i}"), F.lit(MODULUS)).alias(f"__end{i}")
         for i in every], *[f"__power{i}" for i in every])
-    starts = spread_join(hashed, pages, where, ["__place"]).select(
-        *where, "__before", (place + 1).alias("__length"), *[(F.col(f"__upto{i}") % MODULUS).alias(f"__start{i}") for i in every])
+    starts = spread_join(hashed.drop(*[f"__power{i}" for i in every]), pages, where, ["__place"], size="__size").select(
+        *where, "__before", "__size", (place + 1).alias("__length"),
+        *[(F.col(f"__upto{i}") % MODULUS).alias(f"__start{i}") for i in every])
     alike = reduce(lambda a, b: a & b, [
         F.col(f"__end{i}") == F.col(f"__start{i}") * F.col(f"__power{i}") % MODULUS for i in every])
     overlap = starts.join(ends, [*visual, "__before", "__length"]).where(alike).groupBy(*where).agg(
-        F.max("__length").alias("__overlap"))
-    return spread_join(numbered, overlap, where, ["__place"], "left").where(
+        F.max("__length").alias("__overlap"), F.max("__size").alias("__size"))
+    return spread_join(placed, overlap, where, ["__place"], "left", size="__size").where(
         place >= F.coalesce("__overlap", F.lit(0))).select(*rows.columns)
 
 
+def _placed(rows: DataFrame, where: list[str], row: str) -> DataFrame:
+    """Rows with `__place`, from 0 in the order of `row`, and `__size`, the rows of their page.
+
+    A page is a window; those of more than `BLOCK_ROWS` rows are found by their counts and go in blocks.
+    """
+    rows = cut(rows)
+    hot = cut(rows.groupBy(*where).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK_ROWS).select(
+        *where, F.lit(True).alias("__hot")))
+    inside = Window.partitionBy(*where)
+    counts = {"__place": (F.row_number().over(inside.orderBy(row)) - 1).cast("bigint"),
+              "__size": F.count(F.lit(1)).over(inside)}
+    if hot.isEmpty():
+        return rows.withColumns(counts)
+    marked = left_join_null_safe(rows, hot, where)
+    usual = marked.where(F.col("__hot").isNull()).drop("__hot")
+    large = marked.where(F.col("__hot")).drop("__hot")
+    return usual.withColumns(counts).unionByName(blocked_prefix_sum(large, where, row, "__place", total="__size"))
+
+
 def preview(cells: DataFrame, max_columns: int = 6, max_values: int = 4) -> DataFrame:
     """Row count and first row of each visual, from one pass over the cells.
 

@@ -67,3 +67,30 @@ def test_powers(spark):
     exponents = [0, 1, 2, 63, 1000, 2 ** 31, 2 ** 39 + 7]
     df = spark.createDataFrame([(e,) for e in exponents], "e bigint")
     assert [r[0] for r in df.select(_power(16807, F.col("e"))).collect()] == [pow(16807, e, MODULUS) for e in exponents]
+
+
+def test_large_pages_and_small_ones_agree(spark, monkeypatch):
+    """Pages beyond the limits go in blocks and are spread, the others are windows and stay whole."""
+    from tallymark.operators import captures, skew
+
+    rng = random.Random(5)
+    rows = [(v, p, 3 * i, rng.choice("ab"), rng.choice([None, 1])) for v in range(12) for p in range(3) for i in range(rng.randrange(1, 14))]
+    monkeypatch.setattr(captures, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(skew, "WHOLE_ROWS", 3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = stitch_pages(df, ["visual_id"], "page", "row_no", ["a", "b"]).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_rows_are_derived_once(spark):
+    """The pages are read by one pass, however often their places and sums are needed."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(1, p, i, "x", 10 * p + i) for p in range(3) for i in range(5)], SCHEMA).mapInArrow(count, SCHEMA)
+    assert stitch_pages(df, ["visual_id"], "page", "row_no", ["a", "b"]).count() == 15
+    assert read.value == 15

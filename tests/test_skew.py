@@ -28,3 +28,15 @@ def test_a_hot_key_is_shared_by_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_only_large_keys_are_spread(spark, monkeypatch):
+    from tallymark.operators import skew
+
+    monkeypatch.setattr(skew, "WHOLE_ROWS", 5)
+    left = spark.range(30).selectExpr("id", "IF(id < 20, 0, id) AS k", "IF(id < 20, 20, 1) AS n")
+    right = left.select("k", "n").distinct().withColumn("name", F.col("k") * 2)
+    joined = spread_join(left, right, ["k"], ["id"], parts=4, size="n")
+    assert sorted((r.id, r.n, r.name) for r in joined.collect()) == [(i, 20, 0) if i < 20 else (i, 1, 2 * i) for i in range(30)]
+    made = [line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sequence(0, CASE" in line]
+    assert made
