@@ -47,7 +47,7 @@ def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]], filt
     `sources` has the frames of each origin (`sql`, `file`) by name; a frame given under several names is
     read once. `filters(spec_id, title, values)` are the selected slicers of the specs, see
     `compile_filters`; several slicers of a spec all hold. Specs that ask for the same figure share it, and
-    all plain aggregates of a source, whatever the filters, come from one scan. What is collected are
+    all figures of a source, whatever the filters, come from one scan. What is collected are
     columns and aggregates: as many as the sources have, at most.
 
     A sum or count of no rows is 0, other figures of no rows are null. Specs with an unknown source, column
@@ -67,6 +67,8 @@ def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]], filt
     if filters is not None:
         compiled = cut(compile_filters(filters, asked, frames, first_year_only).where(F.col("pred").isNotNull()))
         masks = spec_masks(compiled)
+        numbered = cut(masks.select("source_no", "mask", "preds").distinct().withColumn(
+            "mask_no", F.monotonically_increasing_id()))
         planned = asked.join(masks.drop("preds"), ["spec_id", "source_no"], "left").fillna("", ["mask"])
         used = [tuple(r) for r in compiled.select("source_no", "column", "by_year").distinct().collect()]
     values = []
@@ -75,7 +77,7 @@ def spec_values(specs: DataFrame, sources: dict[str, dict[str, DataFrame]], filt
         own, filtered = F.col("source_no") == n, sorted((c, y) for m, c, y in used if m == n)
         if wanted:
             preds, needed = (compiled.where(own).select("column", "by_year", "values", "pred").distinct(),
-                             masks.where(own).select("mask", "preds").distinct()) if filtered else (None, None)
+                             numbered.where(own).select("mask", "mask_no", "preds")) if filtered else (None, None)
             values.append(masked_figures(df, preds, needed, filtered, wanted).withColumn("source_no", F.lit(n)))
     if not values:
         return spark.createDataFrame([], "spec_id bigint, sql_value double, file_value double")

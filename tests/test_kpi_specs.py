@@ -68,6 +68,36 @@ def test_one_scan_for_all_filters(spark, tmp_path):
     assert {tuple(r["__preds"]) for r in signed.collect()} == {(), ("p", "q"), ("q",)}
 
 
+def test_one_scan_for_all_figures(spark, tmp_path):
+    """Distinct counts of two columns included; masks share predicates, within a column and across columns."""
+    rows = [(i, i % 4 if i % 9 else None, "xyz"[i % 3] if i % 7 else None, i % 5 * 0.5 if i % 8 else None) for i in range(240)]
+    spark.createDataFrame(rows, "id bigint, code int, kind string, size double").write.parquet(str(tmp_path / "f"))
+    df = spark.read.parquet(str(tmp_path / "f"))
+    tests = {"a": ("code", ["1", "2"]), "b": ("code", ["2", "3"]), "c": ("kind", ["x"]), "d": ("kind", ["x", "y"]), "e": ("size", ["1.0"]),
+             "f": ("code", ["9"])}
+    preds = spark.createDataFrame([(c, False, v, p) for p, (c, v) in tests.items()],
+                                  "column string, by_year boolean, values array<string>, pred string")
+    needs = ["a", "b", "c", "ab", "ac", "bd", "abd", "cd", "ace", "bde", "de", "f", "af"]
+    masks = spark.createDataFrame([(m, 7 * i, list(m)) for i, m in enumerate(needs)], "mask string, mask_no bigint, preds array<string>")
+    used = [("code", False), ("kind", False), ("size", False)]
+    wanted = [("id", "count_distinct", F.col("id")), ("id", "max", F.col("id")), ("kind", "count_distinct", F.col("kind")),
+              ("size", "avg", F.col("size")), ("size", "count", F.col("size")), ("size", "count_distinct", F.col("size"))]
+    figures = filters.masked_figures(df, preds, masks, used, wanted)
+    assert figures._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    want, names = {}, ["id", "code", "kind", "size"]
+    for mask in ["", *needs]:
+        own = [r for r in (dict(zip(names, row)) for row in rows) if all(
+            r[c] is not None and str(r[c]) in v for c, v in (tests[p] for p in mask))]
+        sizes = [r["size"] for r in own if r["size"] is not None]
+        found = [len({r["id"] for r in own}), max((r["id"] for r in own), default=None), len({r["kind"] for r in own} - {None}),
+                 sum(sizes) / len(sizes) if sizes else None, len(sizes), len(set(sizes))]
+        want.update({(mask, c, agg): v for (c, agg, _), v in zip(wanted, found) if own})
+    assert {(r.mask, r.column, r.agg): r.value for r in figures.collect()} == want
+    assert len(want) == 12 * len(wanted)
+    plain = filters.masked_figures(df, None, None, [], wanted)
+    assert {(r.mask, r.column, r.agg): r.value for r in plain.collect()} == {k: v for k, v in want.items() if k[0] == ""}
+
+
 def test_query_texts(spark):
     views = {"fact_texts": fact(spark)}
     texts = ["SELECT sum(id) FROM fact_texts", "select SUM(id) from fact_texts ;", "SELECT id FROM fact_texts WHERE id < 0",
