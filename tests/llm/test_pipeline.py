@@ -1,15 +1,17 @@
 """The stages against brute force on one small folder."""
 
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallymark.llm import decontamination, mixing
+from tallymark.llm import decontamination, jaccard, mixing
 from tests.llm.data import documents
 from tests.llm.test_jaccard import brute as components
+from tests.llm.test_jaccard import near_group
 from tests.llm.test_quality import brute as counts
 from tests.llm.test_sharding import check
 
@@ -111,3 +113,20 @@ def test_equal_rows_are_mixed_as_often_as_they_are_due(spark):
         key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
         got[key] = got.get(key, 0) + 1
     assert got == due and sum(due.values()) > 10
+
+
+def test_near_duplicates_deal_texts_of_a_large_group_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    texts = near_group(random.Random(11), 150, 300)
+    dealt, inner = [], jaccard._links_of_clusters
+
+    def counted(members, *rest):
+        dealt.append(members.count())
+        return inner(members, *rest)
+
+    monkeypatch.setattr(jaccard, "_links_of_clusters", counted)
+    left = corpus_pipeline.near_duplicates(spark, documents(spark, texts), SF).collect()
+    first = {c for _, c in components(texts).values()}
+    assert {r["doc_id"] for r in left} == first
+    assert 0 < sum(dealt) < 8 * len(texts)
